@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import url_filter
+from . import decontamination, simhash, url_filter
 
 
 def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +15,17 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find_contamination(docs, items)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", decontamination.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_url_vocabulary,)}
+    return {f.__name__: f for f in (op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
