@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash, url_filter
+from . import decontamination, quality, simhash, url_filter
+
+
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +33,4 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
+    return {f.__name__: f for f in (op1_knn_quality, op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
