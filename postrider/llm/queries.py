@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, simhash, url_filter
+from . import decontamination, pii, quality, simhash, url_filter
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    spans = F.col("pii")
+    base = F.filter(spans, lambda s: s["base"])
+    count = [F.size(F.filter(spans, lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return pii.find_pii(docs).select("doc_id", *count, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -33,4 +41,4 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_quality, op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
+    return {f.__name__: f for f in (op1_knn_quality, op5_semi_markov_pii, op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
