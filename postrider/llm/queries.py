@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, pii, quality, simhash, url_filter
+from . import decontamination, pii, quality, simhash, substring_dedup, url_filter
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = F.col("pii")
@@ -41,4 +46,4 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_quality, op5_semi_markov_pii, op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
+    return {f.__name__: f for f in (op1_knn_quality, op3_suffix_trees, op5_semi_markov_pii, op7_url_vocabulary, op9_wu_manber, op10_simhash_pivots)}
