@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import host_rules, mixing, url_filter
 
 
 def _op7() -> str:
@@ -27,5 +27,68 @@ SELECT page_id, host, path, {rule} AS rule,
 FROM scored"""
 
 
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _op6() -> str:
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM twice) GROUP BY 1),
+f AS (SELECT d.doc_id, host, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+a AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines AS any_failed FROM b),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (any_failed) AS failed FROM a GROUP BY 1),
+m AS (SELECT sum(failed) / sum(n) AS mean FROM h),
+v AS (SELECT mean, (SELECT sum(n * pow(failed / n - mean, 2)) / sum(n) FROM h) AS v FROM m),
+s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 1e0), 1e6) ELSE 1e6 END AS k FROM v),
+r AS (SELECT host, (failed + mean * k) / (n + k) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rate <= {host_rules.REJECT_RATE} AND NOT (rate > {host_rules.WATCH_RATE} AND any_failed) AS kept
+FROM a JOIN r USING (host)"""
+
+
+def _fill(rows: str, family: str, name: str) -> str:
+    """Water-filling of rows (family, name, weight, cap, budget) as in the operator."""
+    part = f"PARTITION BY {family} ORDER BY cap / weight, {name}"
+    return f"""(
+  SELECT *, CASE WHEN is_full THEN cap ELSE weight * first_value(CASE WHEN NOT is_full THEN lvl END IGNORE NULLS)
+      OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS given
+  FROM (SELECT *, cap / weight <= lvl AS is_full FROM (
+    SELECT *, (budget - coalesce(sum(cap) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER ({part} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM {rows})))"""
+
+
+def _op8() -> str:
+    weight = lambda name, of: "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {w}e0" for k, w in of.items()) + f" ELSE {mixing.OTHER_WEIGHT}e0 END"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(len({_WORDS}) AS BIGINT) AS tokens FROM documents),
+n AS (SELECT *, CASE WHEN right(source, 1) IN ('0', '1', '2', '3') THEN 'web' WHEN right(source, 1) IN ('4', '5', '6') THEN 'books' ELSE 'forum' END AS domain FROM d),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS held, sum(tokens) * {mixing.MAX_EPOCHS}e0 AS cap FROM n GROUP BY ALL HAVING sum(tokens) > 0),
+bl AS (SELECT domain, lang, sum(cap) AS cap FROM leaves GROUP BY ALL),
+t AS (SELECT domain, {weight("domain", mixing.DOMAIN_WEIGHTS)} AS weight, sum(cap) AS cap, (SELECT floor(sum(tokens) * {mixing.FRACTION}e0) FROM d) AS budget, 0 AS root FROM bl GROUP BY 1),
+t1 AS {_fill("t", "root", "domain")},
+l AS (SELECT bl.domain, lang, {weight("lang", mixing.LANGUAGE_WEIGHTS)} AS weight, bl.cap, given AS budget FROM bl JOIN t1 USING (domain)),
+l1 AS {_fill("l", "domain", "lang")},
+s AS (SELECT leaves.domain, leaves.lang, source, held, 1e0 AS weight, leaves.cap, given AS budget FROM leaves JOIN l1 USING (domain, lang)),
+s1 AS {_fill("s", "domain, lang", "source")},
+p AS (SELECT domain, lang, source, CAST(floor(given + 1e-6) AS BIGINT) // held AS whole, CAST(floor(given + 1e-6) AS BIGINT) % held AS rest FROM s1),
+k AS (SELECT doc_id, n.domain, n.lang, n.source, tokens, whole, rest,
+    sum(tokens) OVER (PARTITION BY n.domain, n.lang, n.source ORDER BY md5('{mixing.SEED}:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM n JOIN p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, CAST(unnest(generate_series(0, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END - 1)) AS INTEGER) AS epoch FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_vocabulary": _op7()}
+    return {"op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
