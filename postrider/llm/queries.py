@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, mixing, pii, quality, simhash, substring_dedup, url_filter
+from . import decontamination, host_rules, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *count, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,4 +63,4 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_quality, op3_suffix_trees, op5_semi_markov_pii, op6_host_rules, op7_url_vocabulary, op8_hierarchical_mix, op9_wu_manber, op10_simhash_pivots)}
+    return {f.__name__: f for f in (op1_knn_quality, op2_random_secrets, op3_suffix_trees, op5_semi_markov_pii, op6_host_rules, op7_url_vocabulary, op8_hierarchical_mix, op9_wu_manber, op10_simhash_pivots)}
