@@ -90,5 +90,30 @@ k AS (SELECT doc_id, n.domain, n.lang, n.source, tokens, whole, rest,
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(generate_series(0, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END - 1)) AS INTEGER) AS epoch FROM k"""
 
 
+def _op4() -> str:
+    call = "'c' || conv_id || '-' || {0}".format
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, {call("turn")} AS call_id, min(turn) AS turn, min(text) AS text, count(*) AS n_calls,
+    CASE WHEN min(turn) >= 2 THEN {call("(min(turn) - 2)")} END AS dep
+  FROM conversations WHERE role = 'user' GROUP BY conv_id, conversations.turn),
+r AS (SELECT conv_id, {call("(turn - 1)")} AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, conversations.turn),
+lv AS (
+  SELECT conv_id, call_id, 0 AS level FROM c WHERE dep IS NULL OR dep NOT IN (SELECT call_id FROM c)
+  UNION ALL SELECT c.conv_id, c.call_id, lv.level + 1 FROM c JOIN lv ON c.dep = lv.call_id),
+j AS (SELECT conv_id, call_id, turn, text, dep, n_calls, result_turn, content, n_results FROM c FULL JOIN r USING (conv_id, call_id))
+SELECT conv_id, coalesce(turn, result_turn) AS turn, call_id, level,
+  CASE WHEN n_calls IS NULL THEN 'orphan' WHEN n_results IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN n_calls IS NULL THEN '' WHEN text IS NULL THEN 'required .prompt' WHEN length(text) < 1 THEN 'minLength .prompt' WHEN length(text) > 400 THEN 'maxLength .prompt' ELSE '' END AS errors,
+  CASE WHEN n_calls IS NULL THEN '{{"content":' || to_json(content) || ',"role":"tool","tool_call_id":' || to_json(call_id) || '}}'
+    ELSE '{{"arguments":{{' || CASE WHEN dep IS NULL THEN '' ELSE '"context":' || to_json('${{' || dep || '}}') || ',' END || '"prompt":' || to_json(text) || ',"turn":' || turn || '}},"id":' || to_json(call_id) || ',"name":"reply"'
+      || CASE WHEN n_results IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}}' END AS json
+FROM j LEFT JOIN lv USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, 'message', 0, 0, '', '{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}' FROM conversations WHERE role NOT IN ('user', 'assistant')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
+    return {"op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}

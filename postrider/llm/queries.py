@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
+from . import chat, decontamination, host_rules, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = F.col("pii")
@@ -63,4 +67,4 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_quality, op2_random_secrets, op3_suffix_trees, op5_semi_markov_pii, op6_host_rules, op7_url_vocabulary, op8_hierarchical_mix, op9_wu_manber, op10_simhash_pivots)}
+    return {f.__name__: f for f in (op1_knn_quality, op2_random_secrets, op3_suffix_trees, op4_tool_call_links, op5_semi_markov_pii, op6_host_rules, op7_url_vocabulary, op8_hierarchical_mix, op9_wu_manber, op10_simhash_pivots)}
