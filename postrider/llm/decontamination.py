@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_OR_HIGH, ASCII_LOWER, Block, blocks, covered, mix64, word_hashes, words_of
+from .common import ALNUM_OR_HIGH, ASCII_LOWER, Block, blocks, checkpointed, covered, mix64, word_hashes, words_of
 
 WIDTH = 10
 #: Bytes of benchmark text in one broadcast table; more text is searched in several passes.
@@ -204,6 +204,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return found.withColumnRenamed("id", id_col)
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of docs without any hit, all columns kept.
+
+    Only the ids of hit documents go through the join: they are few, so their table
+    is broadcast while it is within the session's broadcast threshold, and shuffled beyond it.
+    """
+    hit = find_contamination(docs, benchmark, id_col, text_col, **options).filter("n_hit > 0").select(id_col)
+    return docs.join(checkpointed(hit), id_col, "left_anti")
+
+
 def _union_bits(column):
     import pandas as pd
 
