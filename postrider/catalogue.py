@@ -1,0 +1,503 @@
+"""The registered queries of the archive engine, each beside the DuckDB SQL it is checked with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions import vector as V
+from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
+from .operators import archive, arms, filters, fusion, paging
+from .plans import dsl
+
+NOW = datetime(2024, 1, 20, 12)
+NOW_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
+AT = datetime(2024, 1, 10)
+PAGE = 50
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_DOC = "' ' || array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' '".format
+_MAIL_TEXT = "concat_ws(' ', coalesce(subject, ''), coalesce(from_addr, ''), coalesce(from_name, ''), coalesce(body_text, ''), array_to_string(to_addrs, ' '))"
+_SHOWN = f"strftime({EFFECTIVE_SQL}, '{DAY_SQL}')"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _shown() -> Column:
+    return F.date_format("effective_date", DAY).alias("shown_date")
+
+
+def _mail(rest: str) -> str:
+    return f"WITH {MAIL_SQL} {rest}"
+
+
+def _search(spark: SparkSession, sf_dir: str, text: str, allowed=None) -> DataFrame:
+    """Messages that a query's filters and its words leave."""
+    q, m = dsl.parse(text), mail(spark, sf_dir)
+    found = filters.apply_filters(m, q, accounts(spark), labels(m), mailboxes(m), allowed)
+    tree = dsl.match_tree(q.free_text)
+    return found if tree is None else found.filter(filters.text_match(tree))
+
+
+# Date walks.
+
+
+@query(_mail(f"SELECT message_id, {_SHOWN} AS shown_date, body_lang FROM mail WHERE body_lang = 'de' AND date_sent >= TIMESTAMP '2024-01-02' ORDER BY {EFFECTIVE_SQL} DESC NULLS LAST, message_id DESC LIMIT {PAGE + 1}"))
+def keyset_first_desc(spark, sf_dir):
+    return paging.walk(_search(spark, sf_dir, "lang:de after:2024-01-02"), PAGE).select("message_id", _shown(), "body_lang")
+
+
+@query(_mail(f"SELECT message_id, {_SHOWN} AS shown_date FROM mail WHERE {EFFECTIVE_SQL} < TIMESTAMP '2024-01-10' OR ({EFFECTIVE_SQL} = TIMESTAMP '2024-01-10' AND message_id < 300) OR {EFFECTIVE_SQL} IS NULL ORDER BY {EFFECTIVE_SQL} DESC NULLS LAST, message_id DESC LIMIT {PAGE + 1}"))
+def keyset_next_desc(spark, sf_dir):
+    return paging.walk(mail(spark, sf_dir), PAGE, "desc", paging.Cursor(AT, 300)).select("message_id", _shown())
+
+
+@query(_mail(f"SELECT message_id, {_SHOWN} AS shown_date FROM mail ORDER BY {EFFECTIVE_SQL} ASC NULLS FIRST, message_id LIMIT {PAGE + 1}"))
+def keyset_first_asc(spark, sf_dir):
+    return paging.walk(mail(spark, sf_dir), PAGE, "asc").select("message_id", _shown())
+
+
+@query(_mail(f"SELECT message_id, {_SHOWN} AS shown_date FROM mail WHERE ({EFFECTIVE_SQL} IS NULL AND message_id > 100) OR {EFFECTIVE_SQL} IS NOT NULL ORDER BY {EFFECTIVE_SQL} ASC NULLS FIRST, message_id LIMIT {PAGE + 1}"))
+def keyset_next_asc(spark, sf_dir):
+    return paging.walk(mail(spark, sf_dir), PAGE, "asc", paging.Cursor(None, 100, "asc")).select("message_id", _shown())
+
+
+@query(_mail(f"SELECT message_id, {_SHOWN} AS shown_date FROM mail WHERE {EFFECTIVE_SQL} IS NULL AND message_id < 180 ORDER BY message_id DESC LIMIT {PAGE + 1}"))
+def keyset_undated_tail(spark, sf_dir):
+    return paging.walk(mail(spark, sf_dir), PAGE, "desc", paging.Cursor(None, 180)).select("message_id", _shown())
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders o
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity > 40)
+  AND (o_orderdate < TIMESTAMP '1997-01-01' OR (o_orderdate = TIMESTAMP '1997-01-01' AND o_orderkey < 1000) OR o_orderdate IS NULL)
+ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 51""")
+def browse_folder_semi(spark, sf_dir):
+    folder = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").join(folder, "o_orderkey", "left_semi")
+    cursor = paging.Cursor(datetime(1997, 1, 1), 1000)
+    return paging.walk(rows, PAGE, "desc", cursor, "o_orderdate", "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+# Filters.
+
+
+@query(_mail("SELECT message_id FROM mail WHERE (from_addr ILIKE '%click%' OR from_name ILIKE '%click%') AND subject ILIKE '%the%' AND body_lang IN ('en', 'de')"))
+def filter_from_subject_lang(spark, sf_dir):
+    return _search(spark, sf_dir, "from:click subject:the lang:en lang:DE").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE len(list_filter(to_addrs, lambda t: t ILIKE '%user1%@EXAMPLE%')) > 0"))
+def filter_to_array(spark, sf_dir):
+    return _search(spark, sf_dir, "to:user1%@EXAMPLE").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE date_sent >= TIMESTAMP '2024-01-02' AND date_sent < TIMESTAMP '2024-01-09'"))
+def filter_dates_nulls(spark, sf_dir):
+    return _search(spark, sf_dir, "after:2024-01-02 before:2024-01-09").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE 'Box/' || folder ILIKE 'box/SRC1_'"))
+def filter_label_ilike(spark, sf_dir):
+    return _search(spark, sf_dir, "label:box/SRC1_").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE folder IN ('src3', 'src4') AND mailbox_id IN (4, 5)"))
+def filter_folders(spark, sf_dir):
+    return _search(spark, sf_dir, "folder:Box/src3 folder:Box/src4 folder_id:4 folder_id:5").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE account_id IN (1, 2) AND account_id IN (2, 3)"))
+def filter_accounts(spark, sf_dir):
+    return _search(spark, sf_dir, "account:acct1 account:acct2 account:nobody account_id:2 account_id:3").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE len(list_filter(names, lambda n: contains(lower(n), '%_d'))) > 0"))
+def filter_attachment_name(spark, sf_dir):
+    return _search(spark, sf_dir, 'attachment_name:"%_D"').select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE NOT coalesce(len(names) > 0, FALSE)"))
+def filter_has_no_attachment(spark, sf_dir):
+    return _search(spark, sf_dir, "has:no-attachment").select("message_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE FALSE"))
+def acl_clamp_empty(spark, sf_dir):
+    return _search(spark, sf_dir, "lang:de", allowed=[]).select("message_id")
+
+
+@query(_mail("SELECT message_id, account_id FROM mail WHERE account_id = 3"))
+def acl_clamp_some(spark, sf_dir):
+    ids = filters.clamp_accounts([1, 3], [3, 4])
+    return mail(spark, sf_dir).filter(filters.in_accounts(ids)).select("message_id", "account_id")
+
+
+# Full text.
+
+
+def _docs(spark, sf_dir, text):
+    tree = dsl.match_tree(text)
+    return table(spark, sf_dir, "documents").filter(X.matches(tree, X.document(F.col("text")))).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_DOC('text')} AS d FROM documents) WHERE (contains(d, ' the ') AND contains(d, ' with ') AND NOT contains(d, ' from ')) OR contains(d, ' nicht ')")
+def fts_match_and_or_not(spark, sf_dir):
+    return _docs(spark, sf_dir, "the WITH -from OR nicht")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_DOC('text')} AS d FROM documents) WHERE contains(d, ' of the ') AND contains(d, ' and ')")
+def fts_phrase(spark, sf_dir):
+    return _docs(spark, sf_dir, '"of the" and')
+
+
+@query("""SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS rank FROM (
+  SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w IN ('the', 'on'))) AS DOUBLE) AS score, """ + _DOC("text") + """ AS d FROM documents)
+WHERE contains(d, ' the ') AND contains(d, ' on ') ORDER BY score DESC, doc_id DESC LIMIT 50""")
+def fts_rank_tf(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text")
+    tree = dsl.match_tree("the on")
+    scored = m.filter(X.matches(tree, X.document(F.col("text")))).select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), arms.tf_score(tree, X.tokens(F.col("text"))).alias("arm_score"))
+    return arms.top_ranked(scored, 50, 1).select(F.col("message_id").alias("doc_id"), F.col("arm_score").alias("score"), F.col("rank").cast("long"))
+
+
+@query(_mail(f"SELECT message_id FROM (SELECT message_id, {_DOC(_MAIL_TEXT)} AS d, {_DOC(chr(34) + 'nm' + chr(34))} AS n FROM (SELECT *, coalesce(array_to_string(list_transform(names, lambda x: x || ' ' || regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+|_', ' ', 'g')), ' '), '') AS nm FROM mail)) WHERE (contains(d, ' the ') OR contains(n, ' the ')) AND NOT contains(d, ' photo ') AND NOT contains(n, ' photo ')"))
+def fts_exclusion_message_level(spark, sf_dir):
+    return _search(spark, sf_dir, "the -photo").select("message_id")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_DOC('text')} AS d FROM documents) WHERE contains(d, ' nichtwort ') OR (contains(d, ' with ') AND contains(d, ' by ')) OR contains(d, ' sich ')")
+def fts_expansion_or(spark, sf_dir):
+    tree = dsl.expanded_tree(dsl.Query("nichtwort", expansions=("with by", "sich")))
+    return table(spark, sf_dir, "documents").filter(X.matches(tree, X.document(F.col("text")))).select("doc_id")
+
+
+@query(_mail("SELECT message_id FROM mail WHERE len(list_filter(names, lambda n: contains(' ' || array_to_string(regexp_extract_all(lower(n), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' done '))) > 0"))
+def fts_attachment_names(spark, sf_dir):
+    return _search(spark, sf_dir, "done").select("message_id")
+
+
+@query()
+def fts_cover_density(spark, sf_dir):
+    q = dsl.parse('"of the" with')
+    return arms.message_text_arm(mail(spark, sf_dir), q, 50, cover_density=True).select("message_id", F.round("arm_score", 6).alias("score"), "rank")
+
+
+# Vectors.
+
+_VECTOR = [((i * 7) % 13 - 6) / 6 for i in range(64)]
+_VECTOR_SQL = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in _VECTOR) + "]"
+_COS = f"round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}), 6)"
+
+
+def _chunks(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("message_id"), "embedding", "label")
+
+
+def _near(arm: DataFrame) -> DataFrame:
+    return arm.select("message_id", F.round("arm_score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id AS message_id, {_COS} AS score FROM embeddings ORDER BY list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}) DESC, vec_id DESC LIMIT 50")
+def vector_knn(spark, sf_dir):
+    return _near(arms.chunk_vector_arm(_chunks(spark, sf_dir), None, _VECTOR, 50))
+
+
+@query(_mail(f"SELECT message_id, {_COS} AS score FROM mail JOIN embeddings ON vec_id = message_id WHERE body_lang = 'en' AND account_id IN (1, 2) ORDER BY 2 DESC, 1 DESC LIMIT 20"))
+def vector_knn_filtered(spark, sf_dir):
+    return _near(arms.chunk_vector_arm(_chunks(spark, sf_dir), _search(spark, sf_dir, "lang:en account_id:1 account_id:2"), _VECTOR, 20))
+
+
+_FANOUT = f"""near AS (SELECT vec_id AS chunk_id, label, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}), 9) AS s FROM embeddings ORDER BY s DESC, vec_id DESC LIMIT 150),
+carried AS (SELECT chunk_id, message_id, s, row_number() OVER (PARTITION BY chunk_id ORDER BY date_sent DESC NULLS LAST, message_id DESC) AS nth FROM near JOIN mail ON message_id % 10 = label WHERE body_lang = 'en')"""
+
+
+@query(_mail(f", {_FANOUT} SELECT chunk_id, message_id, round(s, 6) AS score FROM carried WHERE nth <= 10 ORDER BY s DESC, message_id DESC, chunk_id DESC LIMIT 50"))
+def vector_attachment_fanout(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir).select("chunk_id", "embedding", F.col("label").cast("string").alias("sha256"))
+    carriers = _search(spark, sf_dir, "lang:en").select("message_id", (F.col("message_id") % 10).cast("string").alias("sha256"), "date_sent")
+    return arms.attachment_vector_arm(chunks, carriers, _VECTOR, 50).select("chunk_id", "message_id", F.round("arm_score", 6).alias("score"))
+
+
+# Fusion, pools and hydration.
+
+
+def _arms(spark, sf_dir) -> list[DataFrame]:
+    m = mail(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir)
+    with_text = chunks.join(m.select("message_id", F.col("body_text").alias("text")), "message_id")
+    q = dsl.parse("the on")
+    return [arms.message_text_arm(m, q, 50), arms.chunk_text_arm(with_text, m, q, 50), arms.chunk_vector_arm(chunks, m, _VECTOR, 50)]
+
+
+_TF = "CAST(len(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ('the', 'on'))) AS DOUBLE)".format
+_ARMS_SQL = f"""
+docs AS (SELECT *, {_DOC(_MAIL_TEXT)} AS d, {_DOC('body_text')} AS b FROM mail),
+a1 AS (SELECT message_id, CAST(NULL AS BIGINT) AS chunk_id, s, row_number() OVER (ORDER BY s DESC, message_id DESC) AS rank, 1 AS arm FROM (SELECT message_id, {_TF(_MAIL_TEXT)} AS s FROM docs WHERE contains(d, ' the ') AND contains(d, ' on ') ORDER BY s DESC, message_id DESC LIMIT 50)),
+a2 AS (SELECT message_id, message_id AS chunk_id, s, row_number() OVER (ORDER BY s DESC, message_id DESC) AS rank, 2 AS arm FROM (SELECT message_id, {_TF('body_text')} AS s FROM docs JOIN embeddings ON vec_id = message_id WHERE contains(b, ' the ') AND contains(b, ' on ') ORDER BY s DESC, message_id DESC LIMIT 50)),
+a3 AS (SELECT message_id, message_id AS chunk_id, s, row_number() OVER (ORDER BY s DESC, message_id DESC) AS rank, 3 AS arm FROM (SELECT message_id, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}), 9) AS s FROM mail JOIN embeddings ON vec_id = message_id ORDER BY s DESC, message_id DESC LIMIT 50)),
+hits AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3),
+fused AS (SELECT message_id, round(sum(1e0 / (60 + rank)), 12) AS rrf, list_sort(list_distinct(list(arm))) AS arms FROM hits GROUP BY message_id)"""
+
+
+@query(_mail(f", {_ARMS_SQL} SELECT message_id, round(rrf, 9) AS score, array_to_string(arms, ',') AS arms FROM fused ORDER BY rrf DESC, message_id DESC LIMIT 20"))
+def rrf_hybrid(spark, sf_dir):
+    fused = fusion.fuse(_arms(spark, sf_dir))
+    top = fused.orderBy(F.desc("rrf_score"), F.desc("message_id")).limit(20)
+    return top.select("message_id", F.round("rrf_score", 9).alias("score"), F.array_join(F.col("contributing_arms").cast("array<string>"), ",").alias("arms"))
+
+
+@query(_mail(f", {_ARMS_SQL} SELECT message_id, arg_min(chunk_id, (rank, arm)) FILTER (chunk_id IS NOT NULL) AS best_chunk_id FROM hits GROUP BY 1"))
+def rrf_best_chunk(spark, sf_dir):
+    return fusion.fuse(_arms(spark, sf_dir)).select("message_id", "best_chunk_id")
+
+
+@query(_mail(f", {_ARMS_SQL} SELECT message_id, {_SHOWN} AS shown_date FROM (SELECT message_id, round(rrf, 2) AS r FROM fused) JOIN mail USING (message_id) ORDER BY r DESC, {EFFECTIVE_SQL} DESC NULLS LAST, message_id DESC LIMIT 30"))
+def pool_cut_ties(spark, sf_dir):
+    coarse = fusion.fuse(_arms(spark, sf_dir)).withColumn("rrf_score", F.round("rrf_score", 2))
+    return fusion.cut_pool(coarse, mail(spark, sf_dir), 30).select("message_id", _shown())
+
+
+@query(_mail(f", {_ARMS_SQL} SELECT message_id FROM fused WHERE message_id % 3 <> 0"))
+def pool_grow_exclude(spark, sf_dir):
+    fused = fusion.fuse(_arms(spark, sf_dir))
+    return fusion.without_served(fused, fused.filter("message_id % 3 = 0")).select("message_id")
+
+
+@query(_mail(f""", {_ARMS_SQL} SELECT message_id, place - 10 AS rank FROM (SELECT message_id, row_number() OVER (ORDER BY rrf DESC, message_id DESC) AS place FROM fused) WHERE place > 10 AND place <= 20"""))
+def pool_page_two(spark, sf_dir):
+    page = fusion.paged(fusion.fuse(_arms(spark, sf_dir)), [F.desc("rrf_score"), F.desc("message_id")], 2, 10)
+    return page.select("message_id", F.col("rank").cast("long"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text
+  WHEN p > 0 THEN CASE WHEN s > 0 THEN '…' ELSE '' END || substr(text, s + 1, 120) || CASE WHEN s + 120 < length(text) THEN '…' ELSE '' END
+  ELSE regexp_replace(substr(text, 1, 120), '\\s+\\S*$', '') || '…' END AS snippet
+FROM (SELECT *, greatest(p - 1 - 60, 0) AS s FROM (SELECT doc_id, text, least(nullif(instr(lower(text), 'nicht'), 0), nullif(instr(lower(text), 'with'), 0)) AS p FROM documents))""")
+def hydrate_snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), ["nicht", "with"], 120).alias("snippet"))
+
+
+# Accounts, folders, status.
+
+
+@query(_mail("SELECT a.id AS account_id, count(message_id) AS n_messages FROM (SELECT unnest(generate_series(0, 5)) AS id) a LEFT JOIN mail ON account_id = a.id GROUP BY 1"))
+def account_stats(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    boxes = m.groupBy("account_id").agg(F.max("effective_date").alias("last_sync_at"))
+    return archive.account_stats(accounts(spark), m, boxes, NOW).select("account_id", "n_messages")
+
+
+@query(_mail("SELECT mailbox_id, 'Box/' || folder AS name, count(*) AS n_messages FROM mail GROUP BY ALL"))
+def folder_counts(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    return archive.folder_counts(mailboxes(m), labels(m)).select("mailbox_id", "name", "n_messages")
+
+
+@query("SELECT count(*) AS n_messages, count(label) AS n_embedded, count(*) FILTER (lang IS NOT NULL) AS n_lang, count(*) FILTER (n_chars < 20) AS n_declined FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def status_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("doc_id"), "left")
+    return rows.agg(F.count("*").alias("n_messages"), F.count("label").alias("n_embedded"), F.count_if(F.col("lang").isNotNull()).alias("n_lang"), F.count_if(F.col("n_chars") < 20).alias("n_declined"))
+
+
+_BUCKETS = {"extracted": "quality = 1 AND toxic = 0", "no_text": "quality = 0 AND toxic = 0", "gave_up": "toxic = 1", "pending": "quality IS NULL"}
+_JOINED = "documents LEFT JOIN labels USING (doc_id)"
+
+
+def _queue(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query("SELECT count(*) AS eligible, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _BUCKETS.items()) + f" FROM {_JOINED}")
+def queue_partition(spark, sf_dir):
+    buckets = {n: F.coalesce(F.expr(c), F.lit(False)) for n, c in _BUCKETS.items()}
+    return archive.partition_counts(_queue(spark, sf_dir), buckets).drop("misfiled")
+
+
+@query(f"SELECT count(*) AS eligible, count(*) FILTER ((CAST(quality = 1 AS INT) + CAST(toxic = 1 AS INT)) IS DISTINCT FROM 1) AS misfiled FROM {_JOINED}")
+def queue_misfiled(spark, sf_dir):
+    return archive.partition_counts(_queue(spark, sf_dir), {"a": F.expr("quality = 1"), "b": F.expr("toxic = 1")}).select("eligible", "misfiled")
+
+
+@query(f"SELECT count(*) FILTER (event_type = 'click' AND ts > {NOW_SQL} - INTERVAL 3600 SECOND) AS n_hour, count(*) FILTER (user_id = 1 AND ts > {NOW_SQL} - INTERVAL 86400 SECOND) AS n_day, count(*) FILTER (ts > {NOW_SQL} - INTERVAL 604800 SECOND) AS n_week FROM events")
+def rate_limit_windows(spark, sf_dir):
+    return archive.windowed_counts(table(spark, sf_dir, "events"), "ts", NOW, {"n_hour": (F.expr("event_type = 'click'"), 3600), "n_day": (F.expr("user_id = 1"), 86400), "n_week": (F.lit(True), 604800)})
+
+
+@query("SELECT e.user_id, count(*) FILTER (event_type <> 'purchase' AND (l IS NULL OR ts > l)) AS failures FROM events e JOIN (SELECT user_id, max(ts) FILTER (event_type = 'purchase') AS l FROM events GROUP BY 1) x ON x.user_id = e.user_id GROUP BY 1")
+def failures_since_success(spark, sf_dir):
+    return archive.failures_since_success(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "purchase")
+
+
+@query("SELECT c_nationkey, coalesce(array_to_string(list_sort(list(DISTINCT c_mktsegment) FILTER (c_acctbal > 0)), ','), '') AS segments FROM customer GROUP BY 1")
+def keys_array_agg(spark, sf_dir):
+    named = F.sort_array(F.collect_set(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(named, ",").alias("segments"))
+
+
+@query("SELECT user_id, event_type, count(*) AS retry_count, arg_max(props, (ts, props)) AS last_error FROM events GROUP BY 1, 2")
+def failure_retry_rollup(spark, sf_dir):
+    return archive.retry_ledger(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "props").drop("last_at")
+
+
+# Joins and queues.
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def unchunked_anti(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 5)")
+def under_retry_cap_anti(spark, sf_dir):
+    failures = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"))
+    return archive.pending(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), failures, "doc_id", 5).select("doc_id").distinct()
+
+
+@query(_mail("SELECT message_id, unnest(generate_series(0, CAST(len(names) AS INT) - 1)) AS position, unnest(names) AS filename FROM mail WHERE len(names) > 0"))
+def lateral_attachments_ordinality(spark, sf_dir):
+    return mail(spark, sf_dir).select("message_id", F.posexplode("attachments").alias("position", "a")).select("message_id", F.col("position").cast("long").alias("position"), "a.filename")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
+def left_join_on_residual(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return c.join(o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_orderstatus") == "P"), "left").select("c_custkey", "o_orderkey")
+
+
+# Change feed, dedup, upserts.
+
+_FEED = f"SELECT event_id FROM events WHERE ts < {NOW_SQL} - INTERVAL 5 SECOND AND user_id % 5 IN (1, 2)"
+
+
+def _feed(spark, sf_dir, since):
+    rows = table(spark, sf_dir, "events").withColumn("account_id", F.col("user_id") % 5)
+    return archive.changes(rows, since, NOW, 5, [1, 2], 200, "event_id", "ts").select("event_id")
+
+
+@query(f"{_FEED} AND event_id > 100 ORDER BY event_id LIMIT 200")
+def change_feed_since(spark, sf_dir):
+    return _feed(spark, sf_dir, 100)
+
+
+@query(f"{_FEED} ORDER BY event_id DESC LIMIT 200")
+def change_feed_tip(spark, sf_dir):
+    return _feed(spark, sf_dir, None)
+
+
+@query("SELECT user_id, event_type AS name, max(event_id) AS cursor FROM events WHERE event_id <= 900 GROUP BY 1, 2")
+def ack_monotonic(spark, sf_dir):
+    return archive.acknowledged(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.col("event_id").alias("cursor")), 900)
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id < 50) GROUP BY text")
+def dedup_first_writer(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("key", archive.dedup_key(F.lit(None).cast("string"), F.sha2("text", 256)))
+    return archive.insert_if_absent(docs.filter("doc_id < 50"), docs, ["key"], [F.col("doc_id")]).select("doc_id")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def upsert_latest(spark, sf_dir):
+    return archive.upsert_latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT mailbox_id, rewind_to FROM (SELECT user_id AS mailbox_id, min(event_id) FILTER (event_type = 'error') AS rewind_to, max(event_id) - 500 AS uidnext FROM events GROUP BY 1) WHERE rewind_to < uidnext")
+def uid_rewind_min(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("mailbox_id"), F.col("event_id").alias("uid"), "event_type")
+    boxes = e.groupBy("mailbox_id").agg((F.max("uid") - 500).alias("uidnext"))
+    return archive.rewind_points(e.filter("event_type = 'error'"), boxes)
+
+
+@query(f"SELECT user_id AS mailbox_id, event_type AS uid, count(*) AS attempts, min(ts) <= {NOW_SQL} - INTERVAL 1800 SECOND AS gave_up FROM events GROUP BY 1, 2")
+def hold_window_ledger(spark, sf_dir):
+    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("mailbox_id"), F.col("event_type").alias("uid"), F.col("ts").alias("at"))
+    return archive.held_or_given_up(attempts, NOW).select("mailbox_id", "uid", "attempts", "gave_up")
+
+
+# Text derivation.
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 65, 0), 448)) AS s FROM w WHERE len(w) > 0)
+SELECT doc_id, s // 448 AS chunk_idx, array_to_string(w[s + 1:s + 512], ' ') AS text FROM c""")
+def chunk_windows(spark, sf_dir):
+    cut = X.windows(X.plain_words(F.col("text")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("chunk_idx", "words"))
+    return rows.select("doc_id", F.col("chunk_idx").cast("long"), F.array_join("words", " ").alias("text"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace('see ' || url || ' ' || coalesce(left(html, 60), ''), '(?i)(?:https?://|www\\.)\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS prepared FROM pages")
+def lang_prep(spark, sf_dir):
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" "), F.coalesce(F.left("html", F.lit(60)), F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", X.language_text(text).alias("prepared"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda s: regexp_replace(regexp_replace(s, '[ \\t\\x0b\\f]+', ' ', 'g'), '^ | $', '', 'g')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS clean FROM documents""")
+def whitespace_norm(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalize_whitespace(F.col("text")).alias("clean"))
+
+
+@query("""SELECT doc_id, left(text, 40) AS body FROM documents WHERE length(text) >= 40 AND NOT contains(left(text, 40), chr(10))""")
+def strip_quotes_signature(spark, sf_dir):
+    head = F.left("text", F.lit(40))
+    made = F.concat(head, F.lit("\n> quoted\nOn Mon, A wrote:\n> more\n-- \nSignature"))
+    docs = table(spark, sf_dir, "documents").filter((F.length("text") >= 40) & ~head.contains("\n"))
+    return docs.select("doc_id", X.strip_signature(X.strip_quotes(made)).alias("body"))
+
+
+@query("SELECT doc_id, substr(text, 101, 50) AS text, length(text) AS total, CASE WHEN length(text) > 150 THEN 150 END AS next_offset FROM documents")
+def text_window(spark, sf_dir):
+    page = table(spark, sf_dir, "documents").select("doc_id", X.text_window(F.col("text"), 100, 50).alias("w")).select("doc_id", "w.*")
+    return page.withColumn("total", F.col("total").cast("long")).withColumn("next_offset", F.col("next_offset").cast("int"))
+
+
+@query(_mail("SELECT message_id FROM mail WHERE len(list_filter(names, lambda n: lower(regexp_extract(n, '.(\\.[^.]+)$', 1)) IN ('.pdf', '.txt'))) > 0"))
+def attachment_ext_allow(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    return m.filter(X.allowed_type(F.lit("image/png"), filters.attachment_names())).select("message_id")
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+# Retrieval quality: every benchmark item asks for the documents that hold its first three words.
+
+
+@query(f"""WITH q AS (SELECT item_id, ' ' || array_to_string((regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))[1:3], ' ') || ' ' AS phrase FROM benchmark),
+d AS (SELECT doc_id, lang, {_DOC('text')} AS d FROM documents),
+r AS (SELECT item_id AS query_id, lang, doc_id FROM q JOIN d ON contains(d.d, q.phrase)),
+h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id % 7, doc_id) AS rank FROM r),
+b AS (SELECT r.query_id, lang, count(h.rank) / count(*) AS recall, coalesce(1 / min(h.rank), 0) AS rr FROM r LEFT JOIN h ON h.query_id = r.query_id AND h.doc_id = r.doc_id AND h.rank <= 20 GROUP BY 1, 2)
+SELECT lang, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, count(*) AS n_queries FROM b GROUP BY 1""")
+def recall_mrr(spark, sf_dir):
+    first = F.concat(F.lit(" "), F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " "), F.lit(" "))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("phrase"))
+    triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat(F.lit(" "), F.array_join(F.slice("w", i, 3), " "), F.lit(" ")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.tokens(F.col("text")).alias("w")).filter(F.size("w") >= 3)
+    relevant = docs.select("doc_id", "lang", F.explode(F.array_distinct(triples)).alias("phrase")).join(asked, "phrase").select("query_id", "lang", "doc_id")
+    ranked = relevant.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("doc_id") % 7, "doc_id")))
+    return archive.retrieval_quality(ranked.select("query_id", "doc_id", "rank"), relevant)
