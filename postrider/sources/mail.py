@@ -1,0 +1,182 @@
+"""Mail sources: mbox files split natively, maildirs by file, RFC822 parsing in Arrow batches.
+
+``mbox`` reads a file of any size in parallel: Spark's text source splits at the
+"From " lines, and a string column keeps the bytes as they are.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from datetime import timezone
+from email import policy
+from email.parser import BytesParser
+from email.utils import getaddresses, parsedate_to_datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..schemas import PARSED_MESSAGE
+
+ENVELOPE = "EEE MMM d HH:mm:ss yyyy"
+
+
+def envelope_date(line: Column) -> Column:
+    """UTC time in the last five words of a From line, or null."""
+    words = F.split(F.trim(line), r"\s+")
+    last = F.array_join(F.slice(words, -4, 4), " ")
+    return F.when(F.size(words) >= 5, F.try_to_timestamp(last, F.lit("MMM d HH:mm:ss yyyy")))
+
+
+def mbox(spark: SparkSession, path: str, mailbox: str | None = None) -> DataFrame:
+    """(mailbox, raw, received_at) of every message in one or several mbox files; mailbox is the file's name unless given."""
+    text = spark.read.text(path, lineSep="\nFrom ")
+    own = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.mbox)?$", 1)
+    cut = F.instr("value", "\n")
+    line = F.regexp_replace(F.when(cut > 0, F.substring(F.col("value"), F.lit(1), cut - 1)).otherwise(F.col("value")), "^From |\r$", "")
+    body = F.when(cut > 0, F.substring(F.col("value"), cut + 1, F.length("value"))).otherwise(F.lit(""))
+    unquoted = F.regexp_replace(body, r"(?m)^>(>*From )", "$1")
+    rows = text.select((F.lit(mailbox) if mailbox else own).alias("mailbox"), unquoted.cast("binary").alias("raw"), envelope_date(line).alias("received_at"))
+    return rows.filter(F.length("raw") > 0)
+
+
+def _maildir_folders(spark: SparkSession, path: str) -> list[str]:
+    """The cur and new folders below a maildir; listed through Hadoop, since Spark's own listing leaves out names with a leading dot."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [root]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            if status.isDirectory():
+                if status.getPath().getName() in ("cur", "new"):
+                    found.append(status.getPath().toString())
+                elif status.getPath().getName() != "tmp":
+                    todo.append(status.getPath())
+    return sorted(found)
+
+
+def maildir(spark: SparkSession, path: str) -> DataFrame:
+    """(mailbox, raw, received_at) of every file in the cur and new folders below path; mailbox is the folder's own path, INBOX for the root."""
+    files = spark.read.format("binaryFile").load(_maildir_folders(spark, path))
+    root = re.escape(path.rstrip("/").split("://")[-1])
+    inner = F.regexp_replace(F.regexp_extract("path", root + r"/?(.*?)/?(?:cur|new)/[^/]+$", 1), r"^\.", "")
+    return files.select(F.when(inner == "", "INBOX").otherwise(inner).alias("mailbox"), F.col("content").alias("raw"), F.col("modificationTime").alias("received_at"))
+
+
+def blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(sha256, path, content, size_bytes) of stored attachments."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.sha2("content", 256).alias("sha256"), "path", "content", F.col("length").alias("size_bytes"))
+
+
+def _clean(text: str | None) -> str | None:
+    return None if text is None else text.replace("\0", "").encode("utf-8", "replace").decode("utf-8", "replace")
+
+
+def _addresses(message, header: str) -> list[tuple[str, str]]:
+    return [(n, a) for n, a in getaddresses([str(h) for h in message.get_all(header, [])]) if a]
+
+
+def message_id(value: str | None) -> str | None:
+    """A trimmed Message-Id; none for empty ones, so that the bytes' digest tells messages apart."""
+    value = (value or "").strip()
+    return None if not value or re.fullmatch(r"<\s*>", value) else value
+
+
+def header_date(value: str | None):
+    try:
+        when = parsedate_to_datetime(value) if value else None
+    except (ValueError, TypeError):
+        return None
+    return when.replace(tzinfo=timezone.utc) if when is not None and when.tzinfo is None else when
+
+
+def header_list(raw: bytes) -> list[dict]:
+    """Headers in their order on the wire, up to the first empty line."""
+    head = re.split(rb"\r\n\r\n|\n\n", raw, maxsplit=1)[0].decode("utf-8", "replace")
+    found = []
+    for line in re.split(r"\r?\n", head):
+        if line[:1] in (" ", "\t") and found:
+            found[-1]["value"] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            found.append({"name": name.strip(), "value": value.strip()})
+    return found
+
+
+def parse_message(raw: bytes) -> dict:
+    """The fields of one message; multi-part bodies give their first plain and first html part."""
+    m = BytesParser(policy=policy.default).parsebytes(raw)
+    plain = html = None
+    files = []
+    for part in m.walk():
+        if part.is_multipart():
+            continue
+        kind, name = part.get_content_type(), part.get_filename()
+        if name or part.get_content_disposition() == "attachment" or not kind.startswith("text/"):
+            data = part.get_payload(decode=True) or b""
+            files.append({"filename": _clean(name), "mime_type": kind, "sha256": hashlib.sha256(data).hexdigest(), "content_id": (part.get("Content-Id") or "").strip("<> ") or None, "size_bytes": len(data)})
+            continue
+        try:
+            text = part.get_content()
+        except (LookupError, ValueError):
+            text = (part.get_payload(decode=True) or b"").decode("latin-1")
+        if kind == "text/plain" and plain is None:
+            plain = _clean(text)
+        elif kind == "text/html" and html is None:
+            html = _clean(text)
+    headers: dict[str, list[str]] = {}
+    for name, value in m.items():
+        headers.setdefault(name, []).append(_clean(str(value)))
+    sender = next(iter(_addresses(m, "From")), (None, None))
+    subject = _clean(str(m["Subject"])) if m["Subject"] is not None else None
+    if files and not (subject or "").strip() and not (plain or html or "").strip():
+        plain = "Attachments: " + ", ".join(f["filename"] or "unnamed" for f in files)
+    return {
+        "internet_id": message_id(m["Message-Id"]), "in_reply_to": message_id(m["In-Reply-To"]), "refs": str(m["References"] or "").split(), "subject": subject,
+        "from_addr": sender[1], "from_name": sender[0] or None, "to_addrs": [a for _, a in _addresses(m, "To")], "cc_addrs": [a for _, a in _addresses(m, "Cc")],
+        "bcc_addrs": [a for _, a in _addresses(m, "Bcc")], "date_sent": header_date(m["Date"]), "headers": headers, "body_text": plain, "body_html": html,
+        "raw_sha256": hashlib.sha256(raw).hexdigest(), "size_bytes": len(raw), "attachments": files, "error": None,
+    }
+
+
+def parse(raw_messages: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add the parsed fields; a message that cannot be parsed keeps its row with only digest, size and error (the quarantine is ``error IS NOT NULL``)."""
+    parsed = StructType.fromDDL(PARSED_MESSAGE)
+    fields = parsed.names
+    keep = [c for c in raw_messages.columns if c not in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(parsed)
+        for batch in batches:
+            rows = []
+            for value in batch.column(batch.schema.get_field_index(raw)):
+                data = value.as_py() or b""
+                try:
+                    rows.append(parse_message(data))
+                except Exception as e:  # noqa: BLE001  any broken message goes to quarantine, the batch goes on
+                    rows.append(dict.fromkeys(fields) | {"raw_sha256": hashlib.sha256(data).hexdigest(), "size_bytes": len(data), "error": f"{type(e).__name__}: {e}"[:500]})
+            for r in rows:
+                r["headers"] = list(r["headers"].items()) if r["headers"] is not None else None
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([r[f.name] for r in rows], f.type) for f in schema]], names=[*keep, *schema.names])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw_messages.schema if f.name in keep)
+    return raw_messages.mapInArrow(run, f"{own}, {PARSED_MESSAGE}")
+
+
+def store_blobs(attachments: DataFrame, path: str) -> None:
+    """Append contents that are not stored yet to a folder partitioned by the digest's first two digits; attachments: (sha256, content)."""
+    spark = attachments.sparkSession
+    new = attachments.groupBy("sha256").agg(F.first("content").alias("content")).withColumn("prefix", F.substring("sha256", 1, 2))
+    try:
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    except Exception as e:  # noqa: BLE001  only a store that does not exist yet may pass
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    new.write.mode("append").partitionBy("prefix").parquet(path)
