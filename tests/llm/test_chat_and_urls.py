@@ -49,6 +49,21 @@ def test_links_orders_validates_and_writes(spark):
     assert all(json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.json for r in got.values())
 
 
+def test_levels_of_random_graphs(spark):
+    import random
+
+    rnd = random.Random(8)
+    deps = {i: sorted(rnd.sample(range(i), min(i, rnd.choice([0, 1, 1, 1, 2, 3])))) for i in range(60)} | {100 + i: [99 + i] if i else [] for i in range(70)}
+    deps |= {200: [201], 201: [200], 202: [201], 203: [202, 5], 204: [0, 3]}
+    want = {}
+    for i in sorted(deps):
+        known = [want.get(d) for d in deps[i]]
+        want[i] = None if i in (200, 201, 202, 203) else max((k + 1 for k in known), default=0)
+    rows = [(c, str(i), json.dumps({"d": " ".join(f"${{{d}}}" for d in ds)})) for c in (1, 2) for i, ds in deps.items()]
+    got = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, arguments string")).collect()
+    assert len(got) == len(rows) and all(r.level == want[int(r.call_id)] for r in got)
+
+
 def test_plain_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "x" * 500), (1, 3, "system", "s"), (1, 4, "assistant", "late"), (2, 0, "user", None), (1, None, "user", "lost")]
     got = {(r.conv_id, r.turn): r for r in chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
