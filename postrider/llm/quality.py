@@ -71,6 +71,16 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+def leading_directions(gram: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """Orthonormal columns that span the leading eigenvectors of a symmetric matrix, by subspace iteration from a seeded start."""
+    start = np.random.default_rng(3).standard_normal((len(gram), rank + 16)).astype(np.float32)
+    basis = np.linalg.qr(start)[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(gram @ basis)[0]
+    _, turn = np.linalg.eigh(basis.T @ gram @ basis)
+    return np.ascontiguousarray((basis @ turn)[:, -rank:], dtype=np.float32)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str, id_col: str, rows: int) -> DataFrame:
     """(label, text) of the ``rows`` usable labelled ids with the smallest hashes; several labels of an id are averaged."""
     ids = labels.filter(usable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
@@ -113,8 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
     labels_of = np.array([r["label"] for r in found])
     idf = (np.log((1 + len(found)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
     weighed = _weigh(counts, np.array([r["rate"] for r in found]), idf)
-    values, directions = np.linalg.eigh(weighed.T @ weighed)
-    projection = np.ascontiguousarray(directions[:, -RANK:], dtype=np.float32)
+    projection = leading_directions(weighed.T @ weighed, RANK)
     return Model(idf, projection, _unit(weighed @ projection), labels_of, float(labels_of.mean()))
 
 
