@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_OR_HIGH, ASCII_LOWER, Block, blocks, checkpointed, covered, mix64, word_hashes, words_of
+from .common import ALNUM_OR_HIGH, ASCII_LOWER, Block, blocks, covered, mix64, word_hashes, words_of
 
 WIDTH = 10
 #: Bytes of benchmark text in one broadcast table; more text is searched in several passes.
@@ -166,6 +166,16 @@ def _scan(batch: pa.RecordBatch, tables: list[Table], ids: list, schema: pa.Sche
         )
 
 
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, width: int, shard_bytes: int) -> list:
+    """Broadcast tables of the benchmark, each of about ``shard_bytes`` of its text at most."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-int(total) // shard_bytes))
+    parts = [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    return [spark.sparkContext.broadcast(build_tables([tuple(r) for r in part.collect()], width)) for part in parts]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items (ids, unordered) and hit (bits of its words, empty if none is hit).
 
@@ -174,18 +184,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     shard, so a bounded number) are combined.  Null and empty texts have no words
     and no hits; an empty benchmark hits nothing; other columns are ignored.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_shards = max(1, -(-int(total) // shard_bytes))
+    shards = _shards(benchmark, item_col, item_text_col, width, shard_bytes)
     id_type, item_type = docs.schema[id_col].dataType, items.schema["item"].dataType
     schema = RESULT.format(id="id", type=id_type.simpleString(), item=item_type.simpleString())
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     arrow = T.StructType.fromDDL(schema)
     found = None
-    for shard in range(n_shards):
-        own = items if n_shards == 1 else items.filter(F.pmod(F.xxhash64(F.col("item")), F.lit(n_shards)) == shard)
-        table = spark.sparkContext.broadcast(build_tables([tuple(r) for r in own.collect()], width))
+    for table in shards:
 
         def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -197,21 +203,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         one = source.mapInArrow(search, schema)
         found = one if found is None else found.unionByName(one)
-    if n_shards > 1:
+    if len(shards) > 1:
         bits = F.pandas_udf(_union_bits, "struct<n:bigint,bits:binary>")
         found = found.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("hit").alias("hit"))
         found = found.withColumn("hit", bits("hit")).select("id", "n_words", F.col("hit.n").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("hit.bits").alias("hit"))
     return found.withColumnRenamed("id", id_col)
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs without any hit, all columns kept.
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Rows of docs without any hit, all columns kept; nulls and empty texts have none.
 
-    Only the ids of hit documents go through the join: they are few, so their table
-    is broadcast while it is within the session's broadcast threshold, and shuffled beyond it.
+    A filter on the rows themselves, one for each shard of the benchmark, so nothing is shuffled.
     """
-    hit = find_contamination(docs, benchmark, id_col, text_col, **options).filter("n_hit > 0").select(id_col)
-    return docs.join(checkpointed(hit), id_col, "left_anti")
+    out = docs
+    for table in _shards(benchmark, "item_id", "text", width, shard_bytes):
+        out = out.filter(_free_of(table)(F.col(text_col)))
+    return out
+
+
+def _free_of(table):
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        tables, _ = table.value
+        free = np.ones(len(texts), dtype=bool)
+        for block in blocks(texts, lower=True):
+            starts, lengths, firsts = words_of(block, ALNUM_OR_HIGH)
+            h = word_hashes(block, starts, lengths)
+            for t in tables:
+                begin, _ = t.occurrences(block, starts, lengths, firsts, h)
+                free[block.first + np.searchsorted(firsts, begin, side="right") - 1] = False
+        return pa.array(free)
+
+    return clean
 
 
 def _union_bits(column):
