@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing, url_filter
+from . import decontamination, host_rules, mixing, substring_dedup, url_filter
 
 
 def _op7() -> str:
@@ -90,6 +90,37 @@ k AS (SELECT doc_id, n.domain, n.lang, n.source, tokens, whole, rest,
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(generate_series(0, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END - 1)) AS INTEGER) AS epoch FROM k"""
 
 
+def _op3() -> str:
+    w = substring_dedup.WIDTH
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {w - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {w - 1})) AS i FROM d)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {w - 1})) AS p FROM m WHERE least < doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def _op9() -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    w = decontamination.WIDTH
+    return f"""
+WITH b AS (SELECT item_id, {words} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), {w}) AS m, array_to_string(w[i:i + {w - 1}], ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - {w - 1}, 1))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+win AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM p))),
+hit AS (SELECT doc_id, m, i, item_id FROM win JOIN p USING (m, g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS q FROM hit) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def _op4() -> str:
     call = "'c' || conv_id || '-' || {0}".format
     return f"""
@@ -116,4 +147,4 @@ SELECT conv_id, turn, NULL, NULL, 'message', 0, 0, '', '{{"content":' || to_json
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
+    return {"op3_suffix_trees": _op3(), "op9_wu_manber": _op9(), "op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
