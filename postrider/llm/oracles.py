@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, host_rules, mixing, substring_dedup, url_filter
+from . import decontamination, host_rules, mixing, secrets, substring_dedup, url_filter
 
 
 def _op7() -> str:
@@ -90,6 +90,52 @@ k AS (SELECT doc_id, n.domain, n.lang, n.source, tokens, whole, rest,
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(generate_series(0, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END - 1)) AS INTEGER) AS epoch FROM k"""
 
 
+def _op2() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [("assign", secrets.ASSIGN, 2, secrets.LEAST["assign"]), ("access", secrets.ACCESS, 0, secrets.LEAST["access"]), ("hex", secrets.HEX, 0, secrets.LEAST["hex"]), ("random", secrets.TOKEN, 0, 0)]
+
+    def matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+        p = quote(pattern)
+        return f"""SELECT doc_id, {rank} AS r, '{kind}' AS kind, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS a, length(v) >= {least} AS ok
+  FROM (SELECT doc_id, unnest(found) AS m, unnest(gaps[:len(found)]) AS g, unnest(tested) AS v, unnest(generate_series(1, len(found))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, {p}) AS found, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}, {group}) AS tested FROM d) WHERE len(found) > 0)"""
+
+    alphabet = "CASE " + " ".join(f"WHEN {test} THEN {quote(a)}" for test, a in ((_alphabet_test(p), a) for _, p, a in secrets.ALPHABETS)) + " END"
+    t = "(1 / (1 + 0.3275911e0 * (abs({0}) / sqrt(2e0))))"
+    tail = f"({t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * (-1.453152027e0 + {t} * 1.061405429e0)))) * exp(-{{0}} * {{0}} / 2) / 2)".format
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(matches(r, *k) for r, k in enumerate(kinds))}),
+spans AS (SELECT doc_id, r, kind, m, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + length(m) AS z FROM found WHERE ok),
+base AS (SELECT * FROM spans WHERE r < 3),
+tok AS (SELECT s.doc_id, s.a, s.z, s.m, {alphabet.replace("tok", "s.m")} AS alphabet FROM spans s WHERE r = 3
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.a < s.z AND s.a < b.z) AND regexp_matches(s.m, '[0-9]') AND regexp_matches(s.m, '[A-Za-z]')),
+named AS (SELECT *, CAST(length(m) AS DOUBLE) AS n, CAST(length(alphabet) AS DOUBLE) AS k FROM tok WHERE alphabet IS NOT NULL),
+chars AS (SELECT doc_id, a, z, n, k, i, c, instr(alphabet, c) - (k + 1) / 2 AS y FROM (SELECT *, unnest(string_split(m, '')) AS c, unnest(generate_series(1, length(m))) AS i FROM named)),
+square AS (SELECT doc_id, a, sum(q * q) AS q FROM (SELECT doc_id, a, c, count(*) AS q FROM chars GROUP BY ALL) GROUP BY ALL),
+pairs AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, a ORDER BY i) AS x FROM chars),
+sums AS (SELECT doc_id, a, z, n, k, CAST(count(*) FILTER (y > 0) AS DOUBLE) AS high, 1 + count(*) FILTER (x IS NOT NULL AND (x > 0) <> (y > 0)) AS runs, sum(y * y) AS yy, coalesce(sum(x * y), 0) AS xy FROM pairs GROUP BY ALL),
+stats AS (SELECT *, k / n * q - n AS chi, k - 1 AS df, 2 * high * (n - high) / n + 1 AS mean FROM sums JOIN square USING (doc_id, a)),
+z AS (SELECT *, (pow(greatest(chi, 0) / df, 1 / 3e0) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)) AS z1,
+  CASE WHEN (mean - 1) * (mean - 2) > 0 THEN (runs - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1)) ELSE 9e0 END AS z2, CASE WHEN yy > 0 THEN xy / yy * sqrt(n) ELSE 9e0 END AS z3 FROM stats),
+p AS (SELECT doc_id, a, z.z AS z, n, least(1e0, 3 * least(CASE WHEN z1 >= 0 THEN {tail("z1")} ELSE 1 - {tail("z1")} END, 2 * {tail("z2")}, 2 * {tail("z3")})) AS p FROM z),
+bins AS (SELECT *, CAST(least({secrets.BINS}, greatest(0, floor(-10 * log10(greatest(p * (SELECT avg(n) FROM p) / n, 1e-30))))) AS INTEGER) AS b FROM p),
+cut AS (SELECT coalesce(min(t), {secrets.BINS + 1}) AS cut FROM (SELECT t, count(*) AS held FROM (SELECT unnest(generate_series(0, {secrets.BINS})) AS t) JOIN bins ON b >= t GROUP BY t)
+  WHERE (SELECT count(*) FROM bins) * pow(10e0, -t / 10e0) / held <= {secrets.ALPHA}),
+every AS (SELECT doc_id, r, kind, a, z FROM base UNION ALL SELECT doc_id, 3, 'random', a, z FROM bins, cut WHERE b < cut),
+said AS (SELECT doc_id, count(*) FILTER (r = 0) AS n0, count(*) FILTER (r = 1) AS n1, count(*) FILTER (r = 2) AS n2,
+  string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, r, z) FILTER (r < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, r, z) AS spans FROM every GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN said USING (doc_id)"""
+
+
+def _alphabet_test(pattern: str) -> str:
+    """A pattern's test in RE2, which has no look-ahead: the mixed alphabets ask for both cases beside."""
+    plain = pattern.replace("(?=.*[a-z])(?=.*[A-Z])", "")
+    both = "regexp_matches(tok, '[a-z]') AND regexp_matches(tok, '[A-Z]') AND " if plain != pattern else ""
+    return f"{both}regexp_matches(tok, '{plain}')"
+
+
 def _op3() -> str:
     w = substring_dedup.WIDTH
     return f"""
@@ -147,4 +193,4 @@ SELECT conv_id, turn, NULL, NULL, 'message', 0, 0, '', '{{"content":' || to_json
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_trees": _op3(), "op9_wu_manber": _op9(), "op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
+    return {"op2_random_secrets": _op2(), "op3_suffix_trees": _op3(), "op9_wu_manber": _op9(), "op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
