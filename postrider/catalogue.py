@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import language
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
-from .operators import archive, arms, filters, fusion, paging
+from .operators import archive, arms, control, filters, fusion, paging
 from .plans import dsl
 
 NOW = datetime(2024, 1, 20, 12)
@@ -501,3 +502,62 @@ def recall_mrr(spark, sf_dir):
     relevant = docs.select("doc_id", "lang", F.explode(F.array_distinct(triples)).alias("phrase")).join(asked, "phrase").select("query_id", "lang", "doc_id")
     ranked = relevant.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("doc_id") % 7, "doc_id")))
     return archive.retrieval_quality(ranked.select("query_id", "doc_id", "rank"), relevant)
+
+
+# Control plane.
+
+
+@query(f"SELECT event_type AS kind, NULLIF(user_id % 4, 0) AS account_id, max(ts) < {NOW_SQL} - INTERVAL 3600 SECOND AS stale FROM events GROUP BY 1, 2")
+def heartbeat_staleness(spark, sf_dir):
+    beats = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.nullif(F.col("user_id") % 4, F.lit(0)).alias("account_id"), F.col("ts").alias("at"))
+    return control.heartbeats(beats, NOW, 3600).select("kind", "account_id", "stale")
+
+
+_STATE = "CASE WHEN event_type = 'view' THEN 'queued' ELSE event_type END"
+
+
+@query(f"SELECT user_id AS command_id FROM events GROUP BY 1 HAVING arg_max({_STATE}, (ts, {_STATE})) = 'queued' ORDER BY min(ts), 1 LIMIT 20")
+def command_claim(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("command_id"), F.expr(_STATE).alias("state"), F.col("ts").alias("at"))
+    return control.claimable(log, 20).select("command_id")
+
+
+@query(f"SELECT user_id, count(*) FILTER (ts > {NOW_SQL} - INTERVAL 86400 SECOND) AS n FROM events GROUP BY 1")
+def registration_rate(spark, sf_dir):
+    return control.recent_count(table(spark, sf_dir, "events"), "user_id", "ts", NOW, 86400)
+
+
+@query(f"SELECT event_id FROM events WHERE ts >= {NOW_SQL} - INTERVAL 432000 SECOND")
+def retention_sweep(spark, sf_dir):
+    return control.retained(table(spark, sf_dir, "events"), "ts", NOW, 432000).select("event_id")
+
+
+@query("SELECT user_id, min(event_id) AS use_id FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'click' GROUP BY 1")
+def single_use_codes(spark, sf_dir):
+    uses = table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.col("user_id").alias("code"), F.col("event_id").alias("use_id"), F.col("event_id").alias("at"))
+    codes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_custkey").alias("user_id"))
+    return control.burned(codes, uses, codes.select("user_id")).select("user_id", "use_id")
+
+
+@query("SELECT n_nationkey AS account_id, n_name AS name, s IS NOT NULL AS granted FROM nation LEFT JOIN (SELECT DISTINCT s_nationkey AS s FROM supplier WHERE s_suppkey % 7 = 3) ON s = n_nationkey")
+def account_grants(spark, sf_dir):
+    grants = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("account_id"), (F.col("s_suppkey") % 7).alias("user_id")).distinct()
+    named = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("account_id"), F.col("n_name").alias("name"))
+    return control.users_with_grants(grants, named, grants, 3).select("account_id", "name", "granted")
+
+
+@query("SELECT family FROM (SELECT user_id % 50 AS family, event_id % 400 AS token, count(*) AS n FROM events WHERE event_id < 420 GROUP BY 1, 2) GROUP BY 1 HAVING max(n) = 1")
+def token_families(spark, sf_dir):
+    uses = table(spark, sf_dir, "events").filter("event_id < 420").select((F.col("user_id") % 50).alias("family"), (F.col("event_id") % 400).alias("token"))
+    return archive.live_families(uses)
+
+
+@query(_mail("SELECT count(*) AS n_messages, round(avg(strlen(body_text)), 4) AS message_bytes FROM mail"))
+def size_estimate(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    return control.size_estimate(m, m.select(F.col("body_text").alias("text"))).select("n_messages", F.round("message_bytes", 4).alias("message_bytes"))
+
+
+@query()
+def language_detection(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", language.detect(F.col("text")).alias("detected"))
