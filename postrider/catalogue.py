@@ -13,7 +13,7 @@ from .functions import language
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
-from .operators import archive, arms, control, filters, fusion, paging
+from .operators import archive, arms, control, filters, fusion, paging, postings
 from .plans import dsl
 
 NOW = datetime(2024, 1, 20, 12)
@@ -200,6 +200,13 @@ def fts_attachment_names(spark, sf_dir):
     return _search(spark, sf_dir, "done").select("message_id")
 
 
+@query(_mail(f"SELECT message_id FROM (SELECT message_id, {_DOC(_MAIL_TEXT)} AS d FROM mail) WHERE (contains(d, ' the ') AND contains(d, ' of the ') AND NOT contains(d, ' from ')) OR (contains(d, ' nicht ') AND contains(d, ' der '))"))
+def fts_postings(spark, sf_dir):
+    tree, m = dsl.match_tree('the "of the" -from OR nicht der'), mail(spark, sf_dir)
+    likely = postings.candidates(postings.build(m), tree)
+    return m.join(likely, "message_id", "left_semi").filter(X.matches(tree, filters.message_document())).select("message_id")
+
+
 @query()
 def fts_cover_density(spark, sf_dir):
     q = dsl.parse('"of the" with')

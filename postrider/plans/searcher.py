@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import arms, filters, fusion, paging
+from ..operators import arms, filters, fusion, paging, postings
 from . import dsl
 
 #: Fields that a hit can be asked for, in the order they are given.
@@ -26,6 +26,8 @@ class Archive:
     mailboxes: DataFrame | None = None
     chunks: DataFrame | None = None
     attachment_chunks: DataFrame | None = None
+    #: Postings of the messages; with them a text search opens only the messages that can match.
+    postings: DataFrame | None = None
 
 
 @dataclass
@@ -52,7 +54,8 @@ class Searcher:
 
     def fused(self, query: dsl.Query, allowed, candidates: int) -> DataFrame:
         a, messages = self.archive, self.scoped(query, allowed)
-        found = [arms.message_text_arm(messages, query, candidates)]
+        likely = None if a.postings is None else postings.candidates(a.postings, dsl.expanded_tree(query))
+        found = [arms.message_text_arm(messages if likely is None else messages.join(likely, "message_id", "left_semi"), query, candidates)]
         if a.chunks is not None:
             found.append(arms.chunk_text_arm(a.chunks, messages, query, candidates))
         if self.embed is not None:

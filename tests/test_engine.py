@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postrider.functions import rank as R
 from postrider.functions import text as X
 from postrider.functions import vector as V
-from postrider.operators import archive, arms, filters, fusion, paging
+from postrider.operators import archive, arms, filters, fusion, paging, postings
 from postrider.plans import dsl
 from postrider.plans.searcher import Archive, Searcher, browse, message_detail, project, readable_blob
 
@@ -208,3 +208,22 @@ def test_ledgers(spark):
     tokens = spark.createDataFrame([(1, 1, now - timedelta(days=1), None), (2, 1, now - timedelta(days=9), None), (3, 2, now, now - timedelta(days=1)), (4, 3, now, None)], "token_id long, user_id long, issued_at timestamp_ntz, expires_at timestamp_ntz")
     users = spark.createDataFrame([(1, True, now - timedelta(days=5)), (2, True, None), (3, False, None)], "user_id long, enabled boolean, revoked_at timestamp_ntz")
     assert [x.token_id for x in archive.valid_tokens(tokens, users, now).collect()] == [1]
+
+
+def test_postings_read_only_their_terms_and_lose_nothing(spark, archive_tables, tmp_path):
+    path = str(tmp_path / "postings")
+    postings.write(archive_tables.messages, path)
+    index = postings.read(spark, path)
+    for text in ("red house", '"big red" OR sea', "plan -spam", "-spam", "house OR -red", "doc"):
+        tree = dsl.match_tree(text)
+        likely = postings.candidates(index, tree)
+        exact = {r.message_id for r in archive_tables.messages.filter(filters.text_match(tree)).collect()}
+        if likely is not None:
+            assert exact <= {r.message_id for r in likely.collect()}
+        else:
+            assert text in ("-spam", "house OR -red")
+    plan = postings.candidates(index, dsl.match_tree("red"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    with_index = Searcher(Archive(**{**archive_tables.__dict__, "postings": spark.read.parquet(path)}))
+    without = Searcher(archive_tables)
+    assert [r["message_id"] for r in with_index.search("red house").rows] == [r["message_id"] for r in without.search("red house").rows]
