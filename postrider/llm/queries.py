@@ -7,23 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..mailview import table
 from . import chat, decontamination, host_rules, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return found.select("doc_id", *count, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
 def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -32,7 +33,7 @@ def op4_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("pii")
     base = F.filter(spans, lambda s: s["base"])
     of_base = F.transform(base, lambda s: s["kind"])
@@ -41,7 +42,7 @@ def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = host_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = host_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -51,11 +52,11 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs, items = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.find_contamination(docs, items)
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", decontamination.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
@@ -63,7 +64,7 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,8 +17,15 @@ DAY = "yyyy-MM-dd HH:mm:ss"
 DAY_SQL = "%Y-%m-%d %H:%M:%S"
 
 
+#: Tables with whole texts, whose rows cost much more to compute on than to move.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer splits than there are cores (one small file) are dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
