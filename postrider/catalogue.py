@@ -288,10 +288,11 @@ def pool_cut_ties(spark, sf_dir):
     return fusion.cut_pool(coarse, mail(spark, sf_dir), 30).select("message_id", _shown())
 
 
-@query(_mail(f", {_ARMS_SQL} SELECT message_id FROM fused WHERE message_id % 3 <> 0"))
+@query(_mail(f", {_ARMS_SQL} SELECT message_id FROM fused ORDER BY rrf DESC, message_id DESC OFFSET 20"))
 def pool_grow_exclude(spark, sf_dir):
     fused = fusion.fuse(_arms(spark, sf_dir))
-    return fusion.without_served(fused, fused.filter("message_id % 3 = 0")).select("message_id")
+    served = fused.orderBy(F.desc("rrf_score"), F.desc("message_id")).limit(20)
+    return fusion.without_served(fused, served).select("message_id")
 
 
 @query(_mail(f""", {_ARMS_SQL} SELECT message_id, place - 10 AS rank FROM (SELECT message_id, row_number() OVER (ORDER BY rrf DESC, message_id DESC) AS place FROM fused) WHERE place > 10 AND place <= 20"""))
@@ -415,15 +416,17 @@ def change_feed_tip(spark, sf_dir):
     return _feed(spark, sf_dir, None)
 
 
-@query("SELECT user_id, event_type AS name, max(event_id) AS cursor FROM events WHERE event_id <= 900 GROUP BY 1, 2")
+@query("SELECT user_id, event_type AS name, max(event_id) AS cursor FROM events WHERE event_id <= (SELECT max(doc_id) FROM documents) GROUP BY 1, 2")
 def ack_monotonic(spark, sf_dir):
-    return archive.acknowledged(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.col("event_id").alias("cursor")), 900)
+    highest = table(spark, sf_dir, "documents").agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    return archive.acknowledged(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.col("event_id").alias("cursor")), highest)
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id < 50) GROUP BY text")
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY sha256(text)")
 def dedup_first_writer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("key", archive.dedup_key(F.lit(None).cast("string"), F.sha2("text", 256)))
-    return archive.insert_if_absent(docs.filter("doc_id < 50"), docs, ["key"], [F.col("doc_id")]).select("doc_id")
+    stored = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("key")
+    return archive.insert_if_absent(stored, docs.select("key", "doc_id"), ["key"], [F.col("doc_id")]).select("doc_id")
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -456,9 +459,9 @@ def chunk_windows(spark, sf_dir):
     return rows.select("doc_id", F.col("chunk_idx").cast("long"), F.array_join("words", " ").alias("text"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace('see ' || url || ' ' || coalesce(left(html, 60), ''), '(?i)(?:https?://|www\\.)\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS prepared FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace('see ' || url || ' ' || coalesce(html, ''), '(?i)(?:https?://|www\\.)\\S+', ' ', 'g'), '\\s+', ' ', 'g')) AS prepared FROM pages")
 def lang_prep(spark, sf_dir):
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(" "), F.coalesce(F.left("html", F.lit(60)), F.lit("")))
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" "), F.coalesce("html", F.lit("")))
     return table(spark, sf_dir, "pages").select("page_id", X.language_text(text).alias("prepared"))
 
 
@@ -467,11 +470,12 @@ def whitespace_norm(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize_whitespace(F.col("text")).alias("clean"))
 
 
-@query("""SELECT doc_id, left(text, 40) AS body FROM documents WHERE length(text) >= 40 AND NOT contains(left(text, 40), chr(10))""")
+@query("""SELECT doc_id, text AS body FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*>|(^|\\n)-- ?(\\n|$)|wrote:|schrieb|escribió:|Original Message|From: ')""")
 def strip_quotes_signature(spark, sf_dir):
-    head = F.left("text", F.lit(40))
-    made = F.concat(head, F.lit("\n> quoted\nOn Mon, A wrote:\n> more\n-- \nSignature"))
-    docs = table(spark, sf_dir, "documents").filter((F.length("text") >= 40) & ~head.contains("\n"))
+    # Whole texts that have neither quotes nor a signature get both, and must come back unchanged.
+    made = F.concat("text", F.lit("\n> quoted\nOn Mon, A wrote:\n> more\n-- \nSignature"))
+    plain = ~F.col("text").rlike(r"(^|\n)\s*>|(^|\n)-- ?(\n|\z)|wrote:|schrieb|escribió:|Original Message|From: ")
+    docs = table(spark, sf_dir, "documents").filter(plain)
     return docs.select("doc_id", X.strip_signature(X.strip_quotes(made)).alias("body"))
 
 
@@ -553,9 +557,10 @@ def account_grants(spark, sf_dir):
     return control.users_with_grants(grants, named, grants, 3).select("account_id", "name", "granted")
 
 
-@query("SELECT family FROM (SELECT user_id % 50 AS family, event_id % 400 AS token, count(*) AS n FROM events WHERE event_id < 420 GROUP BY 1, 2) GROUP BY 1 HAVING max(n) = 1")
+@query("SELECT family FROM (SELECT user_id AS family, event_type || strftime(ts, '%Y%m%d%H') AS token, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1 HAVING max(n) = 1")
 def token_families(spark, sf_dir):
-    uses = table(spark, sf_dir, "events").filter("event_id < 420").select((F.col("user_id") % 50).alias("family"), (F.col("event_id") % 400).alias("token"))
+    token = F.concat("event_type", F.date_format("ts", "yyyyMMddHH"))
+    uses = table(spark, sf_dir, "events").select(F.col("user_id").alias("family"), token.alias("token"))
     return archive.live_families(uses)
 
 
