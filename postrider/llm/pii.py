@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(s, e, "email") for s, e in _emails(text)] if "@" in text else []
     at = 0
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) < 4 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             found.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         d = _digits(m[0])
@@ -171,12 +171,11 @@ def _candidates(text: str, zone: list[tuple[int, int]]) -> dict[int, list[tuple[
         for s, first in starts.items():
             if text[s].isspace():
                 continue
-            m = shape.match(text, s, zone[-1][1])
-            # A shape may also end earlier; token ends inside the longest match are tried too.
-            for e in ([m.end()] if m else []):
-                last = ends.get(e)
-                if last and last - first <= MAX_TOKENS:
-                    found.setdefault(last, []).append((first, kind))
+            # No segment is longer than MAX_TOKENS, so nothing beyond them is looked at.
+            m = shape.match(text, s, zone[min(first + MAX_TOKENS, len(zone)) - 1][1])
+            last = ends.get(m.end()) if m else None
+            if last:
+                found.setdefault(last, []).append((first, kind))
     return found
 
 

@@ -193,6 +193,13 @@ def test_pii_base_spans_and_redaction(spark, none):
     assert pii.find_pii(none).count() == 0
 
 
+def test_pii_in_very_long_runs():
+    zeros, digits = "0" * 5000, "7" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.4 {digits}.2.3.4") == [(0, 5007, "ip")]
+    for text in ("7" * 200_000, "@" * 100_000, "1." * 100_000, "+1(" * 50_000, "a" * 200_000 + "@", "1:" * 100_000, "A" * 200_000 + "1", "a-1." * 50_000):
+        assert isinstance(pii.find_spans(text, pii.trained_weights()), list)
+
+
 def test_pii_field_on_held_out_sentences():
     weights = pii.trained_weights()
     hit = gold_n = wrong = 0
