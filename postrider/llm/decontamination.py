@@ -127,13 +127,15 @@ class Table:
 def build_tables(items: list[tuple[object, str | None]], width: int = WIDTH) -> tuple[list[Table], list]:
     """Tables for all pattern lengths, and the item ids that patterns refer to by position."""
     found: dict[tuple[bytes, ...], set[int]] = {}
-    for i, (_, text) in enumerate(items):
+    place = {i: k for k, i in enumerate(dict.fromkeys(i for i, _ in items))}
+    for item, text in items:
+        i = place[item]
         words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER))
         for j in range(max(len(words) - width, 0) + 1 if words else 0):
             found.setdefault(tuple(words[j : j + width]), set()).add(i)
     lengths = sorted({len(p) for p in found})
     groups = [[p for p in found if len(p) == m] for m in lengths]
-    return [Table(m, g, [sorted(found[p]) for p in g]) for m, g in zip(lengths, groups)], [i for i, _ in items]
+    return [Table(m, g, [sorted(found[p]) for p in g]) for m, g in zip(lengths, groups)], list(place)
 
 
 def _scan(batch: pa.RecordBatch, tables: list[Table], ids: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -181,14 +183,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     The benchmark is broadcast in shards of at most ``shard_bytes`` of text, each
     searched over all documents; a document's rows of several shards (one per
-    shard, so a bounded number) are combined.  Null and empty texts have no words
-    and no hits; an empty benchmark hits nothing; other columns are ignored.
+    shard, so a bounded number) are combined.  Rows repeated, or without an id, keep
+    a row each; rows of one item count as one item.  Null and empty texts have no
+    words and no hits; an empty benchmark hits nothing; other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     shards = _shards(benchmark, item_col, item_text_col, width, shard_bytes)
-    id_type, item_type = docs.schema[id_col].dataType, items.schema["item"].dataType
-    schema = RESULT.format(id="id", type=id_type.simpleString(), item=item_type.simpleString())
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Shards are combined by id and text, since ids may be null or repeated.
+    key = F.col(id_col) if len(shards) == 1 else F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    source = docs.select(key.alias("id"), F.col(text_col).alias("text"))
+    schema = RESULT.format(id="id", type=source.schema["id"].dataType.simpleString(), item=items.schema["item"].dataType.simpleString())
     arrow = T.StructType.fromDDL(schema)
     found = None
     for table in shards:
@@ -205,8 +209,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         found = one if found is None else found.unionByName(one)
     if len(shards) > 1:
         bits = F.pandas_udf(_union_bits, "struct<n:bigint,bits:binary>")
-        found = found.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("hit").alias("hit"))
-        found = found.withColumn("hit", bits("hit")).select("id", "n_words", F.col("hit.n").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("hit.bits").alias("hit"))
+        copies = F.sequence(F.lit(1), (F.count("*") / len(shards)).cast("int"))
+        found = found.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("items")).alias("items"), F.collect_set("hit").alias("hit"), copies.alias("copies"))
+        found = found.withColumn("hit", bits("hit")).withColumn("copy", F.explode("copies"))
+        found = found.select("id.id", "n_words", F.col("hit.n").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("hit.bits").alias("hit"))
     return found.withColumnRenamed("id", id_col)
 
 

@@ -92,11 +92,12 @@ def mix(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_EPOCH
     The budget is ``fraction`` of all tokens (words).  Null lang and source count
     as 'unknown'; texts without words hold no tokens and are selected only inside
     a prefix of their leaf.  Input columns called domain, tokens or epoch are
-    replaced.  Repeated rows are dealt with one by one.
+    replaced; all others stay.  Repeated rows are dealt with one by one.
     """
-    named = docs.drop("domain", "tokens", "epoch")
-    named = named.withColumn("lang", F.coalesce("lang", F.lit("unknown"))).withColumn("source", F.coalesce("source", F.lit("unknown")))
-    named = named.withColumn("domain", domain_of(F.col("source"))).withColumn("tokens", F.size(words(F.coalesce("text", F.lit("")))).cast("long"))
+    own = [c for c in docs.columns if c not in ("domain", "tokens", "epoch")]
+    carried = F.struct(*[c for c in own if c not in ("doc_id", *LEAF)]).alias("_row")
+    named = docs.select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), carried)
+    named = named.withColumn("domain", domain_of(F.col("source"))).withColumn("tokens", F.size(words(F.coalesce("_row.text", F.lit("")))).cast("long"))
     light = checkpointed(named.select("doc_id", *LEAF, "tokens"))
     leaves = checkpointed(light.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
     total = leaves.agg(F.sum("tokens"), F.count("*")).first()
@@ -121,4 +122,5 @@ def mix(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_EPOCH
     edge = rows.filter(split).withColumn("_in", F.col("before") + F.sum("tokens").over(running) <= F.col("rest"))
     copies = F.sequence(F.lit(0), (F.col("whole") + F.col("_in").cast("int") - 1).cast("int"))
     out = inside.unionByName(edge).filter((F.col("whole") > 0) | F.col("_in")).withColumn("epoch", F.explode(copies))
-    return out.drop("whole", "rest", "_bucket", "before", "_key", "_in")
+    columns = [F.col(c) if c in ("doc_id", *LEAF) else F.col("_row")[c].alias(c) for c in own] if keep_text else ["doc_id", "lang", "source"]
+    return out.select(*columns, "domain", "tokens", "epoch")

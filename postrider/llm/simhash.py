@@ -228,14 +228,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, n_pivots: int = PIVOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, fingerprint hex, component_id): one row per document, component_id the smallest id reachable by links.
 
-    Ids must be unique integers.  Null, empty and word-less texts have fingerprint
-    zero and are linked like any other; an empty table gives an empty result;
-    other columns are ignored.
+    Ids must be unique integers.  A row without one names and joins no component:
+    it gets that of the rows of the same fingerprint, else null.  Null, empty and
+    word-less texts have fingerprint zero and are linked like any other; an empty
+    table gives an empty result; other columns are ignored.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
-    values = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("node")))
+    values = checkpointed(fps.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")))
     n = values.count()
     found = components(links(values, n, radius, n_pivots, bucket_rows))
     known = values.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = fps.join(known, "fp")
+    named = fps.join(known, "fp", "left")
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

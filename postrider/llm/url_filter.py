@@ -98,12 +98,8 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT_TE
     """
     out = ["host", "path", "rule", "n_strict", "n_soft", "soft_weight", "verdict"]
     source = pages.drop(*[c for c in out if c != url])
-    hits = source.withColumn("_hits", term_hits(strict, soft)(F.col(url)))
-    hits = hits.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
-    hits = hits.withColumn("_rule", match_rules(F.col("_host"), F.col("_path"), rules))
-    rejected = (F.col("_hits.n_strict") > 0) | ((F.col("_hits.n_soft") >= min_soft) & (F.col("_hits.soft_weight") >= min_weight))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(rejected, "block").otherwise("allow"))
-    return hits.select(
-        *source.columns, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
-        "_hits.n_strict", "_hits.n_soft", "_hits.soft_weight", verdict.alias("verdict"),
-    )
+    hits = source.select(F.struct("*").alias("row"), term_hits(strict, soft)(F.col(url)).alias("hits"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    hits = hits.withColumn("found", match_rules(F.col("host"), F.col("path"), rules))
+    rejected = (F.col("hits.n_strict") > 0) | ((F.col("hits.n_soft") >= min_soft) & (F.col("hits.soft_weight") >= min_weight))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(rejected, "block").otherwise("allow"))
+    return hits.select("row.*", "host", "path", "found.rule", "hits.n_strict", "hits.n_soft", "hits.soft_weight", verdict.alias("verdict"))

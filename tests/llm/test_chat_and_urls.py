@@ -83,4 +83,6 @@ def test_url_verdicts(spark):
     rows = [(i, u, "x") for i, u in enumerate(urls)]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()
     assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in got} == urls
+    clashing = url_filter.judge_urls(spark.createDataFrame([(1, "http://xxx.io/", "a", "b")], "row long, url string, hits string, _host string")).collect()
+    assert [(r.row, r.hits, r._host, r.host, r.verdict) for r in clashing] == [(1, "a", "b", "xxx.io", "block")]
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0

@@ -20,6 +20,17 @@ def test_stages_and_run(spark, sf_dir):
     assert not any(h for _, h, _ in left.values())
 
 
+def test_rows_with_nulls_everywhere(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = max((r.text for r in docs.limit(50).collect()), key=len)
+    rows = spark.createDataFrame([(None, None, None, None, None), (None, good, None, None, None), (None, good, "en", None, 1), (9001, good, None, "src1", None)], docs.schema)
+    left = corpus_pipeline.near_duplicates(spark, rows, sf_dir)
+    assert left.count() == 4 and left.columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, sf_dir)
+    assert rows.filter("tokens IS NULL OR epoch IS NULL").count() == 0
+
+
 def test_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

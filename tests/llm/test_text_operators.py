@@ -116,6 +116,12 @@ def test_simhash_components(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_rows_without_id_join_no_component(spark):
+    rows = [(5, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "other words here now"), (None, None), (7, None), (None, None)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 3), (0, 7), (0, 7), (3, 3), (5, 3), (7, 7)]
+
+
 @pytest.mark.parametrize("bucket_rows, n_values", [(4096, 10), (16, 10), (4096, 10**9), (16, 10**9)])
 def test_links_connect_what_brute_force_connects(spark, bucket_rows, n_values):
     rnd = random.Random(5)
@@ -155,6 +161,16 @@ def test_decontamination(spark, docs, rows, none):
     assert clean == {d for d, x in want.items() if not x[1]}
 
 
+@pytest.mark.parametrize("shard", [1 << 20, 20])
+def test_decontamination_of_repeated_rows_and_items(spark, shard):
+    text = "one two three four five six"
+    rows = [(1, text), (1, text), (1, "one two"), (None, text), (None, text), (None, None), (2, "nine")]
+    items = [(7, "two three"), (7, "five six"), (8, "one two"), (9, "four five six"), (None, "nine")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, items string, hit string")
+    got = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=shard).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 0, 0, 0), (0, 6, 6, 3), (0, 6, 6, 3), (1, 2, 2, 1), (1, 6, 6, 3), (1, 6, 6, 3), (2, 1, 1, 1)]
+
+
 def test_pii_base_spans_and_redaction(spark, none):
     rnd = random.Random(2)
     parts = ["1", "22", "255", "256", ".", ".", "@", "a", "-", " ", "+", "(", ")", "4111111111111111", "b.c", "é", "\n"]
@@ -286,8 +302,13 @@ def test_mixing_budgets_and_prefixes(spark, none):
         assert used <= total * fraction and used >= min(fraction, epochs) * total * 0.9 - 15 * 50
         assert len({(r.doc_id, r.epoch) for r in got}) == len(got) and max(r.epoch for r in got) < epochs
     assert mixing.mix(none).count() == 0
-    kept = mixing.mix(docs, keep_text=True).select("doc_id", "text").distinct().collect()
-    assert {(r.doc_id, r.text) for r in kept} <= {(r[0], r[1]) for r in rows}
+    clashing = docs.withColumns({c: F.lit(c) for c in ("whole", "rest", "before", "_bucket", "_key", "_in", "_salt", "domain")})
+    for limit in (0, 100):
+        kept = mixing.mix(clashing, keep_text=True, broadcast_leaves=limit)
+        assert kept.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "whole", "rest", "before", "_bucket", "_key", "_in", "_salt", "domain", "tokens", "epoch"]
+        kept = kept.collect()
+        assert {(r.doc_id, r.text) for r in kept} <= {(r[0], r[1]) for r in rows} and {(r["whole"], r._key) for r in kept} == {("whole", "_key")}
+        assert len(kept) == mixing.mix(docs).count()
 
 
 def test_short_families_hand_on_to_siblings_first(spark):
