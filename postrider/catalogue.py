@@ -60,7 +60,7 @@ def _search(spark: SparkSession, sf_dir: str, text: str, allowed=None) -> DataFr
     q, m = dsl.parse(text), mail(spark, sf_dir)
     found = filters.apply_filters(m, q, accounts(spark), labels(m), mailboxes(m), allowed)
     tree = dsl.match_tree(q.free_text)
-    return found if tree is None else found.filter(filters.text_match(tree))
+    return found if tree is None else found.filter(filters.text_match(tree, found))
 
 
 # Date walks.
@@ -204,7 +204,7 @@ def fts_attachment_names(spark, sf_dir):
 def fts_postings(spark, sf_dir):
     tree, m = dsl.match_tree('the "of the" -from OR nicht der'), mail(spark, sf_dir)
     likely = postings.candidates(postings.build(m), tree)
-    return m.join(likely, "message_id", "left_semi").filter(X.matches(tree, filters.message_document())).select("message_id")
+    return m.join(likely, "message_id", "left_semi").filter(X.matches(tree, filters.message_document(m))).select("message_id")
 
 
 @query()

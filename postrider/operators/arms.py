@@ -34,14 +34,14 @@ def tf_score(tree, doc_words: Column) -> Column:
 def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_density: bool = False) -> DataFrame:
     """Arm 1: messages whose text or attachment names match; nothing for a blank text."""
     tree = dsl.expanded_tree(query)
-    found = messages.filter(P.text_match(tree) if tree is not None else F.lit(False))
+    found = messages.filter(P.text_match(tree, messages) if tree is not None else F.lit(False))
     if cover_density:
         sides = tree[1] if tree and tree[0] == "any" else [tree] if tree else []
         terms = [X.required_words(s) for s in sides]
-        doc = R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), F.col("body_text"), F.array_join("to_addrs", " "))
+        doc = R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), P.body(messages), F.array_join("to_addrs", " "))
         score = R.cover_density_column(doc, terms, R.boosts())
     else:
-        score = tf_score(tree, X.tokens(F.concat_ws(" ", "subject", "from_addr", "from_name", "body_text", F.array_join("to_addrs", " "))))
+        score = tf_score(tree, X.tokens(F.concat_ws(" ", "subject", "from_addr", "from_name", P.body(messages), F.array_join("to_addrs", " "))))
     scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), score.alias("arm_score"))
     return top_ranked(scored, limit, 1)
 

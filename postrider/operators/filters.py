@@ -60,14 +60,21 @@ def conditions(f: dsl.Filters) -> list[Column]:
     return found
 
 
-def message_document() -> Column:
+def body(messages: DataFrame | None) -> Column:
+    """Plain text and the HTML body without its tags, in that order; tables without a body_html column, or none given, have the text alone."""
+    if messages is None or "body_html" not in messages.columns:
+        return F.col("body_text")
+    return F.concat_ws(" ", "body_text", F.regexp_replace("body_html", r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<![A-Za-z][^>]*>|&#?[A-Za-z0-9]+;", " "))
+
+
+def message_document(messages: DataFrame | None = None) -> Column:
     """Words of subject, sender, body and recipients, in that order."""
-    return X.document(F.col("subject"), F.col("from_addr"), F.col("from_name"), F.col("body_text"), F.array_join("to_addrs", " "))
+    return X.document(F.col("subject"), F.col("from_addr"), F.col("from_name"), body(messages), F.array_join("to_addrs", " "))
 
 
-def text_match(tree) -> Column:
+def text_match(tree, messages: DataFrame | None = None) -> Column:
     """A tree over the message or over its attachment names; names count only if an empty document would not match."""
-    found = X.matches(tree, message_document())
+    found = X.matches(tree, message_document(messages))
     if tree is not None and not dsl.holds(tree, " "):
         found = found | F.coalesce(X.matches(tree, X.names_document(attachment_names())), F.lit(False))
     return found
@@ -93,5 +100,5 @@ def apply_filters(messages: DataFrame, query: dsl.Query, accounts: DataFrame | N
     excluded = dsl.match_tree(dsl.excluded_text(query.free_text))
     if excluded is not None:
         # Every side of the tree is an exclusion; a message must be free of them in its text and in its names.
-        out = out.filter(X.matches(excluded, message_document()) & X.matches(excluded, F.coalesce(X.names_document(attachment_names()), F.lit(" "))))
+        out = out.filter(X.matches(excluded, message_document(out)) & X.matches(excluded, F.coalesce(X.names_document(attachment_names()), F.lit(" "))))
     return out

@@ -22,7 +22,7 @@ def term_bucket(term, buckets: int = BUCKETS):
 def build(messages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row for each message and word, of its text or of its attachments' names."""
     names = F.coalesce(X.names_document(filters.attachment_names()), F.lit(" "))
-    words = F.array_distinct(F.array_remove(F.split(F.concat(filters.message_document(), names), " "), ""))
+    words = F.array_distinct(F.array_remove(F.split(F.concat(filters.message_document(messages), names), " "), ""))
     return messages.select("message_id", F.explode(words).alias("term")).withColumn("bucket", term_bucket(F.col("term"), buckets))
 
 

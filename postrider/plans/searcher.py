@@ -110,7 +110,7 @@ class Searcher:
         rows = self.scoped(replace(query), allowed)
         tree = dsl.match_tree(query.free_text)
         if tree is not None:
-            rows = rows.filter(filters.text_match(tree))
+            rows = rows.filter(filters.text_match(tree, rows))
         got = paging.walk(rows.select("message_id", "subject", "from_addr", "effective_date"), size, order, at).collect()
         shown = [r.asDict() | {"rank": i + 1, "score": 1 / (i + 1), "snippet": ""} for i, r in enumerate(got[:size])]
         more = paging.Cursor(got[size - 1]["effective_date"], got[size - 1]["message_id"], order, tree is not None).encode() if len(got) > size else None
