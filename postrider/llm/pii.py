@@ -34,7 +34,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 _TRIGGER_PATTERN = r"[0-9@]|[\[(](?:at|AT)[\])]"
 _TRIGGER = re.compile(_TRIGGER_PATTERN)
-_LOOK_BACK, _LOOK_AHEAD, _LONGEST_ZONE = 32, 64, 8192
+_LOOK_BACK, _LOOK_AHEAD = 32, 64
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -140,7 +140,7 @@ def span_features(text: str, start: int, end: int, kind: str) -> list[str]:
 
 
 def tokens_around(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Zones: runs of tokens near a digit or @ that lie outside the spans already taken."""
+    """Zones: runs of tokens near a digit or @ that lie outside the spans already taken; a run is one zone, however long."""
     gaps, at = [], 0
     for s, e in sorted(taken):
         if s > at:
@@ -154,8 +154,9 @@ def tokens_around(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[in
             low, near = max(end, m.start() - _LOOK_BACK), m
             while near:
                 high = min(last, near.end() + _LOOK_AHEAD)
-                near = _TRIGGER.search(text, high - _LOOK_AHEAD, high) if high < last and high - low < _LONGEST_ZONE else None
-            while end < low > m.start() - 3 * _LOOK_BACK and text[low - 1].isalnum() and text[low].isalnum():
+                near = _TRIGGER.search(text, high - _LOOK_AHEAD, high) if high < last else None
+            # No zone starts inside a word, or inside the local part of an address.
+            while low > end and (text[low - 1].isalnum() or text[low - 1] in _LOCAL_CHARS) and (text[low].isalnum() or text[low] in _LOCAL_CHARS):
                 low -= 1
             zones.append([(t.start(), t.end()) for t in _TOKEN.finditer(text, low, high)])
             end = high
