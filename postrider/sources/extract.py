@@ -7,6 +7,7 @@ import html
 import io
 import re
 import zipfile
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -128,6 +129,61 @@ def _zipped(data: bytes, pattern: str, paragraph: str, run: str) -> str:
         return "\n".join(_xml_text(z.read(n), paragraph, run) for n in names)
 
 
+_DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
+
+
+def _named(node, name: str) -> list:
+    return [x for x in node.iter() if x.tag.rpartition("}")[2] == name]
+
+
+def _run_text(node) -> str:
+    """Text of a string item, without its phonetic reading."""
+    skipped = {t for p in _named(node, "rPh") for t in p.iter()}
+    return "".join(t.text or "" for t in _named(node, "t") if t not in skipped)
+
+
+def _cell(cell, shared: list[str], dates: set[int], start: datetime) -> str:
+    kind, v = cell.get("t", "n"), next((x.text for x in _named(cell, "v") if x.text), None)
+    if kind == "inlineStr":
+        return _run_text(cell)
+    if v is None:
+        return ""
+    if kind == "s":
+        return shared[int(v)]
+    if kind == "b":
+        return str(v == "1")
+    if kind == "n" and int(cell.get("s", 0)) in dates:
+        days = float(v)
+        # Day 60 is the 29th of February 1900 that never was.
+        moment = start + timedelta(days=days + (start.year == 1899 and 1 <= days < 60), milliseconds=500)
+        moment = moment.replace(microsecond=0)
+        return str(moment.time() if 0 <= days < 1 else moment)
+    return v
+
+
+def _xlsx(data: bytes) -> str:
+    """A line for each row that has values, of every worksheet in the workbook's order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        tree = lambda n: ElementTree.fromstring(z.read(n)) if n in names else ElementTree.Element("none")
+        shared = [_run_text(x) for x in _named(tree("xl/sharedStrings.xml"), "si")]
+        styles, book = tree("xl/styles.xml"), tree("xl/workbook.xml")
+        codes = {int(x.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[(?![hms]+\])[^\]]*\]', "", x.get("formatCode", "")) for x in _named(styles, "numFmt")}
+        dated = _DATE_FORMATS | {k for k, code in codes.items() if re.search(r"[ymdhs]", code.lower()) and "general" not in code.lower()}
+        formats = [int(x.get("numFmtId", 0)) for part in _named(styles, "cellXfs") for x in _named(part, "xf")]
+        dates = {k for k, f in enumerate(formats) if f in dated}
+        start = datetime(1904, 1, 1) if any(x.get("date1904") in ("1", "true") for x in _named(book, "workbookPr")) else datetime(1899, 12, 30)
+        target = {x.get("Id"): x.get("Target", "") for x in _named(tree("xl/_rels/workbook.xml.rels"), "Relationship")}
+        linked = [target.get(v, "") for x in _named(book, "sheet") for k, v in x.attrib.items() if k.endswith("}id")]
+        sheets = [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in linked]
+        found = sorted((n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)])
+        sheets = [*(n for n in sheets if n in found), *(n for n in found if n not in sheets)]
+        if not sheets:
+            return "\n".join(x for x in shared if x)
+        rows = (" ".join(filter(None, (_cell(c, shared, dates, start) for c in _named(row, "c")))) for n in sheets for row in _named(tree(n), "row"))
+        return "\n".join(x for x in rows if x)
+
+
 def _odt(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read("content.xml"))
@@ -153,7 +209,7 @@ def _csv(data: bytes) -> str:
 
 _BY_EXTENSION = {
     ".txt": _decode, ".md": _decode, ".html": _html, ".htm": _html, ".csv": _csv, ".rtf": _rtf, ".ics": _ics, ".odt": _odt,
-    ".docx": lambda d: _zipped(d, r"word/document\.xml", "p", "t"), ".xlsx": lambda d: _zipped(d, r"xl/sharedStrings\.xml", "si", "t"), ".pptx": lambda d: _zipped(d, r"ppt/slides/slide\d+\.xml", "p", "t"),
+    ".docx": lambda d: _zipped(d, r"word/document\.xml", "p", "t"), ".xlsx": _xlsx, ".pptx": lambda d: _zipped(d, r"ppt/slides/slide\d+\.xml", "p", "t"),
 }
 _BY_MIME = {
     "text/plain": ".txt", "text/markdown": ".md", "text/html": ".html", "text/csv": ".csv", "application/rtf": ".rtf", "text/rtf": ".rtf", "text/calendar": ".ics",
