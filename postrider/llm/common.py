@@ -146,6 +146,31 @@ def word_hashes(block: Block, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return h
 
 
+def word_numbers(block: Block, starts: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for two words if their bytes are: hashes group them, bytes confirm the groups."""
+    if len(starts) == 0:
+        return np.zeros(0, np.int64)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    number = number.reshape(-1)
+    like = first[number]
+    same = lengths == lengths[like]
+    eight = np.ndarray((len(block.buf) - 7,), dtype="<u8", buffer=block.buf, strides=(1,))
+    masks = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+    todo, lane = np.flatnonzero(same & (lengths <= _LONG_WORD)), 0
+    while len(todo):
+        different = (eight[starts[todo] + lane] ^ eight[starts[like[todo]] + lane]) & masks[np.minimum(lengths[todo] - lane, 8)] != 0
+        same[todo[different]] = False
+        lane += 8
+        todo = todo[lengths[todo] > lane]
+    word = lambda i: block.raw[starts[i] : starts[i] + lengths[i]]
+    for i in np.flatnonzero(same & (lengths > _LONG_WORD)):
+        same[i] = word(i) == word(like[i])
+    other: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same):
+        number[i] = len(first) + other.setdefault(word(i), len(other))
+    return number
+
+
 def window_hashes(h: np.ndarray, width: int, factor: int = 0x9E3779B97F4A7C55) -> np.ndarray:
     """Order-sensitive hash of each ``width`` consecutive hashes."""
     if len(h) < width:

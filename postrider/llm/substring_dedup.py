@@ -1,24 +1,28 @@
 """Repeated passages by prefix-partitioned suffix trees over words.
 
-Every word position with ``width`` words from there on is a suffix.  A first pass
-counts suffixes by the hashed first one, two and three words.  Prefixes are taken
-as short as a memory-sized group allows: one word where that is rare enough, else
-two, else three, else the whole ``width`` words.  The groups hold the suffixes of
-one or several such prefixes; a group's tree is built in one task by sorting the
-suffixes' path labels.  Only its internal nodes at depth ``width`` are needed: the
-suffixes below one share those words, and all but the smallest document's are
-repeats.  Consecutive repeats make the maximal repeated passages.
-
-Suffixes travel as packed arrays, about nine bytes each.  Within a block of
-documents, those under one node are combined first: only the smallest document's
-go on, the others are known to be repeats.  So a passage in a third of all
-documents costs a group one suffix for each block, not for each document.
+A suffix is a word position with ``width`` words from there on.  Each is filed under
+its anchor: of the word triples it begins with or contains within ``width`` words, the
+one of least hash.  Equal suffixes have equal anchors, and neighbours mostly share
+one, so a run of them travels as one stretch of text, some three times the text in
+all instead of ``width`` times.  The anchors' own suffixes are split by prefixes of
+variable length: one word where few stretches have it, else two, else three, and the
+whole suffix where even that is too many.  Prefixes are dealt to memory-sized groups.
+
+A group's tree is built from the root down, level by level, and only where a node has
+two leaves or more: each level sorts the leaves of the open nodes by their next
+words and closes those that stand alone.  What is left at depth ``width`` are the
+internal nodes of that depth; the suffixes below one have all those words in
+common, and all but those of the smallest document are repeats.  Consecutive
+repeats make the maximal repeated passages.  Words are numbered by their bytes, so
+nothing rests on hashes.
+
+Each block of documents builds such a tree first and sends only the suffixes of its
+smallest document on; the others are known repeats.  Prefixes that remain too large
+are combined in salted groups before their own.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -27,236 +31,276 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Block, blocks, covered, window_hashes, word_hashes, words_of
+from .common import NON_SPACE, Block, blocks, checkpointed, covered, mix64, window_hashes, word_hashes, word_numbers, words_of
 
 WIDTH = 13
-#: Suffixes in a group's tree, at most, but for suffixes with all words in common.
-GROUP_SUFFIXES = 2_000_000
-#: Words of text in one task of the last step, about.
-PART_WORDS = 1_500_000
-_BITS, _DEPTH = 4, 3
-_CELLS = 1 << (_BITS * _DEPTH)
+#: Stretches in a group, about.
+GROUP_ROWS = 100_000
+#: Bytes of text in one task of the last step, about.
+PART_BYTES = 32 << 20
+SALTS = 16
+_DEPTH = 3
 _BLOCK = 8 << 20
+_RUNS = "array<struct<first:int,n:int>>"
+_STRETCH = "grp long, id long, txt long, first int, n int, words binary, heavy boolean"
 
 
-def _suffixes(block: Block, width: int):
-    """(first word of each text, word hashes, suffix positions, text of each suffix)."""
-    starts, lengths, firsts = words_of(block, NON_SPACE)
-    h = word_hashes(block, starts, lengths)
-    text = np.repeat(np.arange(len(block)), np.diff(firsts))
-    at = np.flatnonzero(np.arange(len(h)) + width <= firsts[1:][text]) if len(h) else np.zeros(0, np.int64)
-    return firsts, h, at, text[at] if len(h) else at
+def deep_nodes(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves, node): the suffixes of ``at`` that lie below an internal node at ``depth`` words, as indexes of ``at``, and the number of that node.
 
+    ``words`` are word numbers; nodes are opened from the root down, several words a level.
+    """
+    leaves, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+    bits = max(1, int(words.max(initial=1)).bit_length())
+    done = 0
+    while done < depth and len(leaves):
+        take = min(depth - done, max(1, (63 - int(node[-1]).bit_length()) // bits))
+        key = node
+        for k in range(take):
+            key = key << bits | words[at[leaves] + done + k]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        alone = head & np.append(head[1:], True)
+        leaves, node = leaves[order[~alone]], np.cumsum(head[~alone]) - 1
+        done += take
+    return leaves, node
+
+
+def repeats(words: np.ndarray, at: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each suffix lies below a deep node that also has a suffix of a smaller id."""
+    leaves, node = deep_nodes(words, at, depth)
+    out = np.zeros(len(at), dtype=bool)
+    if len(leaves):
+        least = np.minimum.reduceat(ids[leaves], np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])))
+        out[leaves] = ids[leaves] > least[node]
+    return out
 
-def _cells(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of the three-word prefix of each suffix: some bits of each word's hash, first word highest."""
-    cell = np.zeros(len(at), np.int64)
-    for k in range(_DEPTH):
-        cell = cell << _BITS | (h[at + k] >> np.uint64(64 - _BITS)).astype(np.int64)
-    return cell
 
+def _suffixes(block: Block, width: int):
+    """(word starts, lengths, first word of each text, word hashes, suffix positions, text of each suffix)."""
+    starts, lengths, firsts = words_of(block, NON_SPACE)
+    n = np.maximum(np.diff(firsts) - width + 1, 0)
+    text = np.repeat(np.arange(len(block)), n)
+    at = firsts[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return starts, lengths, firsts, word_hashes(block, starts, lengths), at, text
+
+
+def anchors(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Position of each suffix's anchor: the first triple of least hash within its ``width`` words."""
+    triple = window_hashes(h, _DEPTH)
+    least, out = (triple[at], at.copy()) if len(at) else (np.zeros(0, np.uint64), at)
+    for k in range(1, width - _DEPTH + 1):
+        value = triple[at + k]
+        less = value < least
+        least[less] = value[less]
+        out[less] = at[less] + k
+    return out
 
-def prefix_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Suffixes under each three-word prefix cell, over all texts: ``_CELLS`` numbers, whatever the input."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_CELLS, np.int64)
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                _, h, at, _ = _suffixes(block, width)
-                total += np.bincount(_cells(h, at), minlength=_CELLS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["cell", "n"])
-
-    found = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(_CELLS, np.int64)
-    for r in found:
-        out[r["cell"]] = r["n"]
-    return out
+def _run_heads(*columns: np.ndarray) -> np.ndarray:
+    """Indexes at which any column differs from the row before; a column that steps by one is given less its index."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    change = np.zeros(len(columns[0]), dtype=bool)
+    change[0] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
-def plan_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """First group and number of groups of each cell, and the number of groups.
+def _cells(h: np.ndarray, at: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For prefixes of one, two and three words at ``at``: (hash, its leading ``bits``)."""
+    value = [mix64(h[at]) if k == 1 else window_hashes(h, k)[at] for k in range(1, _DEPTH + 1)]
+    return [(v, (v >> np.uint64(64 - bits)).astype(np.int64)) for v in value]
 
-    A prefix is extended by a word while it holds over ``most`` suffixes; short
-    prefixes that are neighbours share a group.
-    """
-    first, parts = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
-    group, filled = 0, 0
-
-    def place(low: int, size: int) -> None:
-        nonlocal group, filled
-        n = int(counts[low : low + size].sum())
-        if n > most and size > 1:
-            for k in range(1 << _BITS):
-                place(low + k * (size >> _BITS), size >> _BITS)
-            return
-        if filled and filled + n > most:
-            group, filled = group + 1, 0
-        first[low : low + size] = group
-        if n > most:
-            parts[low] = -(-n // most)
-            group, filled = group + int(parts[low]), 0
-        else:
-            filled += n
-
-    place(0, len(counts))
-    return first, parts, group + (filled > 0) or 1
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Non-decreasing numbers, compressed as byte planes of their differences."""
-    step = np.diff(values, prepend=0).astype("<u8")
-    return zlib.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64))
-
-
-def _join(parts: list[bytes]) -> bytes:
-    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def _cut(data: bytes) -> list[bytes]:
-    n = struct.unpack_from("<I", data)[0]
-    sizes, at, out = struct.unpack_from(f"<{n}I", data, 4), 4 * n + 4, []
-    for size in sizes:
-        out.append(data[at : at + size])
-        at += size
-    return out
 
+def prefix_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """(level, cell, n): stretches under each hashed prefix of one, two and three words, over all texts."""
 
-def _block_rows(ids: np.ndarray, block: Block, width: int, plan) -> Iterator[tuple[int, bytes]]:
-    """(group, packed suffixes) of one block whose texts are ordered by id; repeats found within the block are marked."""
-    first, parts, n_groups = plan
-    firsts, h, at, text = _suffixes(block, width)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((_DEPTH, 1 << bits), np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                *_, h, at, text = _suffixes(block, width)
+                a = anchors(h, at, width)
+                for level, (_, cell) in enumerate(_cells(h, a[_run_heads(a, text)], bits)):
+                    total[level] += np.bincount(cell, minlength=1 << bits)
+        level, cell = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int64()), pa.array(total[level, cell])], names=["level", "cell", "n"])
+
+    return docs.select("text").mapInArrow(count, "level int, cell long, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
+
+
+class Plan:
+    """How prefixes are extended and dealt: ``open`` marks the cells of one and two words that are extended, ``parts`` says into how many a cell of three words is split."""
+
+    def __init__(self, counts: DataFrame, bits: int, group_rows: int):
+        self.bits, limit = bits, max(1, group_rows // 4)
+        counts = checkpointed(counts)
+        self.rows = counts.filter("level = 0").agg(F.sum("n")).first()[0] or 0
+        self.groups = max(1, -(-self.rows // group_rows))
+        self.open = np.zeros((_DEPTH - 1, 1 << bits), dtype=bool)
+        self.parts = np.ones(1 << bits, np.int32)
+        # Only cells over the limit come to the driver: at most rows / limit of them on each level, and the maps above have about as many cells.
+        for r in counts.filter(F.col("n") > limit).collect():
+            if r["level"] < _DEPTH - 1:
+                self.open[r["level"], r["cell"]] = True
+            else:
+                self.parts[r["cell"]] = -(-r["n"] // limit)
+        self.heavy = bool((self.parts > 1).any())
+
+    def deal(self, h: np.ndarray, at: np.ndarray, a: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(group, heavy) of suffixes by their anchors."""
+        levels = _cells(h, a, self.bits)
+        value, (last, cell) = levels[0][0].copy(), levels[-1]
+        extend = np.ones(len(a), dtype=bool)
+        for k in range(_DEPTH - 1):
+            extend &= self.open[k, levels[k][1]]
+            value[extend] = levels[k + 1][0][extend]
+        heavy = extend & (self.parts[cell] > 1)
+        if heavy.any():
+            whole = window_hashes(h, width)[at[heavy]] % self.parts[cell[heavy]].astype(np.uint64)
+            value[heavy] = mix64(last[heavy] + whole)
+        return (value % np.uint64(self.groups)).astype(np.int64), heavy
+
+
+def _slices(block: Block, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """Binary array of the block's bytes from each low up to each high."""
+    size = high - low
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data = block.buf[np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _block_rows(ids: np.ndarray, txt: np.ndarray, block: Block, width: int, plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows of one block: known repeats (without words), and stretches of the suffixes that are to be compared with other blocks'."""
+    starts, lengths, firsts, h, at, text = _suffixes(block, width)
     if not len(at):
         return
-    label = window_hashes(h, width)[at]
-    order = np.argsort(label, kind="stable")
-    sorted_label, sorted_id = label[order], ids[text[order]]
-    head = np.concatenate([[True], sorted_label[1:] != sorted_label[:-1]])
-    least = np.repeat(sorted_id[head], np.diff(np.append(np.flatnonzero(head), len(order))))
-    repeat = np.zeros(len(at), dtype=bool)
-    repeat[order] = sorted_id != least
-    base = int(ids.min())
-    table = [struct.pack("<q", base), zlib.compress((ids - base).astype("<i8").tobytes(), 1), _pack(firsts[:-1])]
-    if repeat.any():
-        yield int(label[0] % np.uint64(n_groups)), _join([b"known", *table, _pack(at[repeat])])
-    at, label = at[~repeat], label[~repeat]
-    cell = _cells(h, at)
-    group = first[cell] + (label >> np.uint64(20)).astype(np.int64) % parts[cell]
-    order = np.argsort(group, kind="stable")
-    group, at, label = group[order], at[order], label[order]
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
-    for lo, hi in zip(cuts, cuts[1:]):
-        yield int(group[lo]), _join([b"ask", *table, _pack(at[lo:hi]), label[lo:hi].astype("<u8").tobytes()])
-
-
-def _suffix_rows(docs: DataFrame, width: int, plan) -> DataFrame:
+    again = repeats(word_numbers(block, starts, lengths, h), at, ids[text], width)
+    known, ask = np.flatnonzero(again), np.flatnonzero(~again)
+    head = _run_heads(at[known] - np.arange(len(known)), text[known])
+    if len(head):
+        n = np.diff(np.append(head, len(known)))
+        row = known[head]
+        yield _batch(ids[text[row]] % plan.groups, ids[text[row]], txt[text[row]], at[row] - firsts[text[row]], n, pa.nulls(len(head), pa.binary()), np.zeros(len(head), bool))
+    at, text = at[ask], text[ask]
+    a = anchors(h, at, width)
+    group, heavy = plan.deal(h, at, a, width)
+    every = _run_heads(at - np.arange(len(at)), text, a, group)
+    n = np.diff(np.append(every, len(at)))
+    for k in range(0, len(every), 50_000):
+        head, size = every[k : k + 50_000], n[k : k + 50_000]
+        end = at[head] + size + width - 2
+        yield _batch(group[head], ids[text[head]], txt[text[head]], at[head] - firsts[text[head]], size, _slices(block, starts[at[head]], starts[end] + lengths[end]), heavy[head])
+
+
+def _batch(grp, ids, txt, first, n, words, heavy) -> pa.RecordBatch:
+    columns = [pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(txt, pa.int64()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), words, pa.array(heavy)]
+    return pa.RecordBatch.from_arrays(columns, names=["grp", "id", "txt", "first", "n", "words", "heavy"])
+
+
+def stretches(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """Known repeats and stretches of text (see ``_STRETCH``) of (id, txt, text) without nulls."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.Table.from_batches([batch]).sort_by("id").combine_chunks()
-            ids = batch.column("id").to_numpy()
-            texts = batch.column("text").combine_chunks()
-            for block in blocks(texts, limit=_BLOCK):
-                rows = list(_block_rows(ids[block.first : block.first + len(block)], block, width, shared.value))
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["grp", "packed"])
-
-    return docs.select("id", "text").mapInArrow(emit, "grp int, packed binary")
-
-
-def repeats_of_group(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(id, word position) of the repeats that a group's suffixes show, and of those known before."""
-    ids, places, labels, known = [], [], [], []
-    for data in packed:
-        kind, base, table, firsts, at, *label = _cut(data)
-        table = np.frombuffer(zlib.decompress(table), "<i8") + struct.unpack("<q", base)[0]
-        firsts, at = _unpack(firsts), _unpack(at)
-        text = np.searchsorted(firsts, at, side="right") - 1
-        ids.append(table[text])
-        places.append(at - firsts[text])
-        labels.append(np.frombuffer(label[0], "<u8") if label else np.zeros(len(at), np.uint64))
-        known.append(np.full(len(at), kind == b"known"))
-    ids, places, labels, known = (np.concatenate(x) for x in (ids, places, labels, known))
-    # The subtree's leaves in order of their path labels; nodes at full depth are the runs of equal labels.
-    asked = np.flatnonzero(~known)
-    order = asked[np.argsort(labels[asked], kind="stable")]
-    repeat = known.copy()
-    if len(order):
-        node = np.flatnonzero(np.concatenate([[True], labels[order][1:] != labels[order][:-1]]))
-        least = np.minimum.reduceat(ids[order], node)
-        repeat[order] = ids[order] > np.repeat(least, np.diff(np.append(node, len(order))))
-    return ids[repeat], places[repeat]
-
-
-def _repeat_rows(suffixes: DataFrame, n_parts: int) -> DataFrame:
-    def build(table: pa.Table) -> pa.Table:
-        ids, places = repeats_of_group(table.column("packed").to_pylist())
-        part = np.mod(ids, n_parts)
-        order = np.lexsort((places, ids, part))
-        ids, places, part = ids[order], places[order], part[order]
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)) if len(part) else np.zeros(0, np.int64)
-        rows = []
-        for lo, hi in zip(cuts, cuts[1:]):
-            own, n = np.unique(ids[lo:hi], return_counts=True)
-            rows.append((int(part[lo]), _join([struct.pack("<q", own[0]), _pack(own - own[0]), zlib.compress(n.astype("<u4").tobytes(), 1), zlib.compress(places[lo:hi].astype("<u4").tobytes(), 1)])))
-        return pa.table({"part": pa.array([p for p, _ in rows], pa.int64()), "packed": pa.array([x for _, x in rows], pa.binary())})
-
-    return suffixes.groupBy("grp").applyInArrow(build, "part long, packed binary")
-
-
-def _without_repeats(texts: pa.Table, packed: list[bytes], width: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    ids, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for data in packed:
-        base, own, n, at = _cut(data)
-        ids.append(np.repeat(_unpack(own) + struct.unpack("<q", base)[0], np.frombuffer(zlib.decompress(n), "<u4")))
-        places.append(np.frombuffer(zlib.decompress(at), "<u4").astype(np.int64))
-    ids, places = np.concatenate(ids), np.concatenate(places)
-    order = np.argsort(ids, kind="stable")
-    ids, places = ids[order], places[order]
-    doc_ids = texts.column("id").combine_chunks()
-    valid = doc_ids.is_valid().to_numpy(zero_copy_only=False)
-    doc_ids = doc_ids.fill_null(0).to_numpy()
-    low, high = np.searchsorted(ids, doc_ids), np.searchsorted(ids, doc_ids, side="right")
-    high = np.where(valid, high, low)
-    for block in blocks(texts.column("text").combine_chunks()):
+            ids, txt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in blocks(batch.column(2), limit=_BLOCK):
+                own = slice(block.first, block.first + len(block))
+                yield from _block_rows(ids[own], txt[own], block, width, shared.value)
+
+    return docs.select("id", "txt", "text").mapInArrow(emit, _STRETCH)
+
+
+def group_tree(table: pa.Table, width: int) -> tuple[pa.Table, np.ndarray]:
+    """Repeats among a group's stretches, with those known before, as rows without words; and whether each stretch has a suffix that is none."""
+    asked = table.filter(table.column("words").is_valid())
+    known = table.filter(table.column("words").is_null())
+    text = asked.column("words").combine_chunks().cast(pa.large_binary()).view(pa.large_string())
+    found, open_ = [known], np.zeros(0, bool)
+    for block in blocks(text, limit=1 << 62):
+        starts, lengths, firsts, h, at, row = _suffixes(block, width)
+        ids = asked.column("id").to_numpy()
+        again = repeats(word_numbers(block, starts, lengths, h), at, ids[row], width)
+        open_ = np.bincount(row[~again], minlength=len(block)) > 0
+        hit = np.flatnonzero(again)
+        head = _run_heads(at[hit] - np.arange(len(hit)), row[hit])
+        n, own = np.diff(np.append(head, len(hit))), row[hit[head]]
+        first = asked.column("first").to_numpy()[own] + at[hit[head]] - firsts[own]
+        found.append(pa.Table.from_batches([_batch(asked.column("grp").to_numpy()[own], ids[own], asked.column("txt").to_numpy()[own], first, n, pa.nulls(len(head), pa.binary()), np.zeros(len(head), bool))]).cast(table.schema))
+    return pa.concat_tables(found), open_
+
+
+def repeat_runs(rows: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """(id, txt, first, n): runs of ``n`` consecutive suffixes, from word ``first`` on, that repeat a smaller document's."""
+
+    def combine(table: pa.Table) -> pa.Table:
+        found, open_ = group_tree(table, width)
+        return pa.concat_tables([found, table.filter(table.column("words").is_valid()).filter(pa.array(open_))])
+
+    def finish(table: pa.Table) -> pa.Table:
+        return group_tree(table, width)[0].select(["id", "txt", "first", "n"])
+
+    n_tasks = int(max(1, min(100_000, plan.groups // 2), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if plan.heavy:
+        rows = checkpointed(rows)
+        salted = rows.filter("heavy").withColumn("salt", F.pmod(F.xxhash64("id", "txt"), F.lit(SALTS))).repartition(n_tasks, "grp", "salt")
+        less = salted.groupBy("grp", "salt").applyInArrow(lambda t: combine(t.drop_columns(["salt"])), _STRETCH)
+        rows = rows.filter("NOT heavy").unionByName(less)
+    return rows.repartition(n_tasks, "grp").groupBy("grp").applyInArrow(finish, "id long, txt long, first int, n int")
+
+
+def _kept(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    runs = batch.column(2)
+    offsets, flat = runs.offsets.to_numpy(), runs.values.flatten()
+    first, n = (x.to_numpy() for x in flat)
+    at, valid = offsets.copy(), runs.is_valid().to_numpy(zero_copy_only=False)
+    for block in blocks(batch.column(1)):
         _, _, firsts = words_of(block, NON_SPACE)
+        n_words, n_gone, kept = np.diff(firsts), np.zeros(len(block), np.int64), []
         for i in range(len(block)):
             k, words = block.first + i, block.text(i).split()
-            if high[k] > low[k]:
-                gone = covered(len(words), places[low[k] : high[k]], width)
-                yield k, len(words), int(gone.sum()), b" ".join(compress(words, ~gone))
-            else:
-                yield k, len(words), 0, b" ".join(words)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_suffixes: int = GROUP_SUFFIXES, part_words: int = PART_WORDS) -> DataFrame:
+            if valid[k] and at[k + 1] > at[k]:
+                own = slice(at[k], at[k + 1])
+                gone = covered(len(words), first[own], n[own] + width - 1)
+                n_gone[i] = gone.sum()
+                words = compress(words, ~gone)
+            kept.append(b" ".join(words))
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(n_words), pa.array(n_gone), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(id, txt, runs): for each text (by id and hash) that repeats passages of smaller ids, its runs of suffixes: words first .. first + n + width - 2."""
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("txt"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A stretch covers some 18 words; four cells for each prefix that may be over the limit.
+    bits = max(12, int(4 * size / 30 / max(1, group_rows // 4)).bit_length())
+    plan = Plan(prefix_counts(known, width, bits), bits, group_rows)
+    runs = repeat_runs(stretches(known, width, plan), width, plan)
+    return runs.groupBy("id", "txt").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words left, joined by one space.
 
     A word goes if a window of ``width`` words over it also starts in a document of
-    a smaller id.  Ids are unique integers; a row without an id is compared with
-    none and keeps its words.  Null texts have no words; texts of fewer than
-    ``width`` words keep all; an empty table gives an empty result; other columns
-    are ignored.
+    a smaller id.  Ids are integers.  Rows that share an id are judged each by its own
+    text, and not against each other; repeated rows are judged alike.  A row without
+    an id is compared with none and keeps its words.  Null texts have no words; texts
+    of fewer than ``width`` words keep all; very long texts are whole; an empty table
+    gives an empty result; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = source.filter("id IS NOT NULL AND text IS NOT NULL")
-    counts = prefix_counts(known, width)
-    plan = plan_groups(counts, group_suffixes)
-    n_parts = max(1, int(counts.sum()) // part_words) | 1
-    flags = _repeat_rows(_suffix_rows(known, width, plan), n_parts)
-    part = F.coalesce(F.pmod(F.col("id"), F.lit(n_parts)), F.pmod(F.xxhash64("text"), F.lit(n_parts)))
-    dealt = source.withColumn("part", part)
-
-    def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        rows = list(_without_repeats(texts, marks.column("packed").to_pylist(), width))
-        column = lambda i, kind: pa.array([r[i] for r in rows], kind)
-        kept = column(3, pa.binary()).cast(pa.string())
-        return pa.table({id_col: texts.column("id"), "n_words": column(1, pa.int64()), "n_removed": column(2, pa.int64()), "kept": kept})
-
-    return dealt.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(finish, f"{id_col} long, n_words long, n_removed long, kept string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("txt", F.xxhash64("text"))
+    runs = repeated_passages(docs, id_col, text_col, width, group_rows)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // part_bytes)))
+    joined = source.repartition(n_parts, "id", "txt").join(runs, ["id", "txt"], "left").select("id", "text", "runs")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _kept(batch, width)
+
+    return joined.mapInArrow(finish, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)

@@ -48,8 +48,8 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-@pytest.mark.parametrize("group_suffixes, part_words", [(2_000_000, 1_500_000), (200, 500)])
-def test_repeated_passages(docs, rows, none, group_suffixes, part_words):
+@pytest.mark.parametrize("group_rows, part_bytes", [(100_000, 1 << 25), (20, 500)])
+def test_repeated_passages(docs, rows, none, group_rows, part_bytes):
     w, first, want = 13, {}, {}
     for d, t in sorted(rows):
         x = words(t)
@@ -61,7 +61,7 @@ def test_repeated_passages(docs, rows, none, group_suffixes, part_words):
             if first[tuple(x[i : i + w])] < d:
                 gone.update(range(i, i + w))
         want[d] = (len(x), len(gone), " ".join(y for i, y in enumerate(x) if i not in gone))
-    got = substring_dedup.remove_repeats(docs, group_suffixes=group_suffixes, part_words=part_words).collect()
+    got = substring_dedup.remove_repeats(docs, group_rows=group_rows, part_bytes=part_bytes).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want and len(got) == len(rows)
     assert any(v[1] for v in want.values())
     assert substring_dedup.remove_repeats(none).count() == 0
@@ -73,12 +73,43 @@ def test_rows_without_id_keep_their_words(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (0, 0), (1, 0), (2, 20)]
 
 
-def test_groups_take_short_prefixes_where_they_fit():
-    counts = np.ones(substring_dedup._CELLS, np.int64)
-    counts[5] = 10_000
-    first, parts, n = substring_dedup.plan_groups(counts, 1000)
-    load = np.bincount(first, weights=counts / parts, minlength=n)
-    assert parts[5] == 10 and n >= 10 and load.max() <= 1000
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    """A window goes if it starts under a smaller id; texts under one id are not compared with each other."""
+    p = " ".join(f"p{i}" for i in range(20))
+    q = " ".join(f"q{i}" for i in range(20))
+    rows = [(1, p), (5, "x " * 100 + p), (5, "only three words"), (5, q), (5, q), (5, "y " + q), (9, q)]
+    for group_rows in (100_000, 4):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group_rows=group_rows).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 20, 0), (5, 3, 0), (5, 20, 0), (5, 20, 0), (5, 21, 0), (5, 120, 20), (9, 20, 20)]
+
+
+def test_deep_nodes_are_the_shared_word_sequences():
+    rnd = np.random.default_rng(1)
+    for n, alphabet in ((0, 2), (1, 2), (40, 2), (400, 3), (400, 1 << 40)):
+        w = rnd.integers(0, alphabet, n + 13)
+        at = np.arange(n)
+        leaves, node = substring_dedup.deep_nodes(w, at, 13)
+        of = {}
+        for i in range(n):
+            of.setdefault(tuple(w[i : i + 13]), set()).add(i)
+        want = {frozenset(x) for x in of.values() if len(x) > 1}
+        got = {}
+        for i, k in zip(leaves, node):
+            got.setdefault(k, set()).add(int(i))
+        assert {frozenset(x) for x in got.values()} == want
+
+
+def test_words_are_numbered_by_their_bytes():
+    from postrider.llm.common import NON_SPACE, Block, word_numbers, words_of
+
+    raw = b"ab cd ab abcdefghi abcdefghj " + b"z" * 600 + b" " + b"z" * 600 + b" " + b"z" * 599 + b"y"
+    block = Block(0, raw, np.array([0, len(raw)]))
+    starts, lengths, _ = words_of(block, NON_SPACE)
+    for h in (np.zeros(len(starts), np.uint64), np.arange(len(starts)).astype(np.uint64) % np.uint64(2)):
+        got = word_numbers(block, starts, lengths, h)
+        if not h.any():
+            assert [int(x == y) for x in got for y in got] == [int(x == y) for x in raw.split() for y in raw.split()]
+        assert len(got) == len(raw.split())
 
 
 def fingerprint(t):
