@@ -1,12 +1,13 @@
 """Repeated passages by prefix-partitioned suffix trees over words.
 
 A suffix is a word position with ``width`` words from there on.  Each is filed under
-its anchor: of the word triples it begins with or contains within ``width`` words, the
-one of least hash.  Equal suffixes have equal anchors, and neighbours mostly share
-one, so a run of them travels as one stretch of text, some three times the text in
-all instead of ``width`` times.  The anchors' own suffixes are split by prefixes of
-variable length: one word where few stretches have it, else two, else three, and the
-whole suffix where even that is too many.  Prefixes are dealt to memory-sized groups.
+its anchor: of the short word sequences within its ``width`` words, the one of least
+hash.  Equal suffixes have equal anchors, and neighbours mostly share one, so a run
+of them travels as one stretch, some three times the text in all instead of
+``width`` times; frequent words are written as one character of a bounded alphabet.
+The anchors' own suffixes are split by prefixes of variable length: one word where
+few stretches have it, else two, and so on, and the whole suffix where even the
+longest prefix is too many.  Prefixes are dealt to memory-sized groups.
 
 A group's tree is built from the root down, level by level, and only where a node has
 two leaves or more: each level sorts the leaves of the open nodes by their next
@@ -14,7 +15,7 @@ words and closes those that stand alone.  What is left at depth ``width`` are th
 internal nodes of that depth; the suffixes below one have all those words in
 common, and all but those of the smallest document are repeats.  Consecutive
 repeats make the maximal repeated passages.  Words are numbered by their bytes, so
-nothing rests on hashes.
+no repeat rests on hashes.
 
 Each block of documents builds such a tree first and sends only the suffixes of its
 smallest document on; the others are known repeats.  Prefixes that remain too large
@@ -35,14 +36,14 @@ from .common import NON_SPACE, Block, blocks, checkpointed, covered, mix64, wind
 
 WIDTH = 13
 #: Stretches in a group, about.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 60_000
 #: Bytes of text in one task of the last step, about.
 PART_BYTES = 32 << 20
+#: Most words that are written as one character.
+ALPHABET = 50_000
 SALTS = 16
-_DEPTH = 3
 _BLOCK = 8 << 20
-_RUNS = "array<struct<first:int,n:int>>"
-_STRETCH = "grp long, id long, txt long, first int, n int, words binary, heavy boolean"
+_ROW = "grp long, id long, place long, n int, words binary"
 
 
 def deep_nodes(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +87,23 @@ def _suffixes(block: Block, width: int):
     return starts, lengths, firsts, word_hashes(block, starts, lengths), at, text
 
 
-def anchors(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Position of each suffix's anchor: the first triple of least hash within its ``width`` words."""
-    triple = window_hashes(h, _DEPTH)
-    least, out = (triple[at], at.copy()) if len(at) else (np.zeros(0, np.uint64), at)
-    for k in range(1, width - _DEPTH + 1):
-        value = triple[at + k]
+def anchors(h: np.ndarray, at: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Position of each suffix's anchor: the first run of ``length`` words of least hash within its ``width`` words."""
+    run = window_hashes(h, length)
+    least, out = (run[at], at.copy()) if len(at) else (np.zeros(0, np.uint64), at)
+    for k in range(1, width - length + 1):
+        value = run[at + k]
         less = value < least
         least[less] = value[less]
         out[less] = at[less] + k
     return out
 
 
+def anchor_words(n_words: int) -> int:
+    """Words of the longest prefix: two for a small corpus, one more for each hundredfold beyond some 10^9 words."""
+    return 2 + sum(n_words > 10**k for k in (9, 11, 13, 15))
+
+
 def _run_heads(*columns: np.ndarray) -> np.ndarray:
     """Indexes at which any column differs from the row before; a column that steps by one is given less its index."""
     if not len(columns[0]):
@@ -109,23 +115,49 @@ def _run_heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _cells(h: np.ndarray, at: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For prefixes of one, two and three words at ``at``: (hash, its leading ``bits``)."""
-    value = [mix64(h[at]) if k == 1 else window_hashes(h, k)[at] for k in range(1, _DEPTH + 1)]
-    return [(v, (v >> np.uint64(64 - bits)).astype(np.int64)) for v in value]
+def _prefixes(h: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """Hashes of the prefixes of one to ``length`` words at ``at``."""
+    return [mix64(h[at]) if k == 1 else window_hashes(h, k)[at] for k in range(1, length + 1)]
 
 
-def prefix_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """(level, cell, n): stretches under each hashed prefix of one, two and three words, over all texts."""
+def frequent_words(docs: DataFrame, most: int = ALPHABET) -> list[str]:
+    """Words of high count, at most ``most``: the most frequent of each task's, added up.  Which ones they are changes sizes only, never results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((_DEPTH, 1 << bits), np.int64)
+        seen: dict[bytes, int] = {}
         for batch in batches:
             for block in blocks(batch.column(0)):
+                starts, lengths, _ = words_of(block, NON_SPACE)
+                short = np.flatnonzero(lengths <= 64)
+                starts, lengths = starts[short], lengths[short]
+                number = word_numbers(block, starts, lengths, word_hashes(block, starts, lengths))
+                _, first, n = np.unique(number, return_index=True, return_counts=True)
+                for i in np.argsort(-n, kind="stable")[:most]:
+                    word = block.raw[starts[first[i]] : starts[first[i]] + lengths[first[i]]]
+                    seen[word] = seen.get(word, 0) + int(n[i])
+            if len(seen) > 4 * most:
+                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:most])
+        top = sorted(((n, w) for w, n in seen.items() if n > 1), reverse=True)[:most]
+        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in top], pa.binary()).cast(pa.string()), pa.array([n for n, _ in top], pa.int64())], names=["word", "n"])
+
+    found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def prefix_counts(docs: DataFrame, width: int, length: int, bits: int) -> DataFrame:
+    """(level, cell, n): different stretches of each block under each hashed prefix of one to ``length`` words, over all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((length, 1 << bits), np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(0), limit=_BLOCK):
                 *_, h, at, text = _suffixes(block, width)
-                a = anchors(h, at, width)
-                for level, (_, cell) in enumerate(_cells(h, a[_run_heads(a, text)], bits)):
-                    total[level] += np.bincount(cell, minlength=1 << bits)
+                a = anchors(h, at, width, length)
+                head = _run_heads(a, text)
+                n = np.diff(np.append(head, len(at))).astype(np.uint64)
+                _, one = np.unique(window_hashes(h, width)[at[head]] + n, return_index=True)
+                for level, value in enumerate(_prefixes(h, a[head[one]], length)):
+                    total[level] += np.bincount((value >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         level, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int64()), pa.array(total[level, cell])], names=["level", "cell", "n"])
 
@@ -133,124 +165,164 @@ def prefix_counts(docs: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 class Plan:
-    """How prefixes are extended and dealt: ``open`` marks the cells of one and two words that are extended, ``parts`` says into how many a cell of three words is split."""
+    """How prefixes are extended and dealt, and how words are written.
 
-    def __init__(self, counts: DataFrame, bits: int, group_rows: int):
-        self.bits, limit = bits, max(1, group_rows // 4)
+    ``parts`` says for each cell of each level into how many groups its stretches
+    would go: over one, the prefix is extended, and at the last level split by the
+    whole suffix.
+    """
+
+    def __init__(self, counts: DataFrame, words: list[str], length: int, bits: int, group_rows: int):
+        self.length, self.bits = length, bits
         counts = checkpointed(counts)
-        self.rows = counts.filter("level = 0").agg(F.sum("n")).first()[0] or 0
-        self.groups = max(1, -(-self.rows // group_rows))
-        self.open = np.zeros((_DEPTH - 1, 1 << bits), dtype=bool)
-        self.parts = np.ones(1 << bits, np.int32)
-        # Only cells over the limit come to the driver: at most rows / limit of them on each level, and the maps above have about as many cells.
-        for r in counts.filter(F.col("n") > limit).collect():
-            if r["level"] < _DEPTH - 1:
-                self.open[r["level"], r["cell"]] = True
-            else:
-                self.parts[r["cell"]] = -(-r["n"] // limit)
-        self.heavy = bool((self.parts > 1).any())
-
-    def deal(self, h: np.ndarray, at: np.ndarray, a: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(group, heavy) of suffixes by their anchors."""
-        levels = _cells(h, a, self.bits)
-        value, (last, cell) = levels[0][0].copy(), levels[-1]
-        extend = np.ones(len(a), dtype=bool)
-        for k in range(_DEPTH - 1):
-            extend &= self.open[k, levels[k][1]]
-            value[extend] = levels[k + 1][0][extend]
-        heavy = extend & (self.parts[cell] > 1)
-        if heavy.any():
-            whole = window_hashes(h, width)[at[heavy]] % self.parts[cell[heavy]].astype(np.uint64)
-            value[heavy] = mix64(last[heavy] + whole)
-        return (value % np.uint64(self.groups)).astype(np.int64), heavy
-
-
-def _slices(block: Block, low: np.ndarray, high: np.ndarray) -> pa.Array:
-    """Binary array of the block's bytes from each low up to each high."""
-    size = high - low
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    data = block.buf[np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(low), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+        rows = counts.filter("level = 0").agg(F.sum("n")).first()[0] or 0
+        self.groups = max(1, -(-rows // group_rows))
+        self.parts = np.ones((length, 1 << bits), np.int32)
+        # Only cells over the limit come to the driver: at most rows / group_rows of them on each level, of which the maps have a fixed multiple.
+        for r in counts.filter(F.col("n") > group_rows).collect():
+            self.parts[r["level"], r["cell"]] = -(-r["n"] // group_rows)
+        self.whole = int(self.parts[-1][self.parts[-1] > 1].sum())
+        self.code = {w.encode(): chr(0x21 + i if 0x21 + i < 0xD800 else 0x821 + i).encode() for i, w in enumerate(words)}
+
+    def deal(self, h: np.ndarray, at: np.ndarray, a: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+        """Group of each suffix by its anchor; those of too many equal prefixes go to salted groups, numbered from ``groups`` on."""
+        levels = _prefixes(h, a, self.length)
+        value, extend = levels[0].copy(), np.ones(len(a), dtype=bool)
+        for k, own in enumerate(levels):
+            value[extend] = own[extend]
+            extend &= self.parts[k, (own >> np.uint64(64 - self.bits)).astype(np.int64)] > 1
+        group = (value % np.uint64(self.groups)).astype(np.int64)
+        if extend.any():
+            whole = window_hashes(h, width)[at[extend]] % np.uint64(self.whole)
+            group[extend] = self.groups + whole.astype(np.int64) * SALTS + ids[extend] % SALTS
+        return group
+
+
+def _written(block: Block, starts: np.ndarray, lengths: np.ndarray, number: np.ndarray, code: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): each word as its character, or spelled out between two spaces."""
+    _, first, place = np.unique(number, return_index=True, return_inverse=True)
+    tokens = []
+    for s, n in zip(starts[first].tolist(), lengths[first].tolist()):
+        word = block.raw[s : s + n]
+        tokens.append(code.get(word) or b" " + word + b" ")
+    size = np.array([len(t) for t in tokens], np.int64)
+    data, low = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size
+    own = size[place]
+    offsets = np.concatenate([[0], np.cumsum(own)])
+    return data[np.repeat(low[place] - offsets[:-1], own) + np.arange(offsets[-1])], offsets
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, first word of each stretch) of written stretches; spelled words are numbered after the characters."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    block = next(blocks(column.cast(pa.large_binary()).view(pa.large_string()), limit=1 << 62))
+    raw = block.buf[: block.size]
+    space = raw == 0x20
+    nth = np.cumsum(space)
+    opening = space & (nth % 2 == 1)
+    lead = (nth % 2 == 0) & ~space & (raw & 0xC0 != 0x80)
+    start = lead.copy()
+    start[1:] |= opening[:-1]
+    at = np.flatnonzero(start)
+    spelled = ~lead[at]
+    x = block.buf[:].astype(np.int64)
+    a, b, c = x[at], x[at + 1], x[at + 2]
+    number = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 0x1F) << 6 | b & 0x3F, (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F))
+    closing = np.flatnonzero(space & ~opening)
+    begin = at[spelled]
+    length = closing[: len(begin)] - begin
+    number[spelled] = 0x10000 + word_numbers(block, begin, length, word_hashes(block, begin, length))
+    return number, np.searchsorted(at, block.offsets)
+
+
+def _batch(grp, ids, place, n, words) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int32()), words], names=["grp", "id", "place", "n", "words"])
+
+
+def _known(grp, ids, place, n) -> pa.RecordBatch:
+    return _batch(grp, ids, place, n, pa.nulls(len(ids), pa.binary()))
 
 
 def _block_rows(ids: np.ndarray, txt: np.ndarray, block: Block, width: int, plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows of one block: known repeats (without words), and stretches of the suffixes that are to be compared with other blocks'."""
+    """Rows of one block: known repeats (n, no words), and stretches of the suffixes that are to be compared with other blocks' (words, no n)."""
     starts, lengths, firsts, h, at, text = _suffixes(block, width)
     if not len(at):
         return
-    again = repeats(word_numbers(block, starts, lengths, h), at, ids[text], width)
-    known, ask = np.flatnonzero(again), np.flatnonzero(~again)
-    head = _run_heads(at[known] - np.arange(len(known)), text[known])
+    number = word_numbers(block, starts, lengths, h)
+    again = repeats(number, at, ids[text], width)
+    place = (txt << 32)[text] + (at - firsts[text])
+    hit = np.flatnonzero(again)
+    head = hit[_run_heads(at[hit] - np.arange(len(hit)), text[hit])]
     if len(head):
-        n = np.diff(np.append(head, len(known)))
-        row = known[head]
-        yield _batch(ids[text[row]] % plan.groups, ids[text[row]], txt[text[row]], at[row] - firsts[text[row]], n, pa.nulls(len(head), pa.binary()), np.zeros(len(head), bool))
-    at, text = at[ask], text[ask]
-    a = anchors(h, at, width)
-    group, heavy = plan.deal(h, at, a, width)
-    every = _run_heads(at - np.arange(len(at)), text, a, group)
-    n = np.diff(np.append(every, len(at)))
-    for k in range(0, len(every), 50_000):
-        head, size = every[k : k + 50_000], n[k : k + 50_000]
-        end = at[head] + size + width - 2
-        yield _batch(group[head], ids[text[head]], txt[text[head]], at[head] - firsts[text[head]], size, _slices(block, starts[at[head]], starts[end] + lengths[end]), heavy[head])
-
-
-def _batch(grp, ids, txt, first, n, words, heavy) -> pa.RecordBatch:
-    columns = [pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(txt, pa.int64()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), words, pa.array(heavy)]
-    return pa.RecordBatch.from_arrays(columns, names=["grp", "id", "txt", "first", "n", "words", "heavy"])
+        n = np.diff(np.append(np.searchsorted(hit, head), len(hit)))
+        yield _known(ids[text[head]] % plan.groups, ids[text[head]], place[head], n)
+    ask = np.flatnonzero(~again)
+    at, text, place = at[ask], text[ask], place[ask]
+    a = anchors(h, at, width, plan.length)
+    group = plan.deal(h, at, a, ids[text], width)
+    head = _run_heads(at - np.arange(len(at)), text, group)
+    last = at[np.append(head[1:], len(at)) - 1] + width
+    data, offsets = _written(block, starts, lengths, number, plan.code)
+    for k in range(0, len(head), 200_000):
+        one, end = head[k : k + 200_000], last[k : k + 200_000]
+        low, size = offsets[at[one]], offsets[end] - offsets[at[one]]
+        edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        part = data[np.repeat(low - edges[:-1], size) + np.arange(edges[-1])]
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(edges), pa.py_buffer(part)])
+        yield _batch(group[one], ids[text[one]], place[one], pa.nulls(len(one), pa.int32()), words)
 
 
 def stretches(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """Known repeats and stretches of text (see ``_STRETCH``) of (id, txt, text) without nulls."""
+    """Known repeats and stretches (see ``_ROW``) of (id, txt, text) without nulls; place is txt and, in its low half, the first word."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, txt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, txt = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             for block in blocks(batch.column(2), limit=_BLOCK):
                 own = slice(block.first, block.first + len(block))
                 yield from _block_rows(ids[own], txt[own], block, width, shared.value)
 
-    return docs.select("id", "txt", "text").mapInArrow(emit, _STRETCH)
+    return docs.select("id", "txt", "text").mapInArrow(emit, _ROW)
 
 
-def group_tree(table: pa.Table, width: int) -> tuple[pa.Table, np.ndarray]:
-    """Repeats among a group's stretches, with those known before, as rows without words; and whether each stretch has a suffix that is none."""
-    asked = table.filter(table.column("words").is_valid())
-    known = table.filter(table.column("words").is_null())
-    text = asked.column("words").combine_chunks().cast(pa.large_binary()).view(pa.large_string())
-    found, open_ = [known], np.zeros(0, bool)
-    for block in blocks(text, limit=1 << 62):
-        starts, lengths, firsts, h, at, row = _suffixes(block, width)
-        ids = asked.column("id").to_numpy()
-        again = repeats(word_numbers(block, starts, lengths, h), at, ids[row], width)
-        open_ = np.bincount(row[~again], minlength=len(block)) > 0
-        hit = np.flatnonzero(again)
-        head = _run_heads(at[hit] - np.arange(len(hit)), row[hit])
-        n, own = np.diff(np.append(head, len(hit))), row[hit[head]]
-        first = asked.column("first").to_numpy()[own] + at[hit[head]] - firsts[own]
-        found.append(pa.Table.from_batches([_batch(asked.column("grp").to_numpy()[own], ids[own], asked.column("txt").to_numpy()[own], first, n, pa.nulls(len(head), pa.binary()), np.zeros(len(head), bool))]).cast(table.schema))
-    return pa.concat_tables(found), open_
+def group_tree(table: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
+    """Repeats among a group's stretches together with those known before (no words), and the stretches with a suffix that is none."""
+    asked, known = table.filter(table.column("words").is_valid()), table.filter(table.column("words").is_null())
+    number, firsts = _read(asked.column("words").combine_chunks())
+    n = np.maximum(np.diff(firsts) - width + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    at = firsts[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    ids, place, grp = (asked.column(c).to_numpy() for c in ("id", "place", "grp"))
+    again = repeats(number, at, ids[row], width)
+    hit = np.flatnonzero(again)
+    head = _run_heads(at[hit] - np.arange(len(hit)), row[hit])
+    own = row[hit[head]]
+    found = _known(grp[own], ids[own], place[own] + at[hit[head]] - firsts[own], np.diff(np.append(head, len(hit))))
+    some = np.bincount(row[~again], minlength=len(n)) > 0
+    return pa.concat_tables([known, pa.Table.from_batches([found]).cast(table.schema)]), asked.filter(pa.array(some))
 
 
 def repeat_runs(rows: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """(id, txt, first, n): runs of ``n`` consecutive suffixes, from word ``first`` on, that repeat a smaller document's."""
-
-    def combine(table: pa.Table) -> pa.Table:
-        found, open_ = group_tree(table, width)
-        return pa.concat_tables([found, table.filter(table.column("words").is_valid()).filter(pa.array(open_))])
-
-    def finish(table: pa.Table) -> pa.Table:
-        return group_tree(table, width)[0].select(["id", "txt", "first", "n"])
-
-    n_tasks = int(max(1, min(100_000, plan.groups // 2), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    if plan.heavy:
-        rows = checkpointed(rows)
-        salted = rows.filter("heavy").withColumn("salt", F.pmod(F.xxhash64("id", "txt"), F.lit(SALTS))).repartition(n_tasks, "grp", "salt")
-        less = salted.groupBy("grp", "salt").applyInArrow(lambda t: combine(t.drop_columns(["salt"])), _STRETCH)
-        rows = rows.filter("NOT heavy").unionByName(less)
-    return rows.repartition(n_tasks, "grp").groupBy("grp").applyInArrow(finish, "id long, txt long, first int, n int")
+    """(id, place, n): runs of ``n`` consecutive suffixes that repeat a smaller document's."""
+    groups = plan.groups
+
+    def tree(table: pa.Table) -> pa.Table:
+        found, left = group_tree(table, width)
+        salted = table.column("grp")[0].as_py() >= groups
+        if not salted or not len(left):
+            return found
+        grp = pa.array(-1 - (left.column("grp").to_numpy() - groups) // SALTS)
+        return pa.concat_tables([found, left.set_column(0, table.schema.field(0), grp)])
+
+    n_tasks = max(1, min(100_000, groups // 2), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.repartition(n_tasks, "grp").groupBy("grp").applyInArrow(tree, _ROW)
+    if plan.whole:
+        found = checkpointed(found)
+        rest = found.filter("words IS NOT NULL").repartition(n_tasks, "grp").groupBy("grp").applyInArrow(tree, _ROW)
+        found = found.filter("words IS NULL").unionByName(rest)
+    return found.select("id", "place", "n")
 
 
 def _kept(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
@@ -272,15 +344,27 @@ def _kept(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(n_words), pa.array(n_gone), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(id, txt, runs): for each text (by id and hash) that repeats passages of smaller ids, its runs of suffixes: words first .. first + n + width - 2."""
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("txt"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A stretch covers some 18 words; four cells for each prefix that may be over the limit.
-    bits = max(12, int(4 * size / 30 / max(1, group_rows // 4)).bit_length())
-    plan = Plan(prefix_counts(known, width, bits), bits, group_rows)
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, txt, text): txt is a hash of 31 bits, which together with the id names a text."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("txt"), text.alias("text"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS, size: int | None = None) -> DataFrame:
+    """(id, txt, runs): for each text that repeats passages of smaller ids, its runs of suffixes: words first .. first + n + width - 2."""
+    known = _source(docs, id_col, text_col).filter("id IS NOT NULL AND text IS NOT NULL")
+    size = text_bytes(known) if size is None else size
+    length = min(width, anchor_words(size // 6))
+    # A stretch is made for some six words, about 36 bytes; four cells for each prefix that may be over the limit.
+    bits = max(12, int(4 * size / 36 / group_rows).bit_length())
+    plan = Plan(prefix_counts(known, width, length, bits), frequent_words(known), length, bits, group_rows)
     runs = repeat_runs(stretches(known, width, plan), width, plan)
-    return runs.groupBy("id", "txt").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    first, txt = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright("place", 32).cast("int")
+    return runs.groupBy("id", txt.alias("txt")).agg(F.collect_list(F.struct(first.alias("first"), "n")).alias("runs"))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -293,9 +377,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of fewer than ``width`` words keep all; very long texts are whole; an empty table
     gives an empty result; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("txt", F.xxhash64("text"))
-    runs = repeated_passages(docs, id_col, text_col, width, group_rows)
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    source = _source(docs, id_col, text_col)
+    size = text_bytes(source)
+    runs = repeated_passages(docs, id_col, text_col, width, group_rows, size)
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // part_bytes)))
     joined = source.repartition(n_parts, "id", "txt").join(runs, ["id", "txt"], "left").select("id", "text", "runs")
 
