@@ -150,8 +150,10 @@ def word_numbers(block: Block, starts: np.ndarray, lengths: np.ndarray, h: np.nd
     """A number for each word, equal for two words if their bytes are: hashes group them, bytes confirm the groups."""
     if len(starts) == 0:
         return np.zeros(0, np.int64)
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
-    number = number.reshape(-1)
+    order = np.argsort(h)
+    head = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    first, number = order[head], np.empty(len(h), np.int64)
+    number[order] = np.cumsum(head) - 1
     like = first[number]
     same = lengths == lengths[like]
     eight = np.ndarray((len(block.buf) - 7,), dtype="<u8", buffer=block.buf, strides=(1,))

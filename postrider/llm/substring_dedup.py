@@ -25,7 +25,7 @@ are combined in salted groups before their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,9 @@ GROUP_ROWS = 60_000
 #: Bytes of text in one task of the last step, about.
 PART_BYTES = 32 << 20
 #: Most words that are written as one character.
-ALPHABET = 50_000
+ALPHABET = 300_000
 SALTS = 16
+_POINT = 0x21
 _BLOCK = 8 << 20
 _ROW = "grp long, id long, place long, n int, words binary"
 
@@ -59,7 +60,7 @@ def deep_nodes(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarra
         key = node
         for k in range(take):
             key = key << bits | words[at[leaves] + done + k]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         head = np.concatenate([[True], key[1:] != key[:-1]])
         alone = head & np.append(head[1:], True)
@@ -100,8 +101,8 @@ def anchors(h: np.ndarray, at: np.ndarray, width: int, length: int) -> np.ndarra
 
 
 def anchor_words(n_words: int) -> int:
-    """Words of the longest prefix: two for a small corpus, one more for each hundredfold beyond some 10^9 words."""
-    return 2 + sum(n_words > 10**k for k in (9, 11, 13, 15))
+    """Words of the longest prefix: three, and one more for each hundredfold from 10^11 words on."""
+    return 3 + sum(n_words > 10**k for k in (11, 13, 15))
 
 
 def _run_heads(*columns: np.ndarray) -> np.ndarray:
@@ -120,48 +121,41 @@ def _prefixes(h: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
     return [mix64(h[at]) if k == 1 else window_hashes(h, k)[at] for k in range(1, length + 1)]
 
 
-def frequent_words(docs: DataFrame, most: int = ALPHABET) -> list[str]:
-    """Words of high count, at most ``most``: the most frequent of each task's, added up.  Which ones they are changes sizes only, never results."""
+def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPHABET) -> DataFrame:
+    """(level, cell, word, n): different stretches of each block under each hashed prefix of one to ``length`` words, and words that recur in a task, its ``most`` / 3 most frequent ones at most.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                starts, lengths, _ = words_of(block, NON_SPACE)
-                short = np.flatnonzero(lengths <= 64)
-                starts, lengths = starts[short], lengths[short]
-                number = word_numbers(block, starts, lengths, word_hashes(block, starts, lengths))
-                _, first, n = np.unique(number, return_index=True, return_counts=True)
-                for i in np.argsort(-n, kind="stable")[:most]:
-                    word = block.raw[starts[first[i]] : starts[first[i]] + lengths[first[i]]]
-                    seen[word] = seen.get(word, 0) + int(n[i])
-            if len(seen) > 4 * most:
-                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[:most])
-        top = sorted(((n, w) for w, n in seen.items() if n > 1), reverse=True)[:most]
-        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in top], pa.binary()).cast(pa.string()), pa.array([n for n, _ in top], pa.int64())], names=["word", "n"])
-
-    found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
-def prefix_counts(docs: DataFrame, width: int, length: int, bits: int) -> DataFrame:
-    """(level, cell, n): different stretches of each block under each hashed prefix of one to ``length`` words, over all texts."""
+    Which words these are changes sizes only, never results.
+    """
+
+    def rows(level, cell, word, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int64()), word, pa.array(n, pa.int64())], names=["level", "cell", "word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((length, 1 << bits), np.int64)
+        total, seen = np.zeros((length, 1 << bits), np.int64), {}
         for batch in batches:
             for block in blocks(batch.column(0), limit=_BLOCK):
-                *_, h, at, text = _suffixes(block, width)
+                starts, lengths, _, h, at, text = _suffixes(block, width)
                 a = anchors(h, at, width, length)
                 head = _run_heads(a, text)
                 n = np.diff(np.append(head, len(at))).astype(np.uint64)
                 _, one = np.unique(window_hashes(h, width)[at[head]] + n, return_index=True)
                 for level, value in enumerate(_prefixes(h, a[head[one]], length)):
                     total[level] += np.bincount((value >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                order = np.argsort(h)
+                head = _run_heads(h[order])
+                n = np.diff(np.append(head, len(h)))
+                again = np.flatnonzero(n > 1)
+                for i, k in zip(order[head[again]].tolist(), n[again].tolist()):
+                    word = block.raw[starts[i] : starts[i] + lengths[i]]
+                    seen[word] = seen.get(word, 0) + k
+            if len(seen) > most:
+                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: most // 3])
         level, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int64()), pa.array(total[level, cell])], names=["level", "cell", "n"])
+        yield rows(level, cell, pa.nulls(len(level), pa.string()), total[level, cell])
+        top = sorted(((n, w) for w, n in seen.items() if len(w) <= 64), reverse=True)[: most // 3]
+        yield rows(np.full(len(top), -1), np.zeros(len(top)), pa.array([w for _, w in top], pa.binary()).cast(pa.string()), [n for n, _ in top])
 
-    return docs.select("text").mapInArrow(count, "level int, cell long, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "level int, cell long, word string, n long").groupBy("level", "cell", "word").agg(F.sum("n").alias("n"))
 
 
 class Plan:
@@ -172,9 +166,10 @@ class Plan:
     whole suffix.
     """
 
-    def __init__(self, counts: DataFrame, words: list[str], length: int, bits: int, group_rows: int):
+    def __init__(self, survey: DataFrame, length: int, bits: int, group_rows: int, most: int = ALPHABET):
         self.length, self.bits = length, bits
-        counts = checkpointed(counts)
+        survey = checkpointed(survey)
+        counts, words = survey.filter("level >= 0"), survey.filter("level < 0").orderBy(F.desc("n"), "word").limit(most)
         rows = counts.filter("level = 0").agg(F.sum("n")).first()[0] or 0
         self.groups = max(1, -(-rows // group_rows))
         self.parts = np.ones((length, 1 << bits), np.int32)
@@ -182,7 +177,17 @@ class Plan:
         for r in counts.filter(F.col("n") > group_rows).collect():
             self.parts[r["level"], r["cell"]] = -(-r["n"] // group_rows)
         self.whole = int(self.parts[-1][self.parts[-1] > 1].sum())
-        self.code = {w.encode(): chr(0x21 + i if 0x21 + i < 0xD800 else 0x821 + i).encode() for i, w in enumerate(words)}
+        self.words = words.select("word").toArrow().column(0).cast(pa.binary()).to_pylist()
+
+    @cached_property
+    def code(self) -> dict[bytes, bytes]:
+        """The character of each frequent word."""
+        return {w: chr(_POINT + i if _POINT + i < 0xD800 else _POINT + 0x800 + i).encode() for i, w in enumerate(self.words)}
+
+    @cached_property
+    def spelling(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all frequent words, offsets)."""
+        return np.frombuffer(b"".join(self.words), np.uint8), np.cumsum([0, *map(len, self.words)])
 
     def deal(self, h: np.ndarray, at: np.ndarray, a: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
         """Group of each suffix by its anchor; those of too many equal prefixes go to salted groups, numbered from ``groups`` on."""
@@ -212,27 +217,34 @@ def _written(block: Block, starts: np.ndarray, lengths: np.ndarray, number: np.n
     return data[np.repeat(low[place] - offsets[:-1], own) + np.arange(offsets[-1])], offsets
 
 
-def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers, first word of each stretch) of written stretches; spelled words are numbered after the characters."""
-    if not len(column):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    block = next(blocks(column.cast(pa.large_binary()).view(pa.large_string()), limit=1 << 62))
+def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, code point) of each word of written texts; code point 0 means spelled out."""
     raw = block.buf[: block.size]
     space = raw == 0x20
-    nth = np.cumsum(space)
-    opening = space & (nth % 2 == 1)
-    lead = (nth % 2 == 0) & ~space & (raw & 0xC0 != 0x80)
+    odd = np.cumsum(space) % 2 == 1
+    lead = ~odd & ~space & (raw & 0xC0 != 0x80)
     start = lead.copy()
-    start[1:] |= opening[:-1]
+    start[1:] |= (space & odd)[:-1]
     at = np.flatnonzero(start)
+    # The code points of UTF-8 characters of one to four bytes.
+    a, b, c, d = (block.buf[at + k].astype(np.int64) & (0x3F if k else 0xFF) for k in range(4))
+    point = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | d)))
+    length = 1 + (a >= 0xC0).astype(np.int64) + (a >= 0xE0) + (a >= 0xF0)
     spelled = ~lead[at]
-    x = block.buf[:].astype(np.int64)
-    a, b, c = x[at], x[at + 1], x[at + 2]
-    number = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 0x1F) << 6 | b & 0x3F, (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F))
-    closing = np.flatnonzero(space & ~opening)
-    begin = at[spelled]
-    length = closing[: len(begin)] - begin
-    number[spelled] = 0x10000 + word_numbers(block, begin, length, word_hashes(block, begin, length))
+    point[spelled] = 0
+    length[spelled] = np.flatnonzero(space & ~odd) - at[spelled]
+    return at, length, point
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, first word of each stretch) of written stretches; spelled words are numbered after the characters."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    block = next(blocks(column.cast(pa.large_binary()).view(pa.large_string()), limit=1 << 62))
+    at, length, number = _tokens(block)
+    spelled = number == 0
+    begin, size = at[spelled], length[spelled]
+    number[spelled] = 0x110000 + word_numbers(block, begin, size, word_hashes(block, begin, size))
     return number, np.searchsorted(at, block.offsets)
 
 
@@ -325,23 +337,43 @@ def repeat_runs(rows: DataFrame, width: int, plan: Plan) -> DataFrame:
     return found.select("id", "place", "n")
 
 
-def _kept(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
-    runs = batch.column(2)
-    offsets, flat = runs.offsets.to_numpy(), runs.values.flatten()
-    first, n = (x.to_numpy() for x in flat)
-    at, valid = offsets.copy(), runs.is_valid().to_numpy(zero_copy_only=False)
-    for block in blocks(batch.column(1)):
-        _, _, firsts = words_of(block, NON_SPACE)
-        n_words, n_gone, kept = np.diff(firsts), np.zeros(len(block), np.int64), []
-        for i in range(len(block)):
-            k, words = block.first + i, block.text(i).split()
-            if valid[k] and at[k + 1] > at[k]:
-                own = slice(at[k], at[k + 1])
-                gone = covered(len(words), first[own], n[own] + width - 1)
-                n_gone[i] = gone.sum()
-                words = compress(words, ~gone)
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(n_words), pa.array(n_gone), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+def _write_texts(batch: pa.RecordBatch, plan: Plan) -> Iterator[pa.RecordBatch]:
+    """(id, txt, words): whole texts as words, written like stretches."""
+    for block in blocks(batch.column(2)):
+        starts, lengths, firsts = words_of(block, NON_SPACE)
+        data, offsets = _written(block, starts, lengths, word_numbers(block, starts, lengths, word_hashes(block, starts, lengths)), plan.code)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer(offsets[firsts]), pa.py_buffer(data)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), batch.column(1).slice(block.first, len(block)), words], names=["id", "txt", "words"])
+
+
+def _kept(batch: pa.RecordBatch, width: int, plan: Plan) -> Iterator[pa.RecordBatch]:
+    """(id, n_words, n_removed, kept) of (id, words, runs)."""
+    runs = batch.column(2).fill_null([])
+    of, flat = runs.offsets.to_numpy(), runs.values.flatten()
+    first, n = (x.to_numpy(zero_copy_only=False) for x in flat)
+    table, edges = plan.spelling
+    for block in blocks(batch.column(1).cast(pa.large_binary()).view(pa.large_string()), limit=1 << 20):
+        at, length, point = _tokens(block)
+        firsts = np.searchsorted(at, block.offsets)
+        own = slice(of[block.first], of[block.first + len(block)])
+        base = np.repeat(firsts[:-1], np.diff(of[block.first : block.first + len(block) + 1]))
+        gone = covered(len(at), base + first[own], n[own] + width - 1)
+        left = np.flatnonzero(~gone)
+        edge = np.searchsorted(left, firsts)
+        index = np.where(point < 0xD800, point - _POINT, point - _POINT - 0x800)[left]
+        spelled = point[left] == 0
+        index[spelled] = 0
+        low = np.where(spelled, len(table) + at[left], edges[index])
+        # A space after each word but the last of a text.
+        size = np.where(spelled, length[left], edges[index + 1] - edges[index] if len(edges) > 1 else 0) + 1
+        size[edge[1:][edge[1:] > edge[:-1]] - 1] -= 1
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        source = np.concatenate([table, block.buf])
+        data = source[np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])]
+        data[np.delete(offsets[1:], edge[1:][edge[1:] > edge[:-1]] - 1) - 1] = 0x20
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer(offsets[edge]), pa.py_buffer(data)]).view(pa.large_string()).cast(pa.string())
+        n_words = np.diff(firsts)
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(n_words), pa.array(n_words - np.diff(edge)), kept], names=["id", "n_words", "n_removed", "kept"])
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -350,23 +382,25 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("txt"), text.alias("text"))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS, size: int | None = None) -> DataFrame:
-    """(id, txt, runs): for each text that repeats passages of smaller ids, its runs of suffixes: words first .. first + n + width - 2."""
-    known = _source(docs, id_col, text_col).filter("id IS NOT NULL AND text IS NOT NULL")
-    size = text_bytes(known) if size is None else size
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def plan_for(known: DataFrame, size: int, width: int = WIDTH, group_rows: int = GROUP_ROWS) -> Plan:
+    """Plan for (id, txt, text) rows of ``size`` bytes of text."""
     length = min(width, anchor_words(size // 6))
     # A stretch is made for some six words, about 36 bytes; four cells for each prefix that may be over the limit.
     bits = max(12, int(4 * size / 36 / group_rows).bit_length())
-    plan = Plan(prefix_counts(known, width, length, bits), frequent_words(known), length, bits, group_rows)
+    return Plan(survey(known, width, length, bits), length, bits, group_rows)
+
+
+def repeated_passages(known: DataFrame, plan: Plan, width: int = WIDTH) -> DataFrame:
+    """(id, txt, runs): for each text that repeats passages of smaller ids, its runs of suffixes: words first .. first + n + width - 2."""
     runs = repeat_runs(stretches(known, width, plan), width, plan)
     first, txt = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright("place", 32).cast("int")
     return runs.groupBy("id", txt.alias("txt")).agg(F.collect_list(F.struct(first.alias("first"), "n")).alias("runs"))
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, group_rows: int = GROUP_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words left, joined by one space.
 
@@ -378,13 +412,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result; other columns are ignored.
     """
     source = _source(docs, id_col, text_col)
-    size = text_bytes(source)
-    runs = repeated_passages(docs, id_col, text_col, width, group_rows, size)
+    known = source.filter("id IS NOT NULL AND text IS NOT NULL")
+    size = text_bytes(known)
+    plan = plan_for(known, size, width, group_rows)
+    runs = repeated_passages(known, plan, width)
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // part_bytes)))
-    joined = source.repartition(n_parts, "id", "txt").join(runs, ["id", "txt"], "left").select("id", "text", "runs")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _write_texts(batch, shared.value)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _kept(batch, width)
+            yield from _kept(batch, width, shared.value)
 
+    written = source.mapInArrow(write, "id long, txt int, words binary").repartition(n_parts, "id", "txt")
+    joined = written.join(runs, ["id", "txt"], "left").select("id", "words", "runs")
     return joined.mapInArrow(finish, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
