@@ -173,6 +173,41 @@ def word_numbers(block: Block, starts: np.ndarray, lengths: np.ndarray, h: np.nd
     return number
 
 
+class Words:
+    """A table of words that finds those of a block by hash and confirms them by their bytes."""
+
+    def __init__(self, words: list[bytes]):
+        size = np.array([len(w) for w in words], np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(size)])
+        self.block = Block(0, b"".join(words), self.edges)
+        h = word_hashes(self.block, self.edges[:-1], size)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def find(self, block: Block, starts: np.ndarray, lengths: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Place in the table of each word, -1 for words that are not in it."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.order) or not len(h):
+            return out
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.order) - 1)
+        own = self.order[at]
+        same = (self.sorted[at] == h) & (self.edges[own + 1] - self.edges[own] == lengths)
+        ours = np.ndarray((len(block.buf) - 7,), dtype="<u8", buffer=block.buf, strides=(1,))
+        theirs = np.ndarray((len(self.block.buf) - 7,), dtype="<u8", buffer=self.block.buf, strides=(1,))
+        masks = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+        todo, lane = np.flatnonzero(same), 0
+        while len(todo):
+            different = (ours[starts[todo] + lane] ^ theirs[self.edges[own[todo]] + lane]) & masks[np.minimum(lengths[todo] - lane, 8)] != 0
+            same[todo[different]] = False
+            lane += 8
+            todo = todo[lengths[todo] > lane]
+        out[same] = own[same]
+        return out
+
+
 def window_hashes(h: np.ndarray, width: int, factor: int = 0x9E3779B97F4A7C55) -> np.ndarray:
     """Order-sensitive hash of each ``width`` consecutive hashes."""
     if len(h) < width:

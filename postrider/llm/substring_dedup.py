@@ -4,7 +4,7 @@ A suffix is a word position with ``width`` words from there on.  Each is filed u
 its anchor: of the short word sequences within its ``width`` words, the one of least
 hash.  Equal suffixes have equal anchors, and neighbours mostly share one, so a run
 of them travels as one stretch, some three times the text in all instead of
-``width`` times; frequent words are written as one character of a bounded alphabet.
+``width`` times; frequent words are written as numbers of one to three bytes.
 The anchors' own suffixes are split by prefixes of variable length: one word where
 few stretches have it, else two, and so on, and the whole suffix where even the
 longest prefix is too many.  Prefixes are dealt to memory-sized groups.
@@ -25,25 +25,25 @@ are combined in salted groups before their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Block, blocks, checkpointed, covered, mix64, window_hashes, word_hashes, word_numbers, words_of
+from .common import NON_SPACE, Block, Words, blocks, checkpointed, covered, mix64, window_hashes, word_hashes, word_numbers, words_of
 
 WIDTH = 13
 #: Stretches in a group, about.
 GROUP_ROWS = 60_000
 #: Bytes of text in one task of the last step, about.
 PART_BYTES = 32 << 20
-#: Most words that are written as one character.
+#: Most words that are written as numbers.
 ALPHABET = 300_000
 SALTS = 16
-_POINT = 0x21
 _BLOCK = 8 << 20
+# Numbers that take one, two and three bytes.
+_ONE, _TWO, _THREE = 95, 128 * 95, 128 * 128 * 95
 _ROW = "grp long, id long, place long, n int, words binary"
 
 
@@ -122,7 +122,7 @@ def _prefixes(h: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
 
 
 def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPHABET) -> DataFrame:
-    """(level, cell, word, n): different stretches of each block under each hashed prefix of one to ``length`` words, and words that recur in a task, its ``most`` / 3 most frequent ones at most.
+    """(level, cell, word, n): different stretches of each block under each hashed prefix of one to ``length`` words, and words that recur in a task, its ``most`` / 2 most frequent ones at most.
 
     Which words these are changes sizes only, never results.
     """
@@ -149,10 +149,10 @@ def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPH
                     word = block.raw[starts[i] : starts[i] + lengths[i]]
                     seen[word] = seen.get(word, 0) + k
             if len(seen) > most:
-                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: most // 3])
+                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: most // 2])
         level, cell = np.nonzero(total)
         yield rows(level, cell, pa.nulls(len(level), pa.string()), total[level, cell])
-        top = sorted(((n, w) for w, n in seen.items() if len(w) <= 64), reverse=True)[: most // 3]
+        top = sorted(((n, w) for w, n in seen.items() if len(w) <= 64), reverse=True)[: most // 2]
         yield rows(np.full(len(top), -1), np.zeros(len(top)), pa.array([w for _, w in top], pa.binary()).cast(pa.string()), [n for n, _ in top])
 
     return docs.select("text").mapInArrow(count, "level int, cell long, word string, n long").groupBy("level", "cell", "word").agg(F.sum("n").alias("n"))
@@ -177,17 +177,8 @@ class Plan:
         for r in counts.filter(F.col("n") > group_rows).collect():
             self.parts[r["level"], r["cell"]] = -(-r["n"] // group_rows)
         self.whole = int(self.parts[-1][self.parts[-1] > 1].sum())
-        self.words = words.select("word").toArrow().column(0).cast(pa.binary()).to_pylist()
-
-    @cached_property
-    def code(self) -> dict[bytes, bytes]:
-        """The character of each frequent word."""
-        return {w: chr(_POINT + i if _POINT + i < 0xD800 else _POINT + 0x800 + i).encode() for i, w in enumerate(self.words)}
-
-    @cached_property
-    def spelling(self) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all frequent words, offsets)."""
-        return np.frombuffer(b"".join(self.words), np.uint8), np.cumsum([0, *map(len, self.words)])
+        self.words = Words(words.select("word").toArrow().column(0).cast(pa.binary()).to_pylist())
+        self.codes, self.code_edges = codes(len(self.words))
 
     def deal(self, h: np.ndarray, at: np.ndarray, a: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
         """Group of each suffix by its anchor; those of too many equal prefixes go to salted groups, numbered from ``groups`` on."""
@@ -203,48 +194,59 @@ class Plan:
         return group
 
 
-def _written(block: Block, starts: np.ndarray, lengths: np.ndarray, number: np.ndarray, code: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets): each word as its character, or spelled out between two spaces."""
-    _, first, place = np.unique(number, return_index=True, return_inverse=True)
-    tokens = []
-    for s, n in zip(starts[first].tolist(), lengths[first].tolist()):
-        word = block.raw[s : s + n]
-        tokens.append(code.get(word) or b" " + word + b" ")
-    size = np.array([len(t) for t in tokens], np.int64)
-    data, low = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size
-    own = size[place]
-    offsets = np.concatenate([[0], np.cumsum(own)])
-    return data[np.repeat(low[place] - offsets[:-1], own) + np.arange(offsets[-1])], offsets
+def codes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the numbers below n: bytes from 0x80 on, which go on, then one of 0x21..0x7F, which ends; no space among them."""
+    i = np.arange(n)
+    size = 1 + (i >= _ONE) + (i >= _ONE + _TWO)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(edges[-1]), np.uint8)
+    rest = i - np.where(size > 1, _ONE, 0) - np.where(size > 2, _TWO, 0)
+    out[edges[1:] - 1] = 0x21 + rest % _ONE
+    out[edges[:-1][size > 1]] = 0x80 + (rest // _ONE)[size > 1] % 128
+    out[edges[:-1][size > 2] + 1] = 0x80 + (rest // (_ONE * 128))[size > 2]
+    return out, edges
+
+
+def _written(block: Block, starts: np.ndarray, lengths: np.ndarray, h: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): each word as its number, or spelled out between two spaces."""
+    own = plan.words.find(block, starts, lengths, h)
+    plain = own < 0
+    size = np.where(plain, lengths + 2, np.diff(plan.code_edges, append=0)[own])
+    low = np.where(plain, len(plan.codes) + starts - 1, plan.code_edges[own])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data = np.concatenate([plan.codes, block.buf])[np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])]
+    data[offsets[:-1][plain]] = data[offsets[1:][plain] - 1] = 0x20
+    return data, offsets
 
 
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, code point) of each word of written texts; code point 0 means spelled out."""
+    """(start, length, number) of each word of written texts; number -1 means spelled out."""
     raw = block.buf[: block.size]
     space = raw == 0x20
     odd = np.cumsum(space) % 2 == 1
-    lead = ~odd & ~space & (raw & 0xC0 != 0x80)
-    start = lead.copy()
+    inside = ~odd & ~space
+    start = inside.copy()
+    start[1:] &= ~(inside & (raw >= 0x80))[:-1]
     start[1:] |= (space & odd)[:-1]
     at = np.flatnonzero(start)
-    # The code points of UTF-8 characters of one to four bytes.
-    a, b, c, d = (block.buf[at + k].astype(np.int64) & (0x3F if k else 0xFF) for k in range(4))
-    point = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | d)))
-    length = 1 + (a >= 0xC0).astype(np.int64) + (a >= 0xE0) + (a >= 0xF0)
-    spelled = ~lead[at]
-    point[spelled] = 0
+    a, b, c = (block.buf[at + k].astype(np.int64) for k in range(3))
+    number = np.where(a < 0x80, a - 0x21, np.where(b < 0x80, _ONE + (a - 0x80) * _ONE + b - 0x21, _ONE + _TWO + ((b - 0x80) * 128 + a - 0x80) * _ONE + c - 0x21))
+    length = 1 + (a >= 0x80).astype(np.int64) + ((a >= 0x80) & (b >= 0x80))
+    spelled = ~inside[at]
+    number[spelled] = -1
     length[spelled] = np.flatnonzero(space & ~odd) - at[spelled]
-    return at, length, point
+    return at, length, number
 
 
 def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers, first word of each stretch) of written stretches; spelled words are numbered after the characters."""
+    """(word numbers, first word of each stretch) of written stretches; spelled words are numbered after the others."""
     if not len(column):
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
     block = next(blocks(column.cast(pa.large_binary()).view(pa.large_string()), limit=1 << 62))
     at, length, number = _tokens(block)
-    spelled = number == 0
+    spelled = number < 0
     begin, size = at[spelled], length[spelled]
-    number[spelled] = 0x110000 + word_numbers(block, begin, size, word_hashes(block, begin, size))
+    number[spelled] = _ONE + _TWO + _THREE + word_numbers(block, begin, size, word_hashes(block, begin, size))
     return number, np.searchsorted(at, block.offsets)
 
 
@@ -275,7 +277,7 @@ def _block_rows(ids: np.ndarray, txt: np.ndarray, block: Block, width: int, plan
     group = plan.deal(h, at, a, ids[text], width)
     head = _run_heads(at - np.arange(len(at)), text, group)
     last = at[np.append(head[1:], len(at)) - 1] + width
-    data, offsets = _written(block, starts, lengths, number, plan.code)
+    data, offsets = _written(block, starts, lengths, h, plan)
     for k in range(0, len(head), 200_000):
         one, end = head[k : k + 200_000], last[k : k + 200_000]
         low, size = offsets[at[one]], offsets[end] - offsets[at[one]]
@@ -341,7 +343,7 @@ def _write_texts(batch: pa.RecordBatch, plan: Plan) -> Iterator[pa.RecordBatch]:
     """(id, txt, words): whole texts as words, written like stretches."""
     for block in blocks(batch.column(2)):
         starts, lengths, firsts = words_of(block, NON_SPACE)
-        data, offsets = _written(block, starts, lengths, word_numbers(block, starts, lengths, word_hashes(block, starts, lengths)), plan.code)
+        data, offsets = _written(block, starts, lengths, word_hashes(block, starts, lengths), plan)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer(offsets[firsts]), pa.py_buffer(data)]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), batch.column(1).slice(block.first, len(block)), words], names=["id", "txt", "words"])
 
@@ -351,21 +353,20 @@ def _kept(batch: pa.RecordBatch, width: int, plan: Plan) -> Iterator[pa.RecordBa
     runs = batch.column(2).fill_null([])
     of, flat = runs.offsets.to_numpy(), runs.values.flatten()
     first, n = (x.to_numpy(zero_copy_only=False) for x in flat)
-    table, edges = plan.spelling
+    table, edges = plan.words.block.buf, plan.words.edges
     for block in blocks(batch.column(1).cast(pa.large_binary()).view(pa.large_string()), limit=1 << 20):
-        at, length, point = _tokens(block)
+        at, length, number = _tokens(block)
         firsts = np.searchsorted(at, block.offsets)
         own = slice(of[block.first], of[block.first + len(block)])
         base = np.repeat(firsts[:-1], np.diff(of[block.first : block.first + len(block) + 1]))
         gone = covered(len(at), base + first[own], n[own] + width - 1)
         left = np.flatnonzero(~gone)
         edge = np.searchsorted(left, firsts)
-        index = np.where(point < 0xD800, point - _POINT, point - _POINT - 0x800)[left]
-        spelled = point[left] == 0
-        index[spelled] = 0
+        index = number[left]
+        spelled = index < 0
         low = np.where(spelled, len(table) + at[left], edges[index])
         # A space after each word but the last of a text.
-        size = np.where(spelled, length[left], edges[index + 1] - edges[index] if len(edges) > 1 else 0) + 1
+        size = np.where(spelled, length[left], np.diff(edges, append=0)[index]) + 1
         size[edge[1:][edge[1:] > edge[:-1]] - 1] -= 1
         offsets = np.concatenate([[0], np.cumsum(size)])
         source = np.concatenate([table, block.buf])
