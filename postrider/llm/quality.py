@@ -128,12 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
 
 
 def vote(weighed: np.ndarray, model: Model) -> np.ndarray:
-    """Similarity-weighted mean label of the nearest labelled vectors; the prior where none is similar."""
+    """Similarity-weighted mean label of the nearest labelled vectors, of equally near ones those of the smallest ids; the prior where none is similar."""
     k = min(model.neighbours, len(model.labels))
     if k == 0:
         return np.full(len(weighed), model.prior)
     cosine = _unit(weighed @ model.projection) @ model.vectors.T
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
     weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64) ** model.sharpness
     total = weight.sum(axis=1)
     return np.where(total > 0, (weight * model.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), model.prior).clip(0.0, 1.0)
@@ -162,8 +165,11 @@ def held_out(doc_id: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Add held_out, score and predicted to every row of docs.
 
-    Every row of docs is kept, repeated ids included; label rows without a
-    document, or with a null label, teach nothing.  Input columns called held_out,
+    Every row of docs is kept, repeated ids included, and whole texts are read,
+    however long; null and empty texts get the share of good labels.  Label rows
+    without a document, or with a null label, teach nothing.  Neighbours that are
+    equally near are taken in order of their ids, so scores do not depend on how rows
+    are partitioned.  Input columns called held_out,
     score or predicted are replaced.
     """
     source = docs.drop("held_out", "score", "predicted")

@@ -441,6 +441,31 @@ def test_mixing_budgets_and_prefixes(spark, none):
         assert len(kept) == mixing.mix(docs).count()
 
 
+def test_mixing_takes_the_same_rows_however_they_are_partitioned(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, None, 1, 2, 3, 4]), "w " * rnd.randint(1, 30), "en", "src0", 0) for _ in range(150)]
+    results = []
+    for n in (1, 2, 8):
+        rnd.shuffle(rows)
+        for edge_rows in (5, 10_000):
+            got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(n), fraction=0.4, max_epochs=1, keep_text=True, edge_rows=edge_rows).collect()
+            results.append(sorted(map(str, got)))
+    assert all(x == results[0] for x in results) and 0 < len(results[0]) < 150
+
+
+def test_equally_near_neighbours_vote_in_order():
+    rnd = np.random.default_rng(2)
+    vectors = np.repeat(quality._unit(rnd.standard_normal((10, 4)).astype(np.float32)), 5, axis=0)
+    labels = rnd.random(50)
+    model = quality.Model(np.ones(4, np.float32), np.eye(4, dtype=np.float32), vectors, labels, 0.5, neighbours=7)
+    asked = rnd.standard_normal((40, 4)).astype(np.float32)
+    for x, got in zip(asked, quality.vote(asked, model)):
+        cosine = quality._unit(x[None]) @ vectors.T
+        order = sorted(range(50), key=lambda i: (-cosine[0, i], i))[:7]
+        weight = np.maximum(cosine[0, order], 0).astype(np.float64) ** model.sharpness
+        assert got == pytest.approx((weight * labels[order]).sum() / weight.sum() if weight.sum() else 0.5, abs=1e-6)
+
+
 def test_short_families_hand_on_to_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 100, 1), ("web", "en", "b", 1000, 1), ("web", "de", "c", 1000, 1), ("books", "en", "d", 10, 1)], "domain string, lang string, source string, tokens long, n long")
     got = {r.source: r.take for r in mixing.leaf_budgets(leaves, 1000, 1).collect()}
