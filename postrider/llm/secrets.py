@@ -47,16 +47,25 @@ ALPHABETS = (
     ("base64url", "^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
+_RUN = 256
 
 
 def match_spans(text: Column, kind: str, pattern: str, keep=None, group: int = 0) -> Column:
-    """Spans of all leftmost non-overlapping matches: matches and the gaps between them alternate, so lengths add up to places."""
+    """Spans of all leftmost non-overlapping matches: matches and the gaps between them alternate, so lengths add up to places.
+
+    They are added up in runs of ``_RUN`` matches, since an array that grows one by one is copied each time.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
 
     def place(x: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+        n = F.size(x["found"])
+        length = lambda i: F.length(F.get(x["gaps"], i)) + F.length(F.get(x["found"], i))
+        run = lambda c: F.sequence(c * _RUN, F.least((c + 1) * _RUN, n) - 1)
+        sizes = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _RUN).cast("int")), lambda c: F.aggregate(run(c), F.lit(0), lambda acc, i: acc + length(i)))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, first, lambda acc, size: F.struct((acc["at"] + size).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
 
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(x["gaps"], i))
@@ -65,7 +74,8 @@ def match_spans(text: Column, kind: str, pattern: str, keep=None, group: int = 0
             keeps = keep(F.get(x["tested"], i)) if keep else F.lit(True)
             return F.struct(end.alias("at"), F.when(keeps, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), first, step, lambda acc: acc["spans"])
+        spans = lambda at, c: F.aggregate(run(c), F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])
+        return F.flatten(F.transform(starts, spans))
 
     none = F.array().cast(_SPAN)
     struct = F.struct(found.alias("found"), gaps.alias("gaps"), tested.alias("tested"))
@@ -137,10 +147,21 @@ def p_value(token: Column, alphabet: Column) -> Column:
     return let(F.struct(token.alias("t"), alphabet.alias("a")), battery)
 
 
+def _meets(spans: Column, s: Column) -> Column:
+    """Whether s overlaps one of the spans, which are in order and apart: the last that starts before s ends is found by halving."""
+    halve = lambda acc, _: let((acc["low"] + acc["high"] + 1).cast("int"), lambda both: let(F.floor(both / 2).cast("int"), lambda mid: F.when(
+        F.get(spans, mid - 1)["start"] < s["end"], F.struct(mid.alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), (mid - 1).alias("high")))))
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans).cast("long"))))
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), lambda acc, x: F.when(acc["low"] < acc["high"], halve(acc, x)).otherwise(acc), lambda acc: acc["low"])
+    return F.when(F.size(spans) == 0, False).otherwise(F.coalesce(F.get(spans, last - 1)["end"] > s["start"], F.lit(False)))
+
+
 def _candidates(text: Column, base: Column) -> Column:
     """Array of (start, end, p) of tokens in a known alphabet that touch no base span."""
     spans = match_spans(text, "random", TOKEN)
-    clear = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    of_kind = lambda k: F.filter(base, lambda b: b["kind"] == k).alias(k)
+    of = F.struct(*[of_kind(k) for k in KINDS[:3]])
+    clear = let(of, lambda own: F.filter(spans, lambda s: ~(_meets(own["assign"], s) | _meets(own["access"], s) | _meets(own["hex"], s))))
     tokens = F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("t")))
     named = F.filter(F.transform(tokens, lambda s: F.struct(s["start"], s["end"], s["t"], alphabet_of(s["t"]).alias("a"))), lambda s: s["a"].isNotNull())
     none = F.array().cast("array<struct<start:int,end:int,p:double>>")

@@ -147,6 +147,16 @@ def test_simhash_components(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_texts_under_one_id_are_not_linked_by_it(spark):
+    rows = [(1, "a b c d e f"), (1, "other words than those here"), (4, "a b c d e f"), (7, "other words than those here"), (1, "third text of all"), (None, "alone and without id")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.fingerprint, set()).add((r.doc_id, r.component_id))
+    assert sorted(sorted(x, key=str) for x in by.values() if len(x) > 1) == [[(1, 1), (4, 1)], [(1, 1), (7, 1)]]
+    assert {(None, None)} in by.values() and len(got) == 6
+
+
 def test_rows_without_id_join_no_component(spark):
     rows = [(5, "a b c d"), (3, "a b c d"), (None, "a b c d"), (None, "other words here now"), (None, None), (7, None), (None, None)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -378,6 +388,18 @@ def test_secrets(spark, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_in_very_long_texts_take_linear_time(spark):
+    import time
+
+    text = "token=abcdef1 0123456789abcdef01234567 Xq9" + "Zk3LmP0aR7vB" * 2 + " "
+    frame = spark.createDataFrame([(1, text * 10_000)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.find_secrets(frame).collect()[0]
+    kinds = [s.kind for s in row.base]
+    assert kinds.count("assign") == kinds.count("hex") == 10_000 and time.time() - began < 60
+    assert [(s.start, s.end) for s in row.base[-2:]] == [(len(text) * 9_999, len(text) * 9_999 + 13), (len(text) * 9_999 + 14, len(text) * 9_999 + 38)]
+
+
 def test_host_rules(docs, rows, none):
     def brute(t):
         w, t = words(t), t or ""
