@@ -201,14 +201,14 @@ def links(values: DataFrame, n_values: int, radius: int = RADIUS, n_pivots: int
     return grouped.applyInPandas(lambda pdf: _links_of_group(pdf, radius, n_pivots), "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge: alternating large-star and small-star steps until nothing changes.
 
     Each round keeps at most a few rows per node, and its table is checkpointed.
     """
     edges = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -219,8 +219,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -228,15 +226,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, n_pivots: int = PIVOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, fingerprint hex, component_id): one row per document, component_id the smallest id reachable by links.
 
-    Ids must be unique integers.  A row without one names and joins no component:
-    it gets that of the rows of the same fingerprint, else null.  Null, empty and
-    word-less texts have fingerprint zero and are linked like any other; an empty
-    table gives an empty result; other columns are ignored.
+    Ids are integers.  Texts are linked by their fingerprints alone, so rows that share
+    an id do not link its texts.  A row without an id names no component: where no row
+    of its component has an id, component_id is null.  Null, empty and word-less texts
+    have fingerprint zero and are linked like any other; repeated rows keep a row each;
+    texts are whole, however long; an empty table gives an empty result; other columns
+    are ignored.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
-    values = checkpointed(fps.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")))
-    n = values.count()
-    found = components(links(values, n, radius, n_pivots, bucket_rows))
-    known = values.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    values = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    found = components(links(values.select(F.col("fp").alias("node"), "fp"), values.count(), radius, n_pivots, bucket_rows))
+    joint = values.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # Most components are one value, so what is grouped here is hardly more than the linked ones.
+    least = joint.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = joint.join(least, "component").select("fp", "component_id")
     named = fps.join(known, "fp", "left")
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
