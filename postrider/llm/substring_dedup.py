@@ -35,13 +35,13 @@ from .common import NON_SPACE, Block, Words, blocks, checkpointed, covered, mix6
 
 WIDTH = 13
 #: Stretches in a group, about.
-GROUP_ROWS = 60_000
+GROUP_ROWS = 40_000
 #: Bytes of text in one task of the last step, about.
 PART_BYTES = 32 << 20
 #: Most words that are written as numbers.
 ALPHABET = 300_000
 SALTS = 16
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 # Numbers that take one, two and three bytes.
 _ONE, _TWO, _THREE = 95, 128 * 95, 128 * 128 * 95
 _ROW = "grp long, id long, place long, n int, words binary"
@@ -378,9 +378,11 @@ def _kept(batch: pa.RecordBatch, width: int, plan: Plan) -> Iterator[pa.RecordBa
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, txt, text): txt is a hash of 31 bits, which together with the id names a text."""
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("txt"), text.alias("text"))
+    """(id, txt, text): txt names a text beside its id, by a hash of 31 bits; zero where no id has two rows, so that it takes no room."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    again = docs.filter(id_.isNotNull()).groupBy(id_.alias("id")).count().filter("count > 1")
+    txt = F.lit(0) if again.isEmpty() else F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    return docs.select(id_.alias("id"), txt.alias("txt"), text.alias("text"))
 
 
 def text_bytes(docs: DataFrame) -> int:
