@@ -13,7 +13,7 @@ from .functions import language
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
-from .operators import archive, arms, control, filters, fusion, paging, postings
+from .operators import archive, arms, control, filters, fusion, paging, postings, shapes
 from .plans import dsl
 
 NOW = datetime(2024, 1, 20, 12)
@@ -515,6 +515,128 @@ def recall_mrr(spark, sf_dir):
     return archive.retrieval_quality(ranked.select("query_id", "doc_id", "rank"), relevant)
 
 
+# Shapes of answers, derivations and queue reports.
+
+
+def _quoted(sql: bool):
+    """Texts with a reply below, announced in one of five ways by the number of the document, and a signature; and what announces none."""
+    heads = ["On Tue, 3 May 2022, Bob Roe wrote:", "Am 3.5.2022 um 10:00 schrieb Bob:", "El mar, 3 may 2022, Bob escribio:", "-----Original Message-----", "On Monday he wrote: fine. And more", "> only quoted lines"]
+    if sql:
+        cases = " ".join(f"WHEN doc_id % 6 = {i} THEN '{h}'" for i, h in enumerate(heads))
+        return f"text || chr(10) || CASE {cases} END || chr(10) || '> old' || chr(10) || 'kept or cut ' || doc_id || chr(10) || '-- ' || chr(10) || 'sig'"
+    head = F.lit(heads[0])
+    for i, h in enumerate(heads):
+        head = F.when(F.col("doc_id") % 6 == i, h).otherwise(head)
+    return F.concat("text", F.lit("\n"), head, F.lit("\n> old\nkept or cut "), F.col("doc_id").cast("string"), F.lit("\n-- \nsig"))
+
+
+_STRIPPED = "regexp_replace(array_to_string(list_filter(string_split(regexp_replace({0}, '(?is)(^|\\n)(?:On [^\\n]+,\\s[^\\n]+\\swrote:|Am [^\\n]+\\sschrieb\\s[^\\n]+:|El [^\\n]+,\\s[^\\n]+\\sescribi[oó]:|-----\\s*Original Message\\s*-----|(?-i:From:[^\\n]+\\nSent:[^\\n]+\\nTo:[^\\n]+))[ \\t\\r\\x0b\\f]*(?:\\n.*)?$', ''), chr(10)), lambda l: NOT regexp_matches(l, '^\\s*>')), chr(10)), '(?s)(^|\\n)-- ?(\\n.*)?$', '')".format
+
+
+@query(f"SELECT doc_id, {_STRIPPED(_quoted(True))} AS body FROM documents")
+def quoted_replies(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_signature(X.strip_quotes(_quoted(False))).alias("body"))
+
+
+@query(_mail("SELECT CAST(m.message_id AS VARCHAR) AS message_id, CAST(m.account_id AS VARCHAR) AS account, 'acct' || m.account_id AS account_name, from_addr AS sender, array_to_string(to_addrs, ',') AS receivers, strftime(coalesce(internal_date, date_sent), '%Y-%m-%dT%H:%M:%S') AS date, coalesce(len(names) > 0, FALSE) AS has_attachments FROM mail m"))
+def api_hit_shape(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    hits = m.select("message_id", F.lit(1.0).alias("score"), F.lit("").alias("snippet"), F.array().cast("array<string>").alias("matched_arms"))
+    found = shapes.api_hits(hits, m, accounts(spark))
+    return found.select("message_id", F.col("account.id").alias("account"), F.col("account.name").alias("account_name"), F.col("from.address").alias("sender"), F.array_join("to", ",").alias("receivers"), "date", "has_attachments")
+
+
+_BLOBS_SQL = "blobs AS (SELECT sha256(names[1]) AS sha256, 'application/pdf' AS mime_type, message_id AS size_bytes FROM mail WHERE message_id % 4 = 2 AND message_id % 8 = 2)"
+
+
+def _blobs(m: DataFrame) -> DataFrame:
+    first = m.filter("message_id % 4 = 2 AND message_id % 8 = 2")
+    return first.select(F.get("attachments", F.lit(0))["sha256"].alias("sha256"), F.lit("application/pdf").alias("mime_type"), F.col("message_id").alias("size_bytes"))
+
+
+@query(_mail(f", {_BLOBS_SQL}, a AS (SELECT message_id, unnest(generate_series(0, CAST(len(names) AS INT) - 1)) AS position, unnest(names) AS filename FROM mail WHERE len(names) > 0) SELECT message_id, position, filename, mime_type, size_bytes FROM a LEFT JOIN blobs ON blobs.sha256 = sha256(filename)"))
+def attachment_blob_hydrate(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    return shapes.attachment_list(m, _blobs(m)).select("message_id", F.col("position").cast("long").alias("position"), "filename", "mime_type", "size_bytes")
+
+
+@query(_mail("SELECT message_id, names[2] AS filename FROM mail WHERE len(names) > 1"))
+def attachment_by_position(spark, sf_dir):
+    return shapes.attachment_at(mail(spark, sf_dir), 1).select("message_id", "filename")
+
+
+@query(_mail("SELECT sha256(name) AS sha256, name AS names FROM (SELECT DISTINCT unnest(names) AS name FROM mail)"))
+def names_by_blob(spark, sf_dir):
+    return shapes.names_by_blob(mail(spark, sf_dir)).select("sha256", F.array_join("names", ",").alias("names"))
+
+
+@query(_mail(f", {_BLOBS_SQL} SELECT '.pdf' AS extension, count(*) AS n_blobs, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM blobs HAVING count(*) > 0"))
+def blobs_by_extension(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    return shapes.blobs_by_extension(_blobs(m), m)
+
+
+@query(_mail("SELECT body_lang, count(*) AS n FROM mail GROUP BY 1"))
+def language_histogram(spark, sf_dir):
+    return shapes.language_histogram(mail(spark, sf_dir))
+
+
+@query(_mail("SELECT message_id, strftime(coalesce(internal_date, CASE WHEN message_id % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END), '%Y-%m-%d') AS internal_day FROM mail"))
+def internal_date_update_from(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    known = m.filter("message_id % 2 = 0").select("message_id", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz").alias("internal_date"))
+    return shapes.update_from(m, known, ["message_id"], ["internal_date"]).select("message_id", F.date_format("internal_date", "yyyy-MM-dd").alias("internal_day"))
+
+
+_FAILED = "SELECT event_id AS failure_id, user_id % 5 AS account_id, user_id % 40 AS mailbox_id, ts AS failed_at, event_type = 'purchase' AS gave_up FROM events"
+
+
+@query(f"WITH f AS ({_FAILED}) SELECT failure_id, 'acct' || account_id AS account, m.name AS mailbox FROM f LEFT JOIN (SELECT n_nationkey AS id, n_name AS name FROM nation) m ON m.id = mailbox_id WHERE NOT gave_up ORDER BY failed_at DESC, failure_id DESC LIMIT 200")
+def failed_messages(spark, sf_dir):
+    failures = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("failure_id"), (F.col("user_id") % 5).alias("account_id"), (F.col("user_id") % 40).alias("mailbox_id"), F.col("ts").alias("failed_at"), (F.col("event_type") == "purchase").alias("gave_up")
+    )
+    boxes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("mailbox_id"), F.col("n_name").alias("name"))
+    return shapes.failed_messages(failures, accounts(spark), boxes, 200).select("failure_id", "account", "mailbox")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE CAST(user_id % 7 AS INTEGER) END AS retry_count, event_type <> 'click' AND user_id % 7 >= 5 AS gave_up FROM events")
+def failures_retried(spark, sf_dir):
+    ledger = table(spark, sf_dir, "events").withColumn("retry_count", (F.col("user_id") % 7).cast("int")).withColumn("gave_up", F.col("user_id") % 7 >= 5)
+    return shapes.retried(ledger, F.col("event_type") == "click").select("event_id", "retry_count", "gave_up")
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || chr(10) || '[truncated]' ELSE t END, '\\S+') AS w
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda s: regexp_replace(regexp_replace(s, '[ \\t\\x0b\\f]+', ' ', 'g'), '^ | $', '', 'g')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS t FROM documents)),
+c AS (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 17, 0), 112)) AS s FROM w WHERE len(w) > 0)
+SELECT CAST(doc_id AS VARCHAR) AS sha256, s // 112 AS chunk_idx, array_to_string(w[s + 1:s + 128], ' ') AS text FROM c""")
+def attachment_chunking(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sha256"), "text")
+    return shapes.attachment_chunks(texts, 128, 16, 5000).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
+
+
+@query(_mail("""WITH w AS (SELECT message_id, regexp_extract_all(coalesce(body_text, ''), '\\S+') AS w FROM mail),
+c AS (SELECT message_id, w[201:] AS w FROM w WHERE len(w) > 200), s AS (SELECT message_id, w, unnest(generate_series(0, greatest(len(w) - 65, 0), 448)) AS s FROM c)
+SELECT message_id, 1 + s // 448 AS chunk_idx, 'body' AS kind, array_to_string(w[s + 1:s + 512], ' ') AS text FROM s
+UNION ALL SELECT message_id, 0, 'header', '' FROM mail""".replace("WITH w", ", w", 1)))
+def message_chunking(spark, sf_dir):
+    made = shapes.body_chunks(mail(spark, sf_dir))
+    return made.select("message_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "kind", F.when(F.col("kind") == "header", "").otherwise(F.col("text")).alias("text"))
+
+
+@query(f"""WITH p AS (SELECT vec_id AS message_id, vec_id AS best_chunk_id, CASE WHEN vec_id % 3 = 0 THEN 'attachment_chunks' WHEN vec_id % 3 = 1 THEN 'message_chunks' END AS t FROM embeddings)
+SELECT message_id, CASE t WHEN 'attachment_chunks' THEN 'file ' || best_chunk_id WHEN 'message_chunks' THEN 'chunk ' || best_chunk_id ELSE left(text, 20) END AS snippet, CASE WHEN t = 'attachment_chunks' THEN 'attachment' ELSE 'body' END AS snippet_source
+FROM p JOIN documents ON doc_id = message_id""")
+def hydrate_by_table(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"))
+    kind = F.when(F.col("message_id") % 3 == 0, "attachment_chunks").when(F.col("message_id") % 3 == 1, "message_chunks")
+    pool = ids.select("message_id", F.col("message_id").alias("best_chunk_id"), kind.alias("best_chunk_table"))
+    texts = lambda word: ids.select(F.col("message_id").alias("chunk_id"), F.concat(F.lit(word), F.col("message_id").cast("string")).alias("text"))
+    messages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.lit("").alias("subject"), F.lit("").alias("from_addr"), F.left("text", F.lit(20)).alias("body_text"))
+    found = fusion.hydrate(pool, messages, texts("chunk "), [], 200, texts("file "))
+    return found.select("message_id", "snippet", "snippet_source")
+
+
 # Control plane.
 
 

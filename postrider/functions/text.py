@@ -92,17 +92,18 @@ def strip_signature(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)(^|\n)-- ?(\n.*)?\z", "")
 
 
-# How mail programs announce a quoted message.
+# How mail programs announce a quoted message; each must end its line.
 REPLY_HEADERS = (
-    r"On [^\n]{1,200} wrote:", r"Am [^\n]{1,200} schrieb[^\n]{0,100}:", r"El [^\n]{1,200} escribió:",
-    r"-{2,} ?Original Message ?-{2,}", r"From: [^\n]+\n(?:Sent|Date): [^\n]+\nTo: ",
+    r"On [^\n]+,\s[^\n]+\swrote:", r"Am [^\n]+\sschrieb\s[^\n]+:", r"El [^\n]+,\s[^\n]+\sescribi[oó]:",
+    r"-----\s*Original Message\s*-----", r"(?-i:From:[^\n]+\nSent:[^\n]+\nTo:[^\n]+)",
 )
+#: A header at the start of a line and all that follows it.
+QUOTED = r"(?is)(^|\n)(?:" + "|".join(REPLY_HEADERS) + r")[ \t\r\x0b\f]*(?:\n.*)?\z"
 
 
 def strip_quotes(text: Column) -> Column:
-    """Cut at the first announced reply, then drop quoted lines."""
-    cut = F.regexp_replace(text, r"(?s)(^|\n)(?:" + "|".join(REPLY_HEADERS) + r").*\z", "")
-    return F.array_join(F.filter(F.split(cut, "\n", -1), lambda s: ~F.ltrim(s).startswith(">")), "\n")
+    """Cut at the first announced reply, then drop quoted lines; null stays null."""
+    return F.array_join(F.filter(F.split(F.regexp_replace(text, QUOTED, ""), "\n", -1), lambda s: ~s.rlike(r"^\s*>")), "\n")
 
 
 def language_text(text: Column) -> Column:

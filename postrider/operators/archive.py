@@ -39,10 +39,11 @@ def windowed_counts(rows: DataFrame, at: str, now: datetime, windows: dict[str,
 
 def failures_since_success(log: DataFrame, key: str, at: str, ok: Column) -> DataFrame:
     """Failures of each key after its last success; all of them if it never succeeded."""
-    last = log.groupBy(key).agg(F.max(F.when(ok, F.col(at))).alias("last_ok"))
-    joined = log.join(last, key)
-    since = F.count_if(~ok & (F.col("last_ok").isNull() | (F.col(at) > F.col("last_ok"))))
-    return joined.groupBy(key).agg(since.alias("failures"))
+    # By key and time first, combined before the shuffle; then a key's times fold from the last on.
+    seen = log.groupBy(key, at).agg(F.max(ok).alias("good"), F.count_if(~ok).alias("bad"))
+    last = F.max(F.when(F.col("good"), F.col(at))).over(W.partitionBy(key))
+    counted = seen.withColumn("last_ok", last).groupBy(key)
+    return counted.agg(F.sum(F.when(F.col("last_ok").isNull() | (F.col(at) > F.col("last_ok")), F.col("bad")).otherwise(0)).alias("failures"))
 
 
 def retry_ledger(failures: DataFrame, keys: list[str], at: str, error: str) -> DataFrame:

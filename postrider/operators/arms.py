@@ -39,7 +39,9 @@ def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_de
         sides = tree[1] if tree and tree[0] == "any" else [tree] if tree else []
         terms = [X.required_words(s) for s in sides]
         doc = R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), P.body(messages), F.array_join("to_addrs", " "))
-        score = R.cover_density_column(doc, terms, R.boosts())
+        # Names are ranked apart, at the subject's weight, and added.
+        names = R.weighted_document(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(""), F.lit(""), F.lit(""))
+        score = R.cover_density_column(doc, terms, R.boosts()) + F.coalesce(R.cover_density_column(names, terms, R.boosts()), F.lit(0.0))
     else:
         score = tf_score(tree, X.tokens(F.concat_ws(" ", "subject", "from_addr", "from_name", P.body(messages), F.array_join("to_addrs", " "))))
     scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), score.alias("arm_score"))

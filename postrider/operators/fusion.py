@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import filters as P
 
 K = 60
 
@@ -48,24 +49,28 @@ def without_served(fused: DataFrame, served: DataFrame) -> DataFrame:
     return fused.join(served.select("message_id"), "message_id", "left_anti")
 
 
-def hydrate(pool: DataFrame, messages: DataFrame, chunks: DataFrame | None, terms: list[str], width: int = 200) -> DataFrame:
-    """Message columns, the best chunk's text (or the body) as a snippet; messages that are gone drop out."""
-    out = pool.join(messages.select("message_id", "subject", "from_addr", "body_text"), "message_id")
-    if chunks is not None:
-        texts = chunks.select(F.col("chunk_id").alias("best_chunk_id"), F.col("text").alias("chunk_text"))
-        out = out.join(texts, "best_chunk_id", "left")
-    else:
-        out = out.withColumn("chunk_text", F.lit(None).cast("string"))
-    source = F.coalesce(F.col("chunk_text"), F.col("body_text"), F.lit(""))
-    kind = F.when(F.col("best_chunk_table") == "attachment_chunks", "attachment").otherwise("body")
-    return out.withColumn("snippet", X.snippet(source, terms, width)).withColumn("snippet_source", kind).drop("chunk_text", "body_text")
+def hydrate(pool: DataFrame, messages: DataFrame, chunks: DataFrame | None, terms: list[str], width: int = 200, attachment_chunks: DataFrame | None = None) -> DataFrame:
+    """Message columns, the best chunk's text (or the body) as a snippet; messages that are gone drop out.
+
+    Chunks of messages and of attachments are numbered apart, so a best chunk is its table and its number.
+    """
+    out = pool.join(messages.withColumn("_body", P.body(messages)).select("message_id", "subject", "from_addr", "_body"), "message_id")
+    named = [(t, rows) for t, rows in (("message_chunks", chunks), ("attachment_chunks", attachment_chunks)) if rows is not None and "text" in rows.columns]
+    texts = None
+    for table, rows in named:
+        one = rows.select(F.lit(table).alias("best_chunk_table"), F.col("chunk_id").alias("best_chunk_id"), F.col("text").alias("chunk_text"))
+        texts = one if texts is None else texts.unionByName(one)
+    out = out.withColumn("chunk_text", F.lit(None).cast("string")) if texts is None else out.join(texts, ["best_chunk_table", "best_chunk_id"], "left")
+    source = F.coalesce(F.col("chunk_text"), F.col("_body"), F.lit(""))
+    kind = F.when((F.col("best_chunk_table") == "attachment_chunks") & F.col("chunk_text").isNotNull(), "attachment").otherwise("body")
+    return out.withColumn("snippet", X.snippet(source, terms, width)).withColumn("snippet_source", kind).drop("chunk_text", "_body")
 
 
 def paged(pool: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page of a pool, ranks starting at 1 on each page."""
-    place = F.row_number().over(W.orderBy(*order))
+    """One page of a pool, ranks starting at 1 on each page; only the rows up to its end are ranked."""
     low = (page - 1) * size
-    return pool.withColumn("place", place).filter((F.col("place") > low) & (F.col("place") <= low + size)).withColumn("rank", F.col("place") - low).drop("place")
+    place = F.row_number().over(W.orderBy(*order))
+    return pool.orderBy(*order).limit(low + size).withColumn("place", place).filter(F.col("place") > low).withColumn("rank", F.col("place") - low).drop("place")
 
 
 def finite_scores(scores: list[float], fallback: list[float]) -> list[float]:

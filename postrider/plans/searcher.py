@@ -55,7 +55,7 @@ class Searcher:
     def fused(self, query: dsl.Query, allowed, candidates: int) -> DataFrame:
         a, messages = self.archive, self.scoped(query, allowed)
         likely = None if a.postings is None else postings.candidates(a.postings, dsl.expanded_tree(query))
-        found = [arms.message_text_arm(messages if likely is None else messages.join(likely, "message_id", "left_semi"), query, candidates)]
+        found = [arms.message_text_arm(messages if likely is None else messages.join(likely, "message_id", "left_semi"), query, candidates, cover_density=True)]
         if a.chunks is not None:
             found.append(arms.chunk_text_arm(a.chunks, messages, query, candidates))
         if self.embed is not None:
@@ -74,7 +74,7 @@ class Searcher:
         dates = self.archive.messages.select("message_id", filters.effective_date().alias("effective_date"))
         pool = fusion.cut_pool(fused, dates, self.pool_size)
         terms = X.required_words(dsl.match_tree(query.free_text))
-        hydrated = fusion.hydrate(pool, self.archive.messages, self.archive.chunks, terms)
+        hydrated = fusion.hydrate(pool, self.archive.messages, self.archive.chunks, terms, attachment_chunks=self.archive.attachment_chunks)
         rows = [r.asDict() | {"text": r["snippet"]} for r in hydrated.collect()]
         return fusion.rerank(rows, query.free_text, self.score)
 
@@ -140,7 +140,8 @@ def message_detail(archive: Archive, message_id: int, allowed) -> dict | None:
     """One message with its folders by name, or None where it is missing or not allowed."""
     ids = filters.clamp_accounts(None, allowed)
     found = archive.messages.filter((F.col("message_id") == message_id) & filters.in_accounts(ids))
-    boxes = archive.labels.join(archive.mailboxes, "mailbox_id").groupBy("message_id").agg(F.sort_array(F.collect_set("name")).alias("folders"))
+    own = archive.labels.filter(F.col("message_id") == message_id)
+    boxes = own.join(archive.mailboxes, "mailbox_id").groupBy("message_id").agg(F.sort_array(F.collect_set("name")).alias("folders"))
     rows = found.join(boxes, "message_id", "left").limit(1).collect()
     return rows[0].asDict(recursive=True) if rows else None
 

@@ -1,7 +1,8 @@
 """Mail sources: mbox files split natively, maildirs by file, RFC822 parsing in Arrow batches.
 
 ``mbox`` reads a file of any size in parallel: Spark's text source splits at the
-"From " lines, and a string column keeps the bytes as they are.
+"From " lines, and all work on a message is done on its bytes, each read as one
+Latin-1 character, so 8-bit bodies come out as they are.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ def envelope_date(line: Column) -> Column:
 
 def mbox(spark: SparkSession, path: str, mailbox: str | None = None) -> DataFrame:
     """(mailbox, raw, received_at) of every message in one or several mbox files; mailbox is the file's name unless given."""
-    text = spark.read.text(path, lineSep="\nFrom ")
+    text = spark.read.text(path, lineSep="\nFrom ").withColumn("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     own = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.mbox)?$", 1)
     cut = F.instr("value", "\n")
     line = F.regexp_replace(F.when(cut > 0, F.substring(F.col("value"), F.lit(1), cut - 1)).otherwise(F.col("value")), "^From |\r$", "")
     body = F.when(cut > 0, F.substring(F.col("value"), cut + 1, F.length("value"))).otherwise(F.lit(""))
     unquoted = F.regexp_replace(body, r"(?m)^>(>*From )", "$1")
-    rows = text.select((F.lit(mailbox) if mailbox else own).alias("mailbox"), unquoted.cast("binary").alias("raw"), envelope_date(line).alias("received_at"))
+    rows = text.select((F.lit(mailbox) if mailbox else own).alias("mailbox"), F.encode(unquoted, "ISO-8859-1").alias("raw"), envelope_date(line).alias("received_at"))
     return rows.filter(F.length("raw") > 0)
 
 

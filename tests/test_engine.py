@@ -167,6 +167,10 @@ def test_text_functions(spark):
     assert one(spark, X.strip_signature(F.lit("hi\n-- \nBob\nx"))) == "hi" and one(spark, X.strip_signature(F.lit("hi -- there"))) == "hi -- there"
     assert one(spark, X.strip_quotes(F.lit("new\n> old\nAm 1.1. schrieb X:\n> rest"))) == "new"
     assert one(spark, X.strip_quotes(F.lit("new\nFrom: a\nSent: b\nTo: c\nold"))) == "new"
+    for kept in ("On Monday he wrote: fine. And more text\nkeep me", "from: a\nsent: b\nto: c", "We say on Monday, Bob wrote:"):
+        assert one(spark, X.strip_quotes(F.lit(kept))) == kept
+    for cut in (f"On Mon, {'x' * 300} WROTE:", "on Mon, 1 Jan 2024,\nBob wrote:  ", "El lun, 1 ene, Bob escribio:", "-----  original message -----"):
+        assert one(spark, X.strip_quotes(F.lit("new\n" + cut + "\nold"))) == "new"
     assert one(spark, X.language_text(F.lit("see https://a.b/c?d now  www.x.y"))) == "see now"
     assert [one(spark, X.extension(F.lit(n))) for n in ("a.PDF", ".bashrc", "a.tar.gz", "none")] == [".pdf", "", ".gz", ""]
     assert one(spark, X.safe_filename(F.lit("../a/b\\c\x01.txt"))) == "a_b_c_.txt" and one(spark, X.safe_filename(F.lit("._"))) == "attachment"

@@ -34,6 +34,16 @@ def test_mbox(spark, tmp_path):
     assert r.received_at == datetime(2024, 1, 1, 10, 0, 3) and r.date_sent == datetime(2024, 1, 1, 8)
 
 
+def test_mbox_keeps_bytes(spark, tmp_path):
+    raw = b"Subject: x\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\ncaf\xe9 \xff\x00\n>From here\n"
+    path = tmp_path / "Latin.mbox"
+    path.write_bytes(b"From a@b.c Mon Jan  1 10:00:00 2024\n" + raw.replace(b">From", b">>From") + b"\nFrom a@b.c Mon Jan  1 10:00:01 2024\n" + raw)
+    got = [bytes(r.raw) for r in mail.mbox(spark, str(path)).orderBy("received_at").collect()]
+    assert got[0].rstrip(b"\n") == raw.rstrip(b"\n") and b"caf\xe9 \xff\x00" in got[1]
+    parsed = mail.parse(mail.mbox(spark, str(path))).collect()
+    assert all(r.body_text.startswith("caf\u00e9") for r in parsed)
+
+
 def test_maildir_and_quarantine(spark, tmp_path):
     for folder, n in (("cur", 1), (".Work/new", 2)):
         (tmp_path / folder).mkdir(parents=True)
