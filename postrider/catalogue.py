@@ -161,7 +161,7 @@ def acl_clamp_some(spark, sf_dir):
 
 def _docs(spark, sf_dir, text):
     tree = dsl.match_tree(text)
-    return table(spark, sf_dir, "documents").filter(X.matches(tree, X.document(F.col("text")))).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(X.may_match(tree, F.lower("text")) & X.matches(tree, X.document(F.col("text")))).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_DOC('text')} AS d FROM documents) WHERE (contains(d, ' the ') AND contains(d, ' with ') AND NOT contains(d, ' from ')) OR contains(d, ' nicht ')")
@@ -180,7 +180,7 @@ WHERE contains(d, ' the ') AND contains(d, ' on ') ORDER BY score DESC, doc_id D
 def fts_rank_tf(spark, sf_dir):
     m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text")
     tree = dsl.match_tree("the on")
-    scored = m.filter(X.matches(tree, X.document(F.col("text")))).select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), arms.tf_score(tree, X.tokens(F.col("text"))).alias("arm_score"))
+    scored = m.filter(X.may_match(tree, F.lower("text")) & X.matches(tree, X.document(F.col("text")))).select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), arms.tf_score(tree, F.split(X.document(F.col("text")), " ")).alias("arm_score"))
     return arms.top_ranked(scored, 50, 1).select(F.col("message_id").alias("doc_id"), F.col("arm_score").alias("score"), F.col("rank").cast("long"))
 
 
@@ -192,7 +192,7 @@ def fts_exclusion_message_level(spark, sf_dir):
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_DOC('text')} AS d FROM documents) WHERE contains(d, ' nichtwort ') OR (contains(d, ' with ') AND contains(d, ' by ')) OR contains(d, ' sich ')")
 def fts_expansion_or(spark, sf_dir):
     tree = dsl.expanded_tree(dsl.Query("nichtwort", expansions=("with by", "sich")))
-    return table(spark, sf_dir, "documents").filter(X.matches(tree, X.document(F.col("text")))).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(X.may_match(tree, F.lower("text")) & X.matches(tree, X.document(F.col("text")))).select("doc_id")
 
 
 @query(_mail("SELECT message_id FROM mail WHERE len(list_filter(names, lambda n: contains(' ' || array_to_string(regexp_extract_all(lower(n), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' done '))) > 0"))

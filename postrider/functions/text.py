@@ -20,8 +20,8 @@ def tokens(text: Column) -> Column:
 
 
 def document(*parts: Column) -> Column:
-    """The words of the parts between single blanks, one before the first and one after the last; null parts are empty."""
-    return F.concat(F.lit(" "), F.array_join(F.concat(*[tokens(F.coalesce(p, F.lit(""))) for p in parts]), " "), F.lit(" "))
+    """The words of the parts between single blanks, at least one before the first and after the last; null parts are empty."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
 
 
 def matches(tree, doc: Column) -> Column:
@@ -40,6 +40,21 @@ def matches(tree, doc: Column) -> Column:
     return found
 
 
+def may_match(tree, low: Column) -> Column:
+    """A cheap test of lower-cased text that holds wherever the tree does: its words occur as parts of the text."""
+    kind, value = tree
+    if kind == "not":
+        return F.lit(True)
+    if kind == "words":
+        parts = [low.contains(w) for w in value]
+    else:
+        parts = [may_match(x, low) for x in value]
+    found = None
+    for one in parts:
+        found = one if found is None else found | one if kind == "any" else found & one
+    return F.lit(True) if found is None else found
+
+
 def required_words(tree) -> list[str]:
     """Words of the tree that are not excluded."""
     if tree is None:

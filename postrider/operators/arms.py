@@ -43,7 +43,7 @@ def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_de
         names = R.weighted_document(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(""), F.lit(""), F.lit(""))
         score = R.cover_density_column(doc, terms, R.boosts()) + F.coalesce(R.cover_density_column(names, terms, R.boosts()), F.lit(0.0))
     else:
-        score = tf_score(tree, X.tokens(F.concat_ws(" ", "subject", "from_addr", "from_name", P.body(messages), F.array_join("to_addrs", " "))))
+        score = tf_score(tree, F.split(P.message_document(messages), " "))
     scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), score.alias("arm_score"))
     return top_ranked(scored, limit, 1)
 
@@ -51,8 +51,9 @@ def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_de
 def chunk_text_arm(chunks: DataFrame, messages: DataFrame, query: dsl.Query, limit: int) -> DataFrame:
     """Arm 2: chunks whose words match, of messages that pass the filters."""
     tree = dsl.expanded_tree(query)
-    found = chunks.filter(X.matches(tree, X.document(F.col("text")))).join(messages.select("message_id"), "message_id")
-    scored = found.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), tf_score(tree, X.tokens(F.col("text"))).alias("arm_score"))
+    likely = X.may_match(tree, F.lower("text")) if tree is not None else F.lit(False)
+    found = chunks.filter(likely & X.matches(tree, X.document(F.col("text")))).join(messages.select("message_id"), "message_id")
+    scored = found.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), tf_score(tree, F.split(X.document(F.col("text")), " ")).alias("arm_score"))
     return top_ranked(scored, limit, 2)
 
 

@@ -67,14 +67,20 @@ def body(messages: DataFrame | None) -> Column:
     return F.concat_ws(" ", "body_text", F.regexp_replace("body_html", r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<![A-Za-z][^>]*>|&#?[A-Za-z0-9]+;", " "))
 
 
+def message_parts(messages: DataFrame | None = None) -> list[Column]:
+    return [F.col("subject"), F.col("from_addr"), F.col("from_name"), body(messages), F.array_join("to_addrs", " ")]
+
+
 def message_document(messages: DataFrame | None = None) -> Column:
     """Words of subject, sender, body and recipients, in that order."""
-    return X.document(F.col("subject"), F.col("from_addr"), F.col("from_name"), body(messages), F.array_join("to_addrs", " "))
+    return X.document(*message_parts(messages))
 
 
 def text_match(tree, messages: DataFrame | None = None) -> Column:
     """A tree over the message or over its attachment names; names count only if an empty document would not match."""
     found = X.matches(tree, message_document(messages))
+    if tree is not None:
+        found = X.may_match(tree, F.lower(F.concat_ws(" ", *message_parts(messages)))) & found
     if tree is not None and not dsl.holds(tree, " "):
         found = found | F.coalesce(X.matches(tree, X.names_document(attachment_names())), F.lit(False))
     return found
