@@ -7,6 +7,7 @@ and 64-bit hashes without one Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -63,6 +64,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on from stage to stage, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class Block:
     """Consecutive texts of one Arrow column in one byte buffer.
 
@@ -99,6 +110,8 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
         raw = bytes(view[offsets[row] : offsets[end]])
         yield Block(row, raw.translate(ASCII_LOWER) if lower else raw, offsets[row : end + 1] - offsets[row])
         row = end
+        del raw
+        release_memory()
 
 
 def words_of(block: Block, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 # Base kinds in order, then the kinds that only the field reports.
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "mac", "ssn")
@@ -186,7 +188,7 @@ def zones(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int]]
     return found
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _form(token: str) -> str:
     """A token's form: its characters' classes; words without digits keep their length only where a kind may ask for it."""
     if not token[0].isalnum():
@@ -204,7 +206,7 @@ def _form(token: str) -> str:
     return "oo" + "0" * (len(token) - 2) if token.startswith("00") and token.isdigit() else token.translate(_FORMS)
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=5_000)
 def _shaped(forms: tuple[str, ...]) -> tuple[tuple[int, int, int], ...]:
     """(first token, number of tokens, kind) of every segment of the bound whose form is one of the kind's."""
     edges = np.cumsum([0, *map(len, forms)]).tolist()
@@ -510,7 +512,7 @@ def find_spans(text: str, weights: Weights, known: dict | None = None) -> list[t
         zone = read_zone(text, tokens)
         key = zone.key()
         if key not in known:
-            if len(known) >= 100_000:
+            if len(known) >= 20_000:
                 known.clear()
             known[key] = decode_zone(zone, weights)
         more += [(tokens[i][0], tokens[j - 1][1], KINDS[k]) for i, j, k in known[key]]
@@ -528,7 +530,10 @@ def spans_column(text: Column, spark) -> Column:
         own = weights.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         rows = [[] if t is None else [{"kind": k, "start": s, "end": e, "base": b} for s, e, k, b in find_spans(t, own, known)] for t in texts.to_pylist()]
-        return pa.array(rows, kind)
+        out = pa.array(rows, kind)
+        del rows
+        release_memory()
+        return out
 
     return spans(F.when(text.rlike(_TRIGGER_PATTERN), text))
 

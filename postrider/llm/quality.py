@@ -26,7 +26,7 @@ SHARPNESS = 8.0
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE_ROWS = 4096
 REPEAT_WEIGHT = 1.0
-_ROWS = 512
+_ROWS = 256
 
 
 @dataclass
