@@ -180,7 +180,7 @@ WHERE contains(d, ' the ') AND contains(d, ' on ') ORDER BY score DESC, doc_id D
 def fts_rank_tf(spark, sf_dir):
     m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text")
     tree = dsl.match_tree("the on")
-    scored = m.filter(X.may_match(tree, F.lower("text")) & X.matches(tree, X.document(F.col("text")))).select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), arms.tf_score(tree, F.split(X.document(F.col("text")), " ")).alias("arm_score"))
+    scored = m.filter(X.may_match(tree, F.lower("text")) & X.matches(tree, X.document(F.col("text")))).select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), arms.tf_score(tree, X.document(F.col("text"))).alias("arm_score"))
     return arms.top_ranked(scored, 50, 1).select(F.col("message_id").alias("doc_id"), F.col("arm_score").alias("score"), F.col("rank").cast("long"))
 
 
@@ -312,11 +312,11 @@ def hydrate_snippet(spark, sf_dir):
 # Accounts, folders, status.
 
 
-@query(_mail("SELECT a.id AS account_id, count(message_id) AS n_messages FROM (SELECT unnest(generate_series(0, 5)) AS id) a LEFT JOIN mail ON account_id = a.id GROUP BY 1"))
+@query(_mail(f"SELECT a.id AS account_id, count(message_id) AS n_messages, strftime(max({EFFECTIVE_SQL}), '{DAY_SQL}') AS last_sync, coalesce(max({EFFECTIVE_SQL}) < {NOW_SQL} - INTERVAL 30 DAY, TRUE) AS stale FROM (SELECT unnest(generate_series(0, 5)) AS id) a LEFT JOIN mail ON account_id = a.id GROUP BY 1"))
 def account_stats(spark, sf_dir):
     m = mail(spark, sf_dir)
     boxes = m.groupBy("account_id").agg(F.max("effective_date").alias("last_sync_at"))
-    return archive.account_stats(accounts(spark), m, boxes, NOW).select("account_id", "n_messages")
+    return archive.account_stats(accounts(spark), m, boxes, NOW).select("account_id", "n_messages", F.date_format("last_sync_at", DAY).alias("last_sync"), "stale")
 
 
 @query(_mail("SELECT mailbox_id, 'Box/' || folder AS name, count(*) AS n_messages FROM mail GROUP BY ALL"))
@@ -327,8 +327,8 @@ def folder_counts(spark, sf_dir):
 
 @query("SELECT count(*) AS n_messages, count(label) AS n_embedded, count(*) FILTER (lang IS NOT NULL) AS n_lang, count(*) FILTER (n_chars < 20) AS n_declined FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def status_totals(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("doc_id"), "left")
-    return rows.agg(F.count("*").alias("n_messages"), F.count("label").alias("n_embedded"), F.count_if(F.col("lang").isNotNull()).alias("n_lang"), F.count_if(F.col("n_chars") < 20).alias("n_declined"))
+    messages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.col("lang").alias("body_lang"), "n_chars")
+    return archive.status_totals(messages, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id")))
 
 
 _BUCKETS = {"extracted": "quality = 1 AND toxic = 0", "no_text": "quality = 0 AND toxic = 0", "gave_up": "toxic = 1", "pending": "quality IS NULL"}
@@ -362,13 +362,13 @@ def failures_since_success(spark, sf_dir):
 
 @query("SELECT c_nationkey, coalesce(array_to_string(list_sort(list(DISTINCT c_mktsegment) FILTER (c_acctbal > 0)), ','), '') AS segments FROM customer GROUP BY 1")
 def keys_array_agg(spark, sf_dir):
-    named = F.sort_array(F.collect_set(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))))
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(named, ",").alias("segments"))
+    named = archive.names_by_key(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", F.col("c_acctbal") > 0)
+    return named.select("c_nationkey", F.array_join("names", ",").alias("segments"))
 
 
-@query("SELECT user_id, event_type, count(*) AS retry_count, arg_max(props, (ts, props)) AS last_error FROM events GROUP BY 1, 2")
+@query(f"SELECT user_id, event_type, count(*) AS retry_count, arg_max(props, (ts, props)) AS last_error, strftime(max(ts), '{DAY_SQL}') AS last_day FROM events GROUP BY 1, 2")
 def failure_retry_rollup(spark, sf_dir):
-    return archive.retry_ledger(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "props").drop("last_at")
+    return archive.retry_ledger(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "props").withColumn("last_at", F.date_format("last_at", DAY)).withColumnRenamed("last_at", "last_day")
 
 
 # Joins and queues.
@@ -376,7 +376,8 @@ def failure_retry_rollup(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def unchunked_anti(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return archive.without_derived(table(spark, sf_dir, "documents").select("doc_id"), chunks, "doc_id")
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 5)")
@@ -387,13 +388,13 @@ def under_retry_cap_anti(spark, sf_dir):
 
 @query(_mail("SELECT message_id, unnest(generate_series(0, CAST(len(names) AS INT) - 1)) AS position, unnest(names) AS filename FROM mail WHERE len(names) > 0"))
 def lateral_attachments_ordinality(spark, sf_dir):
-    return mail(spark, sf_dir).select("message_id", F.posexplode("attachments").alias("position", "a")).select("message_id", F.col("position").cast("long").alias("position"), "a.filename")
+    return shapes.attachment_list(mail(spark, sf_dir)).select("message_id", F.col("position").cast("long").alias("position"), "filename")
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 def left_join_on_residual(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_orderstatus") == "P"), "left").select("c_custkey", "o_orderkey")
+    return archive.left_joined(c, o, "c_custkey", "o_custkey", F.col("o_orderstatus") == "P").select("c_custkey", "o_orderkey")
 
 
 # Change feed, dedup, upserts.
@@ -441,10 +442,10 @@ def uid_rewind_min(spark, sf_dir):
     return archive.rewind_points(e.filter("event_type = 'error'"), boxes)
 
 
-@query(f"SELECT user_id AS mailbox_id, event_type AS uid, count(*) AS attempts, min(ts) <= {NOW_SQL} - INTERVAL 1800 SECOND AS gave_up FROM events GROUP BY 1, 2")
+@query(f"SELECT user_id AS mailbox_id, event_type AS uid, count(*) AS attempts, strftime(min(ts), '{DAY_SQL}') AS seen, min(ts) <= {NOW_SQL} - INTERVAL 1800 SECOND AS gave_up FROM events GROUP BY 1, 2")
 def hold_window_ledger(spark, sf_dir):
     attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("mailbox_id"), F.col("event_type").alias("uid"), F.col("ts").alias("at"))
-    return archive.held_or_given_up(attempts, NOW).select("mailbox_id", "uid", "attempts", "gave_up")
+    return archive.held_or_given_up(attempts, NOW).select("mailbox_id", "uid", "attempts", F.date_format("first_seen", DAY).alias("seen"), "gave_up")
 
 
 # Text derivation.
@@ -470,15 +471,6 @@ def whitespace_norm(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize_whitespace(F.col("text")).alias("clean"))
 
 
-@query("""SELECT doc_id, text AS body FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*>|(^|\\n)-- ?(\\n|$)|wrote:|schrieb|escribió:|Original Message|From: ')""")
-def strip_quotes_signature(spark, sf_dir):
-    # Whole texts that have neither quotes nor a signature get both, and must come back unchanged.
-    made = F.concat("text", F.lit("\n> quoted\nOn Mon, A wrote:\n> more\n-- \nSignature"))
-    plain = ~F.col("text").rlike(r"(^|\n)\s*>|(^|\n)-- ?(\n|\z)|wrote:|schrieb|escribió:|Original Message|From: ")
-    docs = table(spark, sf_dir, "documents").filter(plain)
-    return docs.select("doc_id", X.strip_signature(X.strip_quotes(made)).alias("body"))
-
-
 @query("SELECT doc_id, substr(text, 101, 50) AS text, length(text) AS total, CASE WHEN length(text) > 150 THEN 150 END AS next_offset FROM documents")
 def text_window(spark, sf_dir):
     page = table(spark, sf_dir, "documents").select("doc_id", X.text_window(F.col("text"), 100, 50).alias("w")).select("doc_id", "w.*")
@@ -533,6 +525,15 @@ def _quoted(sql: bool):
 _STRIPPED = "regexp_replace(array_to_string(list_filter(string_split(regexp_replace({0}, '(?is)(^|\\n)(?:On [^\\n]+,\\s[^\\n]+\\swrote:|Am [^\\n]+\\sschrieb\\s[^\\n]+:|El [^\\n]+,\\s[^\\n]+\\sescribi[oó]:|-----\\s*Original Message\\s*-----|(?-i:From:[^\\n]+\\nSent:[^\\n]+\\nTo:[^\\n]+))[ \\t\\r\\x0b\\f]*(?:\\n.*)?$', ''), chr(10)), lambda l: NOT regexp_matches(l, '^\\s*>')), chr(10)), '(?s)(^|\\n)-- ?(\\n.*)?$', '')".format
 
 
+_REPLIED = "(text || chr(10) || '> quoted' || chr(10) || 'On Mon, A wrote:' || chr(10) || '> more' || chr(10) || '-- ' || chr(10) || 'Signature')"
+
+
+@query(f"SELECT doc_id, {_STRIPPED(_REPLIED)} AS body FROM documents")
+def strip_quotes_signature(spark, sf_dir):
+    made = F.concat("text", F.lit("\n> quoted\nOn Mon, A wrote:\n> more\n-- \nSignature"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.strip_signature(X.strip_quotes(made)).alias("body"))
+
+
 @query(f"SELECT doc_id, {_STRIPPED(_quoted(True))} AS body FROM documents")
 def quoted_replies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_signature(X.strip_quotes(_quoted(False))).alias("body"))
@@ -640,10 +641,10 @@ def hydrate_by_table(spark, sf_dir):
 # Control plane.
 
 
-@query(f"SELECT event_type AS kind, NULLIF(user_id % 4, 0) AS account_id, max(ts) < {NOW_SQL} - INTERVAL 3600 SECOND AS stale FROM events GROUP BY 1, 2")
+@query(f"SELECT event_type AS kind, NULLIF(user_id % 4, 0) AS account_id, strftime(max(ts), '{DAY_SQL}') AS last_beat, max(ts) < {NOW_SQL} - INTERVAL 3600 SECOND AS stale FROM events GROUP BY 1, 2")
 def heartbeat_staleness(spark, sf_dir):
     beats = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.nullif(F.col("user_id") % 4, F.lit(0)).alias("account_id"), F.col("ts").alias("at"))
-    return control.heartbeats(beats, NOW, 3600).select("kind", "account_id", "stale")
+    return control.heartbeats(beats, NOW, 3600).select("kind", "account_id", F.date_format("last_at", DAY).alias("last_beat"), "stale")
 
 
 _STATE = "CASE WHEN event_type = 'view' THEN 'queued' ELSE event_type END"
@@ -686,10 +687,10 @@ def token_families(spark, sf_dir):
     return archive.live_families(uses)
 
 
-@query(_mail("SELECT count(*) AS n_messages, round(avg(strlen(body_text)), 4) AS message_bytes FROM mail"))
+@query(_mail("SELECT count(*) AS n_messages, round(avg(strlen(body_text)), 4) AS message_bytes, count(*) AS n_chunks, round(avg(strlen(body_text)), 4) AS chunk_bytes, round(2 * sum(strlen(body_text)) / 80e6, 4) AS rewrite_s, round(2 * sum(strlen(body_text)) / 30e6, 4) AS index_s FROM mail"))
 def size_estimate(spark, sf_dir):
     m = mail(spark, sf_dir)
-    return control.size_estimate(m, m.select(F.col("body_text").alias("text"))).select("n_messages", F.round("message_bytes", 4).alias("message_bytes"))
+    return control.size_estimate(m, m.select(F.col("body_text").alias("text"))).select("n_messages", "n_chunks", *[F.round(c, 4).alias(c) for c in ("message_bytes", "chunk_bytes", "rewrite_s", "index_s")])
 
 
 @query()

@@ -65,9 +65,14 @@ def required_words(tree) -> list[str]:
     return [] if kind == "not" else list(dict.fromkeys(w for x in value for w in required_words(x)))
 
 
-def term_frequency(words: Column, terms: list[str]) -> Column:
-    """How many of the words are one of the terms."""
-    return F.size(F.filter(words, lambda w: w.isin(*terms))) if terms else F.lit(0)
+def term_frequency(doc: Column, terms: list[str]) -> Column:
+    """How many words of a ``document`` column are one of the terms, by the bytes that go with them."""
+    # Each word stands between blanks of its own, so that equal neighbours share none.
+    apart = F.replace(doc, F.lit(" "), F.lit("  "))
+    found = F.lit(0)
+    for t in dict.fromkeys(f" {t} " for t in terms):
+        found = found + (F.octet_length(apart) - F.octet_length(F.replace(apart, F.lit(t), F.lit("")))) / len(t.encode())
+    return found.cast("int")
 
 
 def names_document(names: Column) -> Column:

@@ -31,6 +31,24 @@ def partition_counts(rows: DataFrame, buckets: dict[str, Column]) -> DataFrame:
     )
 
 
+def status_totals(messages: DataFrame, embedded: DataFrame, min_chars: int = 20) -> DataFrame:
+    """One row: messages, those with a vector, those with a language, and those too short to detect one; ids of ``embedded`` are unique."""
+    rows = messages.join(embedded.select("message_id", F.lit(1).alias("_embedded")), "message_id", "left")
+    return rows.agg(
+        F.count("*").alias("n_messages"), F.count("_embedded").alias("n_embedded"), F.count("body_lang").alias("n_lang"), F.count_if(F.col("n_chars") < min_chars).alias("n_declined")
+    )
+
+
+def names_by_key(rows: DataFrame, key: str, name: str, chosen: Column) -> DataFrame:
+    """(key, names): the distinct names of each key's chosen rows, in order; an empty list where none is chosen."""
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(F.when(chosen, F.col(name)))).alias("names"))
+
+
+def left_joined(left: DataFrame, right: DataFrame, left_key: str, right_key: str, residual: Column) -> DataFrame:
+    """Every left row with the right rows of its key that also meet the residual condition, or with nulls."""
+    return left.join(right.filter(residual), F.col(left_key) == F.col(right_key), "left")
+
+
 def windowed_counts(rows: DataFrame, at: str, now: datetime, windows: dict[str, tuple[Column, int]]) -> DataFrame:
     """One row of counts, each of its condition within its last so many seconds."""
     recent = lambda seconds: F.col(at) > F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {seconds} SECONDS")
@@ -54,7 +72,12 @@ def retry_ledger(failures: DataFrame, keys: list[str], at: str, error: str) -> D
 def pending(rows: DataFrame, done: DataFrame, failures: DataFrame, key: str, cap: int) -> DataFrame:
     """Work still to do: no derived row yet, and fewer failures than the cap."""
     spent = failures.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= cap)
-    return rows.join(done.select(key), key, "left_anti").join(spent, key, "left_anti")
+    return without_derived(rows, done, key).join(spent, key, "left_anti")
+
+
+def without_derived(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows that nothing was derived from yet."""
+    return rows.join(done.select(key), key, "left_anti")
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -27,8 +27,8 @@ def top_ranked(scored: DataFrame, limit: int, arm: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("arm", F.lit(arm))
 
 
-def tf_score(tree, doc_words: Column) -> Column:
-    return X.term_frequency(doc_words, X.required_words(tree)).cast("double")
+def tf_score(tree, doc: Column) -> Column:
+    return X.term_frequency(doc, X.required_words(tree)).cast("double")
 
 
 def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_density: bool = False) -> DataFrame:
@@ -43,7 +43,7 @@ def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_de
         names = R.weighted_document(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(""), F.lit(""), F.lit(""))
         score = R.cover_density_column(doc, terms, R.boosts()) + F.coalesce(R.cover_density_column(names, terms, R.boosts()), F.lit(0.0))
     else:
-        score = tf_score(tree, F.split(P.message_document(messages), " "))
+        score = tf_score(tree, P.message_document(messages))
     scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), score.alias("arm_score"))
     return top_ranked(scored, limit, 1)
 
@@ -53,7 +53,7 @@ def chunk_text_arm(chunks: DataFrame, messages: DataFrame, query: dsl.Query, lim
     tree = dsl.expanded_tree(query)
     likely = X.may_match(tree, F.lower("text")) if tree is not None else F.lit(False)
     found = chunks.filter(likely & X.matches(tree, X.document(F.col("text")))).join(messages.select("message_id"), "message_id")
-    scored = found.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), tf_score(tree, F.split(X.document(F.col("text")), " ")).alias("arm_score"))
+    scored = found.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), tf_score(tree, X.document(F.col("text"))).alias("arm_score"))
     return top_ranked(scored, limit, 2)
 
 
