@@ -180,7 +180,9 @@ WHERE contains(d, ' the ') AND contains(d, ' on ') ORDER BY score DESC, doc_id D
 def fts_rank_tf(spark, sf_dir):
     m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text")
     tree = dsl.match_tree("the on")
-    scored = m.filter(X.may_match(tree, F.lower("text")) & X.matches(tree, X.document(F.col("text")))).select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), arms.tf_score(tree, X.document(F.col("text"))).alias("arm_score"))
+    doc = X.document(F.col("text"))
+    likely = m.filter(X.may_match(tree, F.lower("text")))
+    scored = likely.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), F.when(X.matches(tree, doc), arms.tf_score(tree, doc)).alias("arm_score"))
     return arms.top_ranked(scored, 50, 1).select(F.col("message_id").alias("doc_id"), F.col("arm_score").alias("score"), F.col("rank").cast("long"))
 
 
@@ -498,11 +500,13 @@ h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
 b AS (SELECT r.query_id, lang, count(h.rank) / count(*) AS recall, coalesce(1 / min(h.rank), 0) AS rr FROM r LEFT JOIN h ON h.query_id = r.query_id AND h.doc_id = r.doc_id AND h.rank <= 20 GROUP BY 1, 2)
 SELECT lang, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, count(*) AS n_queries FROM b GROUP BY 1""")
 def recall_mrr(spark, sf_dir):
-    first = F.concat(F.lit(" "), F.array_join(F.slice(X.tokens(F.col("text")), 1, 3), " "), F.lit(" "))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("phrase"))
-    triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat(F.lit(" "), F.array_join(F.slice("w", i, 3), " "), F.lit(" ")))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.tokens(F.col("text")).alias("w"))
+    asked = asked.select("query_id", *[F.get("w", F.lit(i)).alias(f"w{i}") for i in range(3)])
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.tokens(F.col("text")).alias("w")).filter(F.size("w") >= 3)
-    relevant = docs.select("doc_id", "lang", F.explode(F.array_distinct(triples)).alias("phrase")).join(asked, "phrase").select("query_id", "lang", "doc_id")
+    # Three neighbours each as columns of their own, joined before anything is made distinct.
+    triples = F.arrays_zip(*[F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(3)])
+    placed = docs.select("doc_id", "lang", F.explode(triples).alias("t")).select("doc_id", "lang", *[F.col("t")[f"w{i}"].alias(f"w{i}") for i in range(3)])
+    relevant = placed.join(asked, ["w0", "w1", "w2"]).select("query_id", "lang", "doc_id").distinct()
     ranked = relevant.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("doc_id") % 7, "doc_id")))
     return archive.retrieval_quality(ranked.select("query_id", "doc_id", "rank"), relevant)
 

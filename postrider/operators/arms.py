@@ -21,9 +21,13 @@ FAN_OUT = 10
 
 
 def top_ranked(scored: DataFrame, limit: int, arm: int) -> DataFrame:
-    """Best ``limit`` rows of (message_id, chunk_id, chunk_table, arm_score) with their rank."""
-    order = [F.desc("arm_score"), F.desc("message_id"), F.desc_nulls_last("chunk_id")]
-    top = scored.orderBy(*order).limit(limit)
+    """Best ``limit`` rows of (message_id, chunk_id, chunk_table, arm_score) with their rank; rows without a score are no hits.
+
+    Those go after the top-k: a filter on the score would be pushed below it and
+    compute whatever the score rests on a second time.
+    """
+    order = [F.desc_nulls_last("arm_score"), F.desc("message_id"), F.desc_nulls_last("chunk_id")]
+    top = scored.orderBy(*order).limit(limit).filter("arm_score IS NOT NULL")
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("arm", F.lit(arm))
 
 
@@ -34,8 +38,9 @@ def tf_score(tree, doc: Column) -> Column:
 def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_density: bool = False) -> DataFrame:
     """Arm 1: messages whose text or attachment names match; nothing for a blank text."""
     tree = dsl.expanded_tree(query)
-    found = messages.filter(P.text_match(tree, messages) if tree is not None else F.lit(False))
+    found = messages.filter(P.may_match(tree, messages))
     if cover_density:
+        found = found.filter(P.text_match(tree, messages) if tree is not None else F.lit(False))
         sides = tree[1] if tree and tree[0] == "any" else [tree] if tree else []
         terms = [X.required_words(s) for s in sides]
         doc = R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), P.body(messages), F.array_join("to_addrs", " "))
@@ -43,7 +48,7 @@ def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_de
         names = R.weighted_document(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(""), F.lit(""), F.lit(""))
         score = R.cover_density_column(doc, terms, R.boosts()) + F.coalesce(R.cover_density_column(names, terms, R.boosts()), F.lit(0.0))
     else:
-        score = tf_score(tree, P.message_document(messages))
+        score = F.when(P.text_match(tree, messages), tf_score(tree, P.message_document(messages)))
     scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), score.alias("arm_score"))
     return top_ranked(scored, limit, 1)
 
@@ -52,9 +57,9 @@ def chunk_text_arm(chunks: DataFrame, messages: DataFrame, query: dsl.Query, lim
     """Arm 2: chunks whose words match, of messages that pass the filters."""
     tree = dsl.expanded_tree(query)
     likely = X.may_match(tree, F.lower("text")) if tree is not None else F.lit(False)
-    found = chunks.filter(likely & X.matches(tree, X.document(F.col("text")))).join(messages.select("message_id"), "message_id")
-    scored = found.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), tf_score(tree, X.document(F.col("text"))).alias("arm_score"))
-    return top_ranked(scored, limit, 2)
+    doc = X.document(F.col("text"))
+    scored = chunks.filter(likely).select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), F.when(X.matches(tree, doc), tf_score(tree, doc)).alias("arm_score"))
+    return top_ranked(scored.join(messages.select("message_id"), "message_id", "left_semi").select(*scored.columns), limit, 2)
 
 
 def chunk_vector_arm(chunks: DataFrame, messages: DataFrame | None, vector: list[float], limit: int) -> DataFrame:

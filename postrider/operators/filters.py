@@ -81,9 +81,21 @@ def text_match(tree, messages: DataFrame | None = None) -> Column:
     found = X.matches(tree, message_document(messages))
     if tree is not None:
         found = X.may_match(tree, F.lower(F.concat_ws(" ", *message_parts(messages)))) & found
-    if tree is not None and not dsl.holds(tree, " "):
-        found = found | F.coalesce(X.matches(tree, X.names_document(attachment_names())), F.lit(False))
-    return found
+    return found | _names_match(tree)
+
+
+def _names_match(tree) -> Column:
+    """A tree over the attachment names; nothing where an empty document would match."""
+    if tree is None or dsl.holds(tree, " "):
+        return F.lit(False)
+    return F.coalesce(X.matches(tree, X.names_document(attachment_names())), F.lit(False))
+
+
+def may_match(tree, messages: DataFrame | None = None) -> Column:
+    """A cheap condition that holds wherever ``text_match`` does."""
+    if tree is None:
+        return F.lit(False)
+    return X.may_match(tree, F.lower(F.concat_ws(" ", *message_parts(messages)))) | _names_match(tree)
 
 
 def apply_filters(messages: DataFrame, query: dsl.Query, accounts: DataFrame | None = None, labels: DataFrame | None = None, mailboxes: DataFrame | None = None, allowed: Iterable[int] | None = None) -> DataFrame:
