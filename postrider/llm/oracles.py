@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, host_rules, mixing, secrets, substring_dedup, url_filter
+from . import decontamination, host_rules, mixing, resampling, secrets, substring_dedup, url_filter, vector_codes
 
 
 def _op7() -> str:
@@ -150,8 +150,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_remove
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
+_ALNUM_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 def _op9() -> str:
-    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    words = _ALNUM_WORDS
     w = decontamination.WIDTH
     return f"""
 WITH b AS (SELECT item_id, {words} AS w FROM benchmark),
@@ -192,5 +195,51 @@ UNION ALL
 SELECT conv_id, turn, NULL, NULL, 'message', 0, 0, '', '{{"content":' || to_json(text) || ',"role":' || to_json(role) || '}}' FROM conversations WHERE role NOT IN ('user', 'assistant')"""
 
 
+def _op11() -> str:
+    r = resampling
+    features = "w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])"
+    byte = "lambda i: (instr('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i]) - 1"
+    return f"""
+WITH RECURSIVE turn AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM turn WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM turn WHERE k = 8),
+d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+df AS (SELECT doc_id, unnest({features}) AS f FROM d),
+bf AS (SELECT unnest({features}) AS f FROM (SELECT {_ALNUM_WORDS} AS w FROM benchmark)),
+x AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM df UNION SELECT DISTINCT f FROM bf)),
+b AS (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(generate_series(1, len(h) // 2), {byte})),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % {r.BUCKETS} AS bucket FROM x, crc),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN b USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN b USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor({r.SCALE} * ln((coalesce(t, 0) + 1e0) * ((SELECT count(*) FROM df) + {r.BUCKETS}e0) / ((coalesce(s, 0) + 1e0) * ((SELECT count(*) FROM bf) + {r.BUCKETS}e0)))) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM df JOIN b USING (f) JOIN g USING (bucket) GROUP BY 1),
+h AS (SELECT doc_id, sha256('{r.SEED}:' || doc_id)[:8] AS h FROM d),
+z AS (SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(generate_series(1, 8), lambda i: CAST(instr('0123456789abcdef', h[i]) - 1 AS BIGINT))), lambda c, y: c * 16 + y) AS h FROM h),
+q AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-{r.SCALE}e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM d JOIN z USING (doc_id) LEFT JOIN m USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM q WHERE n_words >= {r.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= {r.PERCENT} * (SELECT count(*) FROM k) // 100 THEN k END AS rank FROM q LEFT JOIN k USING (doc_id)"""
+
+
+def _op13() -> str:
+    v = vector_codes
+    near = """near{0} AS MATERIALIZED (SELECT vec_id, p, min(CAST(list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y) AS BIGINT) * {1} + e) AS m
+  FROM sub JOIN book{0} USING (p) GROUP BY ALL)""".format
+    book = """mean{0} AS (SELECT p, e, list(c ORDER BY i) AS z FROM (SELECT p, e, i, floor(sum(c) / count(*)) AS c
+  FROM (SELECT p, m % {2} AS e, unnest(x) AS c, unnest(generate_series(1, len(x))) AS i FROM near{1} JOIN sub USING (vec_id, p)) GROUP BY ALL) GROUP BY ALL),
+book{0} AS MATERIALIZED (SELECT p, e, coalesce(z, y) AS y FROM book{1} LEFT JOIN mean{0} USING (p, e))""".format
+    rounds = ",\n".join(near(r, v.ENTRIES) + ",\n" + book(r + 1, r, v.ENTRIES) for r in range(v.ROUNDS))
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({v.UNIT} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+sub AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {v.PARTS} + 1:(p + 1) * len(v) // {v.PARTS}] AS x FROM k, range({v.PARTS}) r(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM sub WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {v.ENTRIES})),
+{rounds},
+{near(v.ROUNDS, v.ENTRIES)},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', m % {v.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(m // {v.ENTRIES}) AS BIGINT) AS error FROM near{v.ROUNDS} GROUP BY 1),
+said AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(y) AS c, unnest(generate_series(1, len(y))) AS i FROM book{v.ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), said"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_random_secrets": _op2(), "op3_suffix_trees": _op3(), "op9_wu_manber": _op9(), "op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8()}
+    return {"op2_random_secrets": _op2(), "op3_suffix_trees": _op3(), "op9_wu_manber": _op9(), "op4_tool_call_links": _op4(), "op6_host_rules": _op6(), "op7_url_vocabulary": _op7(), "op8_hierarchical_mix": _op8(), "op11_importance_resampling": _op11(), "op13_partial_distance": _op13()}

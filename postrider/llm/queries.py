@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..mailview import table
-from . import chat, decontamination, host_rules, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
+from . import chat, decontamination, host_rules, mixing, pii, quality, resampling, secrets, simhash, substring_dedup, token_counts, url_filter, vector_codes
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +67,24 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = resampling.resample(docs.select("doc_id", "text"), target.select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.add_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn_quality, op2_random_secrets, op3_suffix_trees, op4_tool_call_links, op5_semi_markov_pii, op6_host_rules, op7_url_vocabulary, op8_hierarchical_mix, op9_wu_manber, op10_simhash_pivots)}
+    every = (
+        op1_knn_quality, op2_random_secrets, op3_suffix_trees, op4_tool_call_links, op5_semi_markov_pii, op6_host_rules, op7_url_vocabulary, op8_hierarchical_mix,
+        op9_wu_manber, op10_simhash_pivots, op11_importance_resampling, op12_token_counts, op13_partial_distance,
+    )
+    return {f.__name__: f for f in every}
