@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,8 +14,9 @@ from .functions import language
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
-from .operators import archive, arms, control, filters, fusion, paging, postings, shapes
+from .operators import archive, arms, cells, control, filters, fusion, paging, positions, postings, shapes
 from .plans import dsl
+from .shared import shared_folder, written
 
 NOW = datetime(2024, 1, 20, 12)
 NOW_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
@@ -209,12 +211,66 @@ def fts_postings(spark, sf_dir):
     return m.join(likely, "message_id", "left_semi").filter(X.matches(tree, filters.message_document(m))).select("message_id")
 
 
-@query()
+def _cover_sql(words: str, terms: list[str], name: str) -> str:
+    """CTEs that end in ``name`` (message_id, s): the cover density of (message_id, part, pos, word, inv) by its parts, summed."""
+    last = ", ".join(f"max(CASE WHEN word = '{t}' THEN i END) OVER (PARTITION BY message_id, part ORDER BY i) AS l{k}" for k, t in enumerate(terms))
+    seen = " AND ".join(f"l{k} IS NOT NULL" for k in range(len(terms)))
+    return f"""{name}_p AS (SELECT *, row_number() OVER (PARTITION BY message_id, part ORDER BY pos) AS i FROM {words} WHERE word IN ({", ".join(f"'{t}'" for t in terms)})),
+{name}_c AS (SELECT *, sum(inv) OVER (PARTITION BY message_id, part ORDER BY i) AS upto, {last} FROM {name}_p),
+{name}_s AS (SELECT *, CASE WHEN {seen} THEN least({", ".join(f"l{k}" for k in range(len(terms)))}) END AS start FROM {name}_c),
+{name}_n AS (SELECT *, coalesce(lag(start) OVER (PARTITION BY message_id, part ORDER BY i), 0) AS earlier FROM {name}_s),
+{name} AS (SELECT n.message_id, sum((n.i - c.i + 1) / (n.upto - c.upto + c.inv) / (1 + n.pos - c.pos - (n.i - c.i))) AS s
+  FROM {name}_n n JOIN {name}_c c ON c.message_id = n.message_id AND c.part = n.part AND c.i = n.start WHERE n.start > n.earlier GROUP BY 1)"""
+
+
+_WORDS_OF = "list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: {{'word': x, 'inv': {1}e0}})".format
+_PLACED = "(SELECT message_id, part, unnest(w, max_depth := 2), unnest(generate_series(1, len(w))) AS pos FROM ({0}))".format
+# Words of messages by weight (subject 1, sender 2/3, body 1/3, recipients 1/6), and of attachment names at the subject's.
+_WEIGHTED = " || ".join(
+    (_WORDS_OF("coalesce(subject, '')", 1), _WORDS_OF("concat_ws(' ', from_addr, from_name)", 1.5), _WORDS_OF("coalesce(body_text, '')", 3), _WORDS_OF("array_to_string(to_addrs, ' ')", 6))
+)
+_NAMES = "coalesce(array_to_string(names, ' '), '')"
+_MESSAGE_WORDS = _PLACED(f"SELECT message_id, 0 AS part, {_WEIGHTED} AS w FROM mail UNION ALL SELECT message_id, 1, {_WORDS_OF(_NAMES, 1)} FROM mail")
+_SPLIT_NAMES = "coalesce(array_to_string(list_transform(names, lambda x: x || ' ' || regexp_replace(x, '[^\\p{L}\\p{N}]+|_', ' ', 'g')), ' '), '')"
+_MATCHED = f"SELECT *, {_DOC(_MAIL_TEXT)} AS d, {_DOC('nm')} AS n FROM (SELECT *, {_SPLIT_NAMES} AS nm FROM mail)"
+
+
+@query(_mail(f""", {_cover_sql(_MESSAGE_WORDS, ["of", "the", "with"], "density")}
+SELECT message_id, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, message_id DESC) AS INTEGER) AS rank
+FROM (SELECT message_id, round(s, 9) AS s FROM density JOIN ({_MATCHED}) USING (message_id)
+  WHERE (contains(d, ' of the ') AND contains(d, ' with ')) OR (contains(n, ' of the ') AND contains(n, ' with ')) ORDER BY s DESC, message_id DESC LIMIT 50)"""))
 def fts_cover_density(spark, sf_dir):
     q = dsl.parse('"of the" with')
     return arms.message_text_arm(mail(spark, sf_dir), q, 50, cover_density=True).select("message_id", F.round("arm_score", 6).alias("score"), "rank")
 
 
+def _indexed(spark, sf_dir) -> positions.Index:
+    """All messages, indexed in the shared folder; what searches read from there on is the index alone."""
+    path = shared_folder(spark, "positions")
+    positions.write(mail(spark, sf_dir), path, 64)
+    return positions.read(spark, path, 64)
+
+
+@query(_mail(f"SELECT message_id FROM ({_MATCHED}) WHERE ((contains(d, ' of the ') AND contains(d, ' and ')) OR (contains(d, ' nicht ') AND NOT contains(d, ' der ')) OR contains(d, ' report ')) OR ((contains(n, ' of the ') AND contains(n, ' and ')) OR (contains(n, ' nicht ') AND NOT contains(n, ' der ')) OR contains(n, ' report '))"))
+def fts_index_phrase(spark, sf_dir):
+    return positions.matching(_indexed(spark, sf_dir), dsl.match_tree('"of the" and OR nicht -der OR report'))
+
+
+@query(_mail(f"SELECT message_id FROM ({_MATCHED}) WHERE NOT contains(d, ' the ')"))
+def fts_index_exclusion(spark, sf_dir):
+    return positions.matching(_indexed(spark, sf_dir), dsl.match_tree("-the"))
+
+
+@query(_mail(f""", {_cover_sql(_MESSAGE_WORDS, ["with", "by"], "one")}, {_cover_sql(_MESSAGE_WORDS, ["sich", "der", "und"], "two")},
+scored AS (SELECT message_id, round(coalesce(one.s, 0) + coalesce(two.s, 0), 9) AS s FROM ({_MATCHED}) LEFT JOIN one USING (message_id) LEFT JOIN two USING (message_id)
+  WHERE (contains(d, ' with ') AND contains(d, ' by ')) OR (contains(d, ' sich ') AND contains(d, ' der und ')) OR (contains(n, ' with ') AND contains(n, ' by ')))
+SELECT message_id, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, message_id DESC) AS INTEGER) AS rank FROM scored ORDER BY s DESC, message_id DESC LIMIT 50"""))
+def fts_index_ranked(spark, sf_dir):
+    """Top 50 of two alternatives, one with a phrase, by early stop over the index."""
+    found = arms.indexed_text_arm(_indexed(spark, sf_dir), None, dsl.parse('with by OR sich "der und"'), 50)
+    return found.select("message_id", F.round("arm_score", 6).alias("score"), "rank")
+
+
 # Vectors.
 
 _VECTOR = [((i * 7) % 13 - 6) / 6 for i in range(64)]
@@ -240,6 +296,35 @@ def vector_knn_filtered(spark, sf_dir):
     return _near(arms.chunk_vector_arm(_chunks(spark, sf_dir), _search(spark, sf_dir, "lang:en account_id:1 account_id:2"), _VECTOR, 20))
 
 
+def _cells(spark, sf_dir) -> cells.Cells:
+    """The vectors of all embeddings by cell, as many cells as the square root of their number."""
+    rows = _chunks(spark, sf_dir)
+    return cells.build(rows, shared_folder(spark, "cells"), max(1, math.isqrt(rows.count())))
+
+
+@query(f"SELECT vec_id AS message_id, {_COS} AS score FROM embeddings ORDER BY round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}), 9) DESC, vec_id DESC LIMIT 50")
+def vector_cells_exact(spark, sf_dir):
+    """The exact search of the index by cells: those whose bound is too low are not read."""
+    return _near(arms.indexed_vector_arm(_cells(spark, sf_dir), None, _VECTOR, 50, None))
+
+
+@query(_mail(f"SELECT message_id, {_COS} AS score FROM mail JOIN embeddings ON vec_id = message_id WHERE body_lang = 'en' ORDER BY round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}), 9) DESC, vec_id DESC LIMIT 20"))
+def vector_cells_filtered(spark, sf_dir):
+    return _near(arms.indexed_vector_arm(_cells(spark, sf_dir), _search(spark, sf_dir, "lang:en"), _VECTOR, 20, None))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query_id, count(*) AS n, TRUE AS reached FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), v), 9) DESC, vec_id DESC) AS r FROM q, embeddings) WHERE r <= 50 GROUP BY 1""")
+def vector_cells_recall(spark, sf_dir):
+    """Every fiftieth vector asks for its 50 nearest of all: whether the mean recall of the probed cells, against all cells, is 0.9 or more."""
+    index = _cells(spark, sf_dir)
+    asked = _chunks(spark, sf_dir).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    truth = written(cells.search_many(spark, index, asked, 50, len(index.centroids)))
+    found = cells.search_many(spark, index, asked, 50, max(1, len(index.centroids) * 4 // 5))
+    mean = cells.recall(found, truth).agg((F.avg("recall") >= 0.9).alias("reached"))
+    return truth.groupBy("query_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(mean))
+
+
 _FANOUT = f"""near AS (SELECT vec_id AS chunk_id, label, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR_SQL}), 9) AS s FROM embeddings ORDER BY s DESC, vec_id DESC LIMIT 150),
 carried AS (SELECT chunk_id, message_id, s, row_number() OVER (PARTITION BY chunk_id ORDER BY date_sent DESC NULLS LAST, message_id DESC) AS nth FROM near JOIN mail ON message_id % 10 = label WHERE body_lang = 'en')"""
 
@@ -279,6 +364,23 @@ def rrf_hybrid(spark, sf_dir):
     return top.select("message_id", F.round("rrf_score", 9).alias("score"), F.array_join(F.col("contributing_arms").cast("array<string>"), ",").alias("arms"))
 
 
+_BODY_WORDS = _PLACED(f"SELECT message_id, 0 AS part, {_WORDS_OF('body_text', 10)} AS w FROM mail SEMI JOIN embeddings ON vec_id = message_id")
+_RANKED_SQL = f"""{_cover_sql(_MESSAGE_WORDS, ["the", "on"], "in_mail")}, {_cover_sql(_BODY_WORDS, ["the", "on"], "in_chunk")},
+docs AS ({_MATCHED}),
+r1 AS (SELECT message_id, row_number() OVER (ORDER BY s DESC, message_id DESC) AS rank, 1 AS arm FROM (SELECT message_id, round(s, 9) AS s FROM in_mail JOIN docs USING (message_id)
+  WHERE (contains(d, ' the ') AND contains(d, ' on ')) OR (contains(n, ' the ') AND contains(n, ' on ')) ORDER BY s DESC, message_id DESC LIMIT 50)),
+r2 AS (SELECT message_id, row_number() OVER (ORDER BY s DESC, message_id DESC) AS rank, 2 AS arm FROM (SELECT message_id, round(s, 9) AS s FROM in_chunk ORDER BY s DESC, message_id DESC LIMIT 50))"""
+
+
+@query(_mail(f", {_RANKED_SQL} SELECT message_id, round(sum(1e0 / (60 + rank)), 9) AS score, array_to_string(list_sort(list(arm)), ',') AS arms FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1"))
+def rrf_cover_density(spark, sf_dir):
+    """Both text arms ranked as searches rank them."""
+    m, q = mail(spark, sf_dir), dsl.parse("the on")
+    with_text = _chunks(spark, sf_dir).join(m.select("message_id", F.col("body_text").alias("text")), "message_id")
+    fused = fusion.fuse([arms.message_text_arm(m, q, 50, cover_density=True), arms.chunk_text_arm(with_text, m, q, 50, cover_density=True)])
+    return fused.select("message_id", F.round("rrf_score", 9).alias("score"), F.array_join(F.col("contributing_arms").cast("array<string>"), ",").alias("arms"))
+
+
 @query(_mail(f", {_ARMS_SQL} SELECT message_id, arg_min(chunk_id, (rank, arm)) FILTER (chunk_id IS NOT NULL) AS best_chunk_id FROM hits GROUP BY 1"))
 def rrf_best_chunk(spark, sf_dir):
     return fusion.fuse(_arms(spark, sf_dir)).select("message_id", "best_chunk_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine of a column with one given vector, whose norm is computed once."""
+    b, norm = literal(vector), math.sqrt(math.fsum(x * x for x in vector))
+    if norm == 0:
+        return F.lit(None).cast("double")
+    own = F.sqrt(dot(a, a))
+    return F.when((F.size(a) == len(vector)) & (own > 0), dot(a, b) / (own * norm))
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

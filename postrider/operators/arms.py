@@ -6,7 +6,7 @@ message, then chunk, both descending for scores as everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from ..functions import rank as R
 from ..functions import text as X
 from ..functions import vector as V
 from ..plans import dsl
+from . import cells, positions
 from . import filters as P
 
 PREFETCH = 3
@@ -41,24 +42,31 @@ def message_text_arm(messages: DataFrame, query: dsl.Query, limit: int, cover_de
     found = messages.filter(P.may_match(tree, messages))
     if cover_density:
         found = found.filter(P.text_match(tree, messages) if tree is not None else F.lit(False))
-        sides = tree[1] if tree and tree[0] == "any" else [tree] if tree else []
-        terms = [X.required_words(s) for s in sides]
-        doc = R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), P.body(messages), F.array_join("to_addrs", " "))
+        terms = R.alternatives(tree)
+        doc = P.weighted(messages)
         # Names are ranked apart, at the subject's weight, and added.
         names = R.weighted_document(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(""), F.lit(""), F.lit(""))
-        score = R.cover_density_column(doc, terms, R.boosts()) + F.coalesce(R.cover_density_column(names, terms, R.boosts()), F.lit(0.0))
+        score = F.round(R.cover_density_column(doc, terms, R.boosts()) + F.coalesce(R.cover_density_column(names, terms, R.boosts()), F.lit(0.0)), 9)
     else:
         score = F.when(P.text_match(tree, messages), tf_score(tree, P.message_document(messages)))
     scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), score.alias("arm_score"))
     return top_ranked(scored, limit, 1)
 
 
-def chunk_text_arm(chunks: DataFrame, messages: DataFrame, query: dsl.Query, limit: int) -> DataFrame:
-    """Arm 2: chunks whose words match, of messages that pass the filters."""
+def indexed_text_arm(index: positions.Index, messages: DataFrame | None, query: dsl.Query, limit: int) -> DataFrame:
+    """Arm 1 by cover density from a positional index, without the messages' texts; ``messages`` restricts it."""
+    found = positions.top(index, dsl.expanded_tree(query), limit, messages)
+    scored = found.select("message_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("messages").alias("chunk_table"), "arm_score")
+    return top_ranked(scored, limit, 1)
+
+
+def chunk_text_arm(chunks: DataFrame, messages: DataFrame, query: dsl.Query, limit: int, cover_density: bool = False) -> DataFrame:
+    """Arm 2: chunks whose words match, of messages that pass the filters; their words have no class, and so the least weight."""
     tree = dsl.expanded_tree(query)
     likely = X.may_match(tree, F.lower("text")) if tree is not None else F.lit(False)
     doc = X.document(F.col("text"))
-    scored = chunks.filter(likely).select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), F.when(X.matches(tree, doc), tf_score(tree, doc)).alias("arm_score"))
+    score = F.round(R.cover_density_column(R.plain_document(F.col("text")), R.alternatives(tree)), 9) if cover_density else tf_score(tree, doc)
+    scored = chunks.filter(likely).select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), F.when(X.matches(tree, doc), score).alias("arm_score"))
     return top_ranked(scored.join(messages.select("message_id"), "message_id", "left_semi").select(*scored.columns), limit, 2)
 
 
@@ -67,17 +75,25 @@ def chunk_vector_arm(chunks: DataFrame, messages: DataFrame | None, vector: list
     found = chunks.filter("embedding IS NOT NULL")
     if messages is not None:
         found = found.join(messages.select("message_id"), "message_id", "left_semi")
-    score = F.round(V.cosine(F.col("embedding"), V.literal(vector)), 9)
+    score = F.round(V.cosine_to(F.col("embedding"), vector), 9)
     scored = found.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), score.alias("arm_score")).filter("arm_score IS NOT NULL")
     return top_ranked(scored, limit, 3)
 
 
+def indexed_vector_arm(index: cells.Cells, messages: DataFrame | None, vector: list[float], limit: int, probes: int | None) -> DataFrame:
+    """Arm 3 from an index of cells: only the probed cells' folders are read; None probes give the exact arm."""
+    spark = SparkSession.active()
+    near = cells.search(spark, index, vector, limit, probes, messages)
+    scored = near.select("message_id", "chunk_id", F.lit("message_chunks").alias("chunk_table"), F.col("score").alias("arm_score"))
+    return top_ranked(scored, limit, 3)
+
+
 def attachment_vector_arm(chunks: DataFrame, carriers: DataFrame, vector: list[float], limit: int, prefetch: int = PREFETCH, fan_out: int = FAN_OUT) -> DataFrame:
     """Arm 4: nearest attachment chunks first, without filters; then their carrying messages that pass, at most ``fan_out`` newest a chunk; then the best.
 
     chunks: (chunk_id, sha256, embedding); carriers: (message_id, sha256, date_sent), filtered already.
     """
-    score = F.round(V.cosine(F.col("embedding"), V.literal(vector)), 9)
+    score = F.round(V.cosine_to(F.col("embedding"), vector), 9)
     near = chunks.select("chunk_id", "sha256", score.alias("arm_score")).filter("arm_score IS NOT NULL")
     near = near.orderBy(F.desc("arm_score"), F.desc("chunk_id")).limit(limit * prefetch)
     newest = W.partitionBy("chunk_id").orderBy(F.desc_nulls_last("date_sent"), F.desc("message_id"))

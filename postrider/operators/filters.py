@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rank as R
 from ..functions import text as X
 from ..plans import dsl
 
@@ -76,6 +77,11 @@ def message_document(messages: DataFrame | None = None) -> Column:
     return X.document(*message_parts(messages))
 
 
+def weighted(messages: DataFrame | None = None) -> Column:
+    """The same words as array<struct<word,weight>>, by class of weight."""
+    return R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), body(messages), F.array_join("to_addrs", " "))
+
+
 def text_match(tree, messages: DataFrame | None = None) -> Column:
     """A tree over the message or over its attachment names; names count only if an empty document would not match."""
     found = X.matches(tree, message_document(messages))

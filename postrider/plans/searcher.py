@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import arms, filters, fusion, paging, postings
+from ..operators import arms, cells, filters, fusion, paging, positions, postings
 from . import dsl
 
 #: Fields that a hit can be asked for, in the order they are given.
@@ -28,6 +28,10 @@ class Archive:
     attachment_chunks: DataFrame | None = None
     #: Postings of the messages; with them a text search opens only the messages that can match.
     postings: DataFrame | None = None
+    #: Positional index of the messages; with it the first arm reads no texts.
+    positions: positions.Index | None = None
+    #: Index of the chunks' vectors by cell; with it the vector arm reads ``Searcher.probes`` cells.
+    cells: cells.Cells | None = None
 
 
 @dataclass
@@ -45,6 +49,8 @@ class Searcher:
     rewrite: Callable[[str], tuple[str | None, list[str], dsl.Filters]] | None = None
     candidates: int = 50
     pool_size: int = 100
+    #: Cells of the vector index that a search reads; None is exact.
+    probes: int | None = 16
     pools: paging.PoolCache = field(default_factory=paging.PoolCache)
 
     def scoped(self, query: dsl.Query, allowed) -> DataFrame:
@@ -54,13 +60,18 @@ class Searcher:
 
     def fused(self, query: dsl.Query, allowed, candidates: int) -> DataFrame:
         a, messages = self.archive, self.scoped(query, allowed)
-        likely = None if a.postings is None else postings.candidates(a.postings, dsl.expanded_tree(query))
-        found = [arms.message_text_arm(messages if likely is None else messages.join(likely, "message_id", "left_semi"), query, candidates, cover_density=True)]
+        if a.positions is not None:
+            found = [arms.indexed_text_arm(a.positions, messages, query, candidates)]
+        else:
+            likely = None if a.postings is None else postings.candidates(a.postings, dsl.expanded_tree(query))
+            found = [arms.message_text_arm(messages if likely is None else messages.join(likely, "message_id", "left_semi"), query, candidates, cover_density=True)]
         if a.chunks is not None:
-            found.append(arms.chunk_text_arm(a.chunks, messages, query, candidates))
+            found.append(arms.chunk_text_arm(a.chunks, messages, query, candidates, cover_density=True))
         if self.embed is not None:
             vector = self.embed(dsl.semantic_text(query.free_text))
-            if a.chunks is not None:
+            if a.cells is not None:
+                found.append(arms.indexed_vector_arm(a.cells, messages, vector, candidates, self.probes))
+            elif a.chunks is not None:
                 found.append(arms.chunk_vector_arm(a.chunks, messages, vector, candidates))
             if a.attachment_chunks is not None:
                 carriers = messages.select("message_id", "date_sent", F.explode("attachments.sha256").alias("sha256"))
