@@ -34,21 +34,26 @@ SCHEMAS = {
     }
 }
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-_CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>,content:string>"
+_CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>>,content:string>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 
 
 def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Calls, results, plain messages and contents beside calls of (conv_id, turn, role, text) whose texts are JSON of the usual chat form.
 
-    Assistant texts {"tool_calls": [{"id", "name", "arguments"}]} give calls, tool texts
-    {"tool_call_id", "content"} a result; everything else, broken JSON too, is plain,
-    and so is the content that an assistant text has beside its calls.
+    Assistant texts {"tool_calls": [{"id", "name", "arguments"}]} give calls, and so do those
+    with {"id", "function": {"name", "arguments"}} in the list; arguments are JSON in a string or an
+    object.  Tool texts {"tool_call_id", "content"} give a result.  Everything else is plain: broken
+    JSON, a list of calls none of which has an id, and a text with a call that has no name in either form,
+    which so keeps all it says.  The content that an assistant text has beside its calls is plain too.
     """
     rows = messages.select("conv_id", "turn", "role", "text", F.from_json("text", _CALL).alias("c"), F.from_json("text", _RESULT).alias("r"))
-    is_call = F.coalesce((F.col("role") == "assistant") & F.exists("c.tool_calls", lambda x: x["id"].isNotNull()), F.lit(False))
+    name, arguments = (lambda x, f=f: F.coalesce(x[f], x["function"][f]) for f in ("name", "arguments"))
+    known = F.exists("c.tool_calls", lambda x: x["id"].isNotNull()) & F.forall("c.tool_calls", lambda x: x.isNull() | name(x).isNotNull())
+    is_call = F.coalesce((F.col("role") == "assistant") & known, F.lit(False))
     is_result = F.coalesce((F.col("role") == "tool") & F.col("r.tool_call_id").isNotNull(), F.lit(False))
-    calls = rows.filter(is_call).select("conv_id", "turn", F.explode("c.tool_calls").alias("x")).filter("x IS NOT NULL").select("conv_id", "turn", F.col("x.id").alias("call_id"), "x.name", "x.arguments")
+    calls = rows.filter(is_call).select("conv_id", "turn", F.explode("c.tool_calls").alias("x")).filter("x IS NOT NULL")
+    calls = calls.select("conv_id", "turn", F.col("x.id").alias("call_id"), name(F.col("x")).alias("name"), arguments(F.col("x")).alias("arguments"))
     results = rows.filter(is_result & ~is_call).select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
     beside = rows.filter(is_call & (F.col("c.content") != "")).select("conv_id", "turn", "role", F.col("c.content").alias("text"))
     return calls, results, rows.filter(~is_call & ~is_result).select("conv_id", "turn", "role", "text"), beside

@@ -82,10 +82,10 @@ def leading_directions(gram: np.ndarray, rank: int, rounds: int = 12) -> np.ndar
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str, id_col: str, rows: int) -> DataFrame:
-    """(label, text) of the ``rows`` usable labelled ids with the smallest hashes; several labels of an id are averaged, and of several texts the least is taken."""
+    """(label, text) of the ``rows`` usable labelled ids with the smallest hashes, of those that have a text with a byte pair; several labels of an id are averaged, and of several texts the least is taken."""
     ids = labels.filter(usable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
-    ids = ids.orderBy(F.xxhash64(F.col("id")), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col("text")).filter(F.octet_length("text") > 1)
+    ids = ids.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64(F.col("id")), "id").limit(rows)
     return texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
 
