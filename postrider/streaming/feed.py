@@ -44,6 +44,20 @@ def append_to_log(stream: DataFrame, log: str, checkpoint: str, keys: list[str],
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
+def append_new(stream: DataFrame, log: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Append rows whose key the stream has not had before, by keyed state beside the checkpoint: the log itself is never read.
+
+    Of several rows of a key in one batch any one stays.  A batch that is run again replaces its own
+    folder ``batch=N``.  Keys of a log that another stream wrote are not known: go on with that stream's checkpoint.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return stream.dropDuplicates(keys).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def poll(spark: SparkSession, log: str, since: int | None, now: datetime, **options) -> DataFrame:
     """The change feed over the log; see ``archive.changes``."""
     return archive.changes(spark.read.parquet(log).drop("batch"), since, now, **options)
