@@ -17,6 +17,7 @@ from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, m
 from .operators import archive, arms, cells, control, filters, fusion, paging, positions, postings, shapes
 from .plans import dsl
 from .shared import shared_folder, written
+from .streaming import sync
 
 NOW = datetime(2024, 1, 20, 12)
 NOW_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
@@ -552,6 +553,47 @@ def hold_window_ledger(spark, sf_dir):
     return archive.held_or_given_up(attempts, NOW).select("mailbox_id", "uid", "attempts", F.date_format("first_seen", DAY).alias("seen"), "gave_up")
 
 
+_OBSERVED = """obs AS (SELECT user_id % 25 AS mailbox_id, date_trunc('day', ts) AS seen_at, CASE WHEN date_trunc('day', ts) >= TIMESTAMP '2024-01-16' AND user_id % 25 % 3 = 0 THEN 2 ELSE 1 END AS uidvalidity,
+  epoch_us(ts) // 1000 - 1704067200000 + 1 AS uid, CASE event_type WHEN 'error' THEN 'empty' WHEN 'signup' THEN 'gone' WHEN 'purchase' THEN 'poison' ELSE 'ok' END AS outcome, event_id FROM events),
+again AS (SELECT mailbox_id, seen_at + INTERVAL (d) DAY AS seen_at, uid, CASE WHEN d = 1 THEN 'empty' WHEN event_id % 3 = 0 THEN 'ok' WHEN event_id % 3 = 1 THEN 'empty' ELSE 'gone' END AS outcome
+  FROM obs, (SELECT unnest([1, 2]) AS d) WHERE outcome = 'empty'),
+every AS (SELECT mailbox_id, CAST(seen_at AS TIMESTAMP) AS seen_at, uid, outcome, CASE WHEN seen_at >= TIMESTAMP '2024-01-16' AND mailbox_id % 3 = 0 THEN 2 ELSE 1 END AS epoch FROM (SELECT mailbox_id, seen_at, uid, outcome FROM obs UNION ALL SELECT * FROM again))"""
+
+
+def _observed(spark, sf_dir) -> DataFrame:
+    """Days as passes, with uids by the clock: errors are empty bodies, met again on the two days after."""
+    e = table(spark, sf_dir, "events")
+    outcome = F.when(F.col("event_type") == "error", "empty").when(F.col("event_type") == "signup", "gone").when(F.col("event_type") == "purchase", "poison").otherwise("ok")
+    uid = F.expr("unix_millis(CAST(ts AS timestamp)) - 1704067200000 + 1")
+    obs = e.select((F.col("user_id") % 25).alias("mailbox_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at"), uid.alias("uid"), outcome.alias("outcome"), "event_id")
+    later = F.when(F.col("d") == 1, "empty").when(F.col("event_id") % 3 == 0, "ok").when(F.col("event_id") % 3 == 1, "empty").otherwise("gone")
+    again = obs.filter("outcome = 'empty'").withColumn("d", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns({"outcome": later, "at": F.expr("at + make_dt_interval(d)")}).drop("d")
+    every = obs.unionByName(again).drop("event_id")
+    validity = F.when((F.col("at") >= F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")) & (F.col("mailbox_id") % 3 == 0), 2).otherwise(1)
+    return every.withColumns({"uidvalidity": validity.cast("long"), "uidnext": F.lit(None).cast("long")})
+
+
+@query(f"""WITH RECURSIVE {_OBSERVED},
+n AS (SELECT *, dense_rank() OVER (PARTITION BY mailbox_id ORDER BY seen_at) AS n, count(*) FILTER (outcome IN ('ok', 'poison')) OVER (PARTITION BY mailbox_id, epoch, uid ORDER BY seen_at) AS outage FROM every),
+o AS (SELECT *, outcome = 'empty' AND seen_at - min(CASE WHEN outcome = 'empty' THEN seen_at END) OVER (PARTITION BY mailbox_id, epoch, uid, outage) >= INTERVAL 129600 SECOND AS ended FROM n),
+p AS (SELECT mailbox_id, n, epoch, list(uid) FILTER (outcome = 'empty' AND NOT ended) AS held, list(uid) FILTER (outcome <> 'empty' OR ended) AS met FROM o GROUP BY ALL),
+s AS (SELECT mailbox_id, n, epoch, CAST(1 AS BIGINT) AS start, held, met FROM p WHERE n = 1
+  UNION ALL SELECT p.mailbox_id, p.n, p.epoch, CASE WHEN p.epoch <> s.epoch THEN 1 ELSE least(greatest(start, coalesce(list_max(list_filter(s.met, lambda x: x >= start)) + 1, start)), coalesce(list_min(list_filter(s.held, lambda x: x >= start)), 9e18)) END, p.held, p.met
+  FROM s JOIN p ON p.mailbox_id = s.mailbox_id AND p.n = s.n + 1),
+f AS (SELECT mailbox_id, epoch, CAST(least(greatest(start, coalesce(list_max(list_filter(met, lambda x: x >= start)) + 1, start)), coalesce(list_min(list_filter(held, lambda x: x >= start)), 9e18)) AS BIGINT) AS uidnext FROM s QUALIFY n = max(n) OVER (PARTITION BY mailbox_id)),
+t AS (SELECT o.mailbox_id, o.epoch, uid, outcome, ended FROM o JOIN s USING (mailbox_id, n) WHERE uid >= start),
+l AS (SELECT DISTINCT mailbox_id, epoch, uid FROM t WHERE outcome = 'ok'),
+g AS (SELECT DISTINCT mailbox_id, epoch, uid FROM t WHERE ended EXCEPT SELECT * FROM l)
+SELECT mailbox_id, CAST(epoch AS BIGINT) AS uidvalidity, uidnext, coalesce(a, 0) AS n_labels, coalesce(b, 0) AS n_lost FROM f
+LEFT JOIN (SELECT mailbox_id, epoch, count(*) AS a FROM l GROUP BY ALL) USING (mailbox_id, epoch) LEFT JOIN (SELECT mailbox_id, epoch, count(*) AS b FROM g GROUP BY ALL) USING (mailbox_id, epoch)""")
+def sync_replay(spark, sf_dir):
+    """Each mailbox after all passes: where it starts next, what is labelled, and what is lost."""
+    acts = written(sync.replay(_observed(spark, sf_dir), 129_600))
+    count = lambda rows, name: rows.groupBy("mailbox_id").agg(F.count("*").alias(name))
+    found = sync.watermarks(acts).join(count(sync.labels(acts), "n_labels"), "mailbox_id", "left").join(count(sync.lost(acts), "n_lost"), "mailbox_id", "left")
+    return found.fillna(0, ["n_labels", "n_lost"])
+
+
 # Text derivation.
 
 

@@ -68,9 +68,15 @@ def attachment_chunks(texts: DataFrame, size: int = 512, overlap: int = 64, char
 
 
 def header_prefix(raw: Column, limit: int = 65_536) -> Column:
-    """The bytes up to the first empty line, of which at most ``limit`` are looked at: enough for a header list, without the whole message."""
-    head = F.decode(F.substring(raw, 1, limit), "ISO-8859-1")
-    return F.regexp_extract(head, r"(?s)^(.*?)(?:\r?\n\r?\n|\z)", 1)
+    """The bytes up to the first empty line, each as one character; all of them where there is none.
+
+    The first ``limit`` bytes are looked at, and the whole message only where they have no empty line.
+    """
+    end = r"\r?\n\r?\n"
+    head = lambda b: F.regexp_extract(F.decode(b, "ISO-8859-1"), rf"(?s)^(.*?)(?:{end}|\z)", 1)
+    first = F.substring(raw, 1, limit)
+    enough = (F.length(raw) <= limit) | F.decode(first, "ISO-8859-1").rlike(end)
+    return F.when(enough, head(first)).otherwise(head(raw))
 
 
 def update_from(rows: DataFrame, source: DataFrame, keys: list[str], columns: list[str], only_missing: bool = True) -> DataFrame:

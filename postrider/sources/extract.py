@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.text import ALLOWED_EXTENSIONS, ALLOWED_MIME, extension
 
 MAX_BYTES = 50 << 20
-MAX_CHARS = 1_000_000
 # Tags and attributes that safe HTML may keep, link schemes, and tags dropped with their content.
 SAFE_TAGS = frozenset(
     "a abbr b blockquote br caption code col colgroup dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre q s small span strong sub sup table tbody td tfoot th thead tr u ul".split()
@@ -225,7 +224,7 @@ def extract_one(data: bytes, mime: str | None, name: str | None, readers: dict |
     if reader is None:
         return "unsupported", None
     try:
-        text = reader(data).replace("\0", "")[:MAX_CHARS]
+        text = reader(data).replace("\0", "")
     except Exception as e:  # noqa: BLE001  a broken file is a result, not a failed job
         return "failed", f"{type(e).__name__}: {e}"[:300]
     return ("extracted", text) if text.strip() else ("empty", None)

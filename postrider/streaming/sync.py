@@ -99,7 +99,7 @@ class Mailbox:
 
 
 def _in_order(r: Row) -> tuple:
-    return (r.at is None, r.at, r.uid is None, r.uid or 0)
+    return (r.at is None, r.at, r.uid is None, r.uid or 0, r.outcome or "")
 
 
 class SyncProcessor(StatefulProcessor):
@@ -208,7 +208,7 @@ def replay(observations: DataFrame, hold_s: float = HOLD_S) -> DataFrame:
         return found.astype({"mailbox_id": "Int64", "uid": "Int64", "attempts": "Int32", "uidvalidity": "Int64", "uidnext": "Int64"})
 
     rows = observations.select(*fields).filter("mailbox_id IS NOT NULL AND at IS NOT NULL AND uidvalidity IS NOT NULL")
-    return rows.repartition("mailbox_id").sortWithinPartitions("mailbox_id", "at", F.asc_nulls_last("uid")).mapInPandas(fold, ACTION)
+    return rows.repartition("mailbox_id").sortWithinPartitions("mailbox_id", "at", F.asc_nulls_last("uid"), "outcome").mapInPandas(fold, ACTION)
 
 
 def labels(acts: DataFrame) -> DataFrame:
