@@ -14,7 +14,7 @@ from .functions import language
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
-from .operators import archive, arms, cells, control, filters, fusion, paging, positions, postings, shapes
+from .operators import archive, arms, cells, control, filters, fusion, paging, positions, postings, queue, shapes
 from .plans import dsl
 from .shared import shared_folder, written
 from .streaming import sync
@@ -502,6 +502,39 @@ def left_join_on_residual(spark, sf_dir):
     return archive.left_joined(c, o, "c_custkey", "o_custkey", F.col("o_orderstatus") == "P").select("c_custkey", "o_orderkey")
 
 
+# Events as a queue's log: blobs are users, and each kind of event an outcome; a view is a claim, and some errors open a blob again.
+
+_KIND = "CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN CASE WHEN event_id % 40 = 0 THEN 'text' WHEN event_id % 40 = 1 THEN 'empty' ELSE 'poison' END WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'reset' ELSE 'transient' END WHEN 'click' THEN 'transient' ELSE 'claim' END"
+_STATES_SQL = f"""log AS (SELECT 'b' || user_id AS sha256, date_trunc('minute', ts) AS t, {_KIND} AS kind FROM events),
+marks AS (SELECT sha256, max(t) FILTER (kind = 'reset') AS reset_at, max(t) FILTER (kind IN ('text', 'empty')) AS done_at, max(t) FILTER (kind = 'claim') AS claim_at, max(t) FILTER (kind <> 'claim') AS settled_at, arg_max(kind, (t, kind)) FILTER (kind IN ('text', 'empty')) AS done FROM log GROUP BY 1),
+fails AS (SELECT sha256, count(*) FILTER (kind = 'poison') AS p, count(*) FILTER (kind = 'transient' AND (done_at IS NULL OR t > done_at)) AS x, max(t) FILTER (kind = 'transient' AND (done_at IS NULL OR t > done_at)) AS transient_at
+  FROM log JOIN marks USING (sha256) WHERE kind IN ('poison', 'transient') AND (reset_at IS NULL OR t > reset_at) GROUP BY 1),
+blobs AS (SELECT 'b' || c_custkey AS sha256, c_custkey % 97 AS first_seen_at, c_mktsegment FROM customer),
+rows AS (SELECT sha256, first_seen_at, c_mktsegment, done, coalesce(p, 0) AS p, coalesce(x, 0) AS x, transient_at, CASE WHEN settled_at IS NULL OR claim_at > settled_at THEN claim_at END AS claimed_at FROM blobs LEFT JOIN marks USING (sha256) LEFT JOIN fails USING (sha256))"""
+_UNDER = "p < 3 AND x < 5"
+
+
+def _work(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("b"), "user_id").alias("sha256"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at"), F.expr(_KIND).alias("kind"), F.lit(None).cast("string").alias("error"))
+    states = written(queue.state(log))
+    blobs = table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), "c_custkey").alias("sha256"), (F.col("c_custkey") % 97).alias("first_seen_at"), "c_mktsegment")
+    return queue.joined(blobs, *queue.tables(states)), states
+
+
+@query(f"WITH {_STATES_SQL} SELECT count(*) AS eligible, count(*) FILTER (done = 'text') AS extracted, count(*) FILTER (done = 'empty') AS no_text, count(*) FILTER (done IS NULL AND NOT ({_UNDER})) AS gave_up, count(*) FILTER (done IS NULL AND {_UNDER}) AS pending, 0 AS misfiled FROM rows WHERE c_mktsegment <> 'BUILDING'")
+def work_queue_partition(spark, sf_dir):
+    """The four buckets of eligible blobs, by the join of blobs with the three tables of what is known of them."""
+    rows, _ = _work(spark, sf_dir)
+    return queue.counts(rows, F.col("c_mktsegment") != "BUILDING")
+
+
+@query(f"WITH {_STATES_SQL} SELECT sha256 FROM rows WHERE done IS NULL AND {_UNDER} AND (claimed_at IS NULL OR claimed_at + INTERVAL 43200 SECOND <= {NOW_SQL}) AND (transient_at IS NULL OR transient_at + to_seconds(CAST(3600 * pow(2, greatest(x, 1) - 1) AS BIGINT)) <= {NOW_SQL}) ORDER BY first_seen_at, sha256 LIMIT 100")
+def work_queue_claim(spark, sf_dir):
+    """The oldest blobs to hand out: within both budgets, not leased for twelve hours, and past their back-off of an hour, doubled each time."""
+    rows, states = _work(spark, sf_dir)
+    return queue.claimable(rows, states, NOW, 100, 43_200, 3600).select("sha256")
+
+
 # Change feed, dedup, upserts.
 
 _FEED = f"SELECT event_id FROM events WHERE ts < {NOW_SQL} - INTERVAL 5 SECOND AND user_id % 5 IN (1, 2)"

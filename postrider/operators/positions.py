@@ -1,7 +1,7 @@
 """A positional index as tables: matches, phrases and ranked searches from postings alone.
 
-``postings`` has a row for each message, field and word with its places (position and
-class of weight in one number), stored by bucket of the word and sorted by word and block.
+``postings`` has a row for each message and word with its places (position, field and
+class of weight in one number), stored by bucket of the word and sorted by word and message.
 A block is a run of message ids; ``maxima`` has, for each word and block, the most places a message has.
 ``messages`` lists what is indexed.
 
@@ -12,6 +12,7 @@ after that only blocks whose bound reaches the k-th best score.  The result is e
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from ..functions import rank as R
 from ..functions import text as X
 from ..plans import dsl
-from ..shared import written
 from . import filters as P
 from .postings import BUCKETS, term_bucket
 
@@ -44,34 +44,53 @@ def block_of(message_id: Column) -> Column:
     return F.floor(message_id / BLOCK).cast("long")
 
 
+def _grouped(words: Column) -> Column:
+    """array<struct<term,places>> of array<struct<term,place>>, within the row: sorted, then cut where the term changes."""
+
+    def cut(rows: Column) -> Column:
+        n = F.size(rows)
+        first = lambda i: (i == 1) | (F.get(rows, i - 1)["term"] != F.get(rows, F.greatest(i - 2, F.lit(0)))["term"])
+        starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), first)
+
+        def runs(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), n + 1)
+            places = lambda i, j: F.transform(F.slice(rows, i, end(j) - i), lambda x: x["place"])
+            return F.transform(at, lambda i, j: F.struct(F.get(rows, i - 1)["term"].alias("term"), places(i, j).alias("places")))
+
+        return F.element_at(F.transform(F.array(starts), runs), 1)
+
+    return F.element_at(F.transform(F.array(F.array_sort(words)), cut), 1)
+
+
 def rows_of(messages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, block, message_id, field, places); places are 4 x position + class, in order.
+    """(bucket, term, message_id, places), a row for each message and word, made within the message's row.
 
+    A place is 8 x position + 4 x field + class, and places are in order of position.
     Names are indexed as they are, at the subject's class, and again split at what is no
     letter or digit, at the lowest; only the former count for ranking.
     """
-    names = F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " ")
-    whole = X.tokens(F.coalesce(F.left(names, F.lit(50_000)), F.lit("")))
-    apart = X.tokens(F.coalesce(F.regexp_replace(F.left(names, F.lit(50_000)), r"[^\p{L}\p{N}]+|_", " "), F.lit("")))
+    names = F.left(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(50_000))
+    apart = X.tokens(F.coalesce(F.regexp_replace(names, r"[^\p{L}\p{N}]+|_", " "), F.lit("")))
     of_class = lambda words, c: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(c).alias("weight")))
-    placed = lambda doc: F.transform(doc, lambda x, i: F.struct(x["word"].alias("term"), (i * 4 + x["weight"]).alias("place")))
-    fields = F.array(
-        F.struct(F.lit(TEXT).alias("field"), placed(P.weighted(messages)).alias("words")), F.struct(F.lit(NAMES).alias("field"), placed(F.concat(of_class(whole, 3), of_class(apart, 0))).alias("words"))
-    )
-    words = messages.select("message_id", F.explode(fields).alias("f")).select("message_id", F.col("f.field"), F.inline("f.words"))
-    grouped = words.groupBy("message_id", "field", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return grouped.select(term_bucket(F.col("term"), buckets).alias("bucket"), "term", block_of(F.col("message_id")).alias("block"), "message_id", "field", "places")
+    placed = lambda doc, field: F.transform(doc, lambda x, i: F.struct(x["word"].alias("term"), (i * 8 + x["weight"] + 4 * field).alias("place")))
+    both = F.concat(placed(P.weighted(messages), TEXT), placed(F.concat(of_class(X.tokens(F.coalesce(names, F.lit(""))), 3), of_class(apart, 0)), NAMES))
+    rows = messages.select("message_id", F.inline(_grouped(both)))
+    return rows.select(term_bucket(F.col("term"), buckets).alias("bucket"), "term", "message_id", "places")
 
 
 def write(messages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Append messages that are not indexed yet; rows are dealt by ranges of word and block, so a frequent word is many files and tasks."""
-    rows = written(rows_of(messages, buckets))
-    rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    ranked = F.size(F.filter("places", lambda x: (F.col("field") == TEXT) | (x % 4 == 3)))
-    most = [F.coalesce(F.max(F.when(F.col("field") == f, ranked)), F.lit(0)) for f in (TEXT, NAMES)]
-    maxima = rows.groupBy("bucket", "term", "block").agg((most[0] + most[1]).alias("most"))
-    maxima.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/maxima")
-    messages.select("message_id", block_of(F.col("message_id")).alias("block")).write.mode("append").parquet(f"{path}/messages")
+    """Append messages that are not indexed yet, as a batch of their own.
+
+    Rows are shuffled once, by ranges of word and message, so a frequent word is many files and tasks; the maxima are taken from what was written.
+    """
+    spark, batch = messages.sparkSession, uuid.uuid4().hex
+    rows = rows_of(messages, buckets).repartitionByRange("bucket", "term", "message_id").sortWithinPartitions("bucket", "term", "message_id")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    done = spark.read.parquet(f"{path}/postings/batch={batch}")
+    ranked = F.size(F.filter("places", lambda x: (x % 8 < 4) | (x % 4 == 3)))
+    maxima = done.groupBy("bucket", "term", block_of(F.col("message_id")).alias("block")).agg(F.max(ranked).alias("most"))
+    maxima.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/maxima/batch={batch}")
+    messages.select("message_id").write.parquet(f"{path}/messages/batch={batch}")
 
 
 def read(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
@@ -92,15 +111,23 @@ def _of_terms(rows: DataFrame, index: Index, terms: list[str]) -> DataFrame:
     return rows.filter(F.col("bucket").isin(sorted(set(numbers))) & F.col("term").isin(terms))
 
 
+def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    return rows.withColumn("block", block_of(F.col("message_id"))).join(blocks, "block", "left_semi")
+
+
+def _own(i: int, field: int) -> Column:
+    """A gathered word's places in one field, as 4 x position + class; empty where it has none."""
+    here = F.filter(F.col(f"_{i}"), lambda x: (x % 8 >= 4) if field == NAMES else (x % 8 < 4))
+    return F.coalesce(F.transform(here, lambda x: (F.floor(x / 8) * 4 + x % 4).cast("int")), F.array().cast("array<int>"))
+
+
 def _gathered(index: Index, tree, terms: list[str], blocks: DataFrame | None = None) -> DataFrame:
-    """A row for each message with a column for each field and word: its places, or null."""
+    """A row for each message with a column for each word: its places, or null."""
     rows = _of_terms(index.postings, index, terms)
-    if blocks is not None:
-        rows = rows.join(blocks, "block", "left_semi")
-    of = lambda f, t: F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col("places")))
-    found = rows.groupBy("message_id").agg(*[of(f, t).alias(f"_{f}_{i}") for f in (TEXT, NAMES) for i, t in enumerate(terms)])
+    rows = rows if blocks is None else _in_blocks(rows, blocks)
+    found = rows.groupBy("message_id").agg(*[F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"_{i}") for i, t in enumerate(terms)])
     if tree is not None and dsl.holds(tree, " "):  # messages without any of the words match too
-        every = index.messages if blocks is None else index.messages.join(blocks, "block", "left_semi")
+        every = index.messages if blocks is None else _in_blocks(index.messages, blocks)
         found = every.select("message_id").join(found, "message_id", "left")
     return found
 
@@ -115,9 +142,9 @@ def _matches(tree, terms: list[str], field: int) -> Column:
     if kind == "not":
         return ~_matches(value, terms, field)
     if kind == "words":
-        places = [F.col(f"_{field}_{terms.index(w)}") for w in value]
+        places = [_own(terms.index(w), field) for w in value]
         if len(places) == 1:
-            return places[0].isNotNull()
+            return F.size(places[0]) > 0
         common = _starts(places[0], 0)
         for k, p in enumerate(places[1:], 1):
             common = F.array_intersect(common, _starts(p, k))
@@ -148,7 +175,7 @@ def _density(sides: list[list[str]], terms: list[str], field: int) -> Column:
     inverse = F.array(*[F.lit(1 / max(w, 1e-9)) for w in R.boosts()])
 
     def places(t: str, k: int) -> Column:
-        own = F.coalesce(F.col(f"_{field}_{terms.index(t)}"), F.array().cast("array<int>"))
+        own = _own(terms.index(t), field)
         own = own if field == TEXT else F.filter(own, lambda x: x % 4 == 3)
         return F.transform(own, lambda x: F.struct((x / 4).cast("int").alias("position"), F.lit(k).alias("term"), F.get(inverse, x % 4).alias("inverse")))
 
