@@ -132,10 +132,17 @@ def language_text(text: Column) -> Column:
 
 
 def windows(words: Column, size: int = 512, overlap: int = 64) -> Column:
-    """Slices of ``size`` words that overlap by ``overlap``; the last one reaches the end."""
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(n > 0, F.transform(starts, lambda s: F.slice(words, s + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    """Slices of ``size`` words that overlap by ``overlap``; the last one reaches the end.
+
+    The words are bound once: an expression inside the slices would be computed again for each of them.
+    """
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(n > 0, F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.element_at(F.transform(F.array(words), cut), 1)
 
 
 def plain_words(text: Column) -> Column:
