@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import language
+from .functions import documents, embedding, language, ngrams
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
@@ -688,6 +688,46 @@ def recall_mrr(spark, sf_dir):
     return archive.retrieval_quality(ranked.select("query_id", "doc_id", "rank"), relevant)
 
 
+# Documents of any shape, and embedding sweeps.
+
+_JSON = """CASE doc_id % 9 WHEN 0 THEN '[{"filename":"a' || doc_id || '.pdf","sha256":"s' || (doc_id % 50) || '"},{"x":1}]' WHEN 1 THEN '{"filename":"no"}' WHEN 2 THEN '[]' WHEN 3 THEN '"' || lang || '"' WHEN 4 THEN '[1,null,{"filename":' || doc_id || '},{"filename":null}]'
+  WHEN 5 THEN '{broken ' || doc_id WHEN 6 THEN NULL WHEN 7 THEN '[{"filename":"b.txt"},{"filename":"c.txt"}' WHEN 8 THEN '[["nested"],{"filename":"' || source || '"}]' END"""
+
+
+@query(f"""WITH j AS (SELECT doc_id, TRY_CAST({_JSON} AS JSON) AS j FROM documents),
+e AS (SELECT doc_id, unnest(generate_series(0, CAST(json_array_length(j) AS BIGINT) - 1)) AS position, j FROM j WHERE json_type(j) = 'ARRAY' AND json_array_length(j) > 0)
+SELECT doc_id AS message_id, position, (j->CAST(position AS INTEGER))->>'filename' AS filename, (j->CAST(position AS INTEGER))->>'sha256' AS sha256, json_type(j->CAST(position AS INTEGER)) = 'OBJECT' AS is_object FROM e""")
+def json_attachments(spark, sf_dir):
+    """Attachments with positions from texts that are arrays, objects, scalars or broken."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.expr(_JSON).alias("attachments"))
+    return documents.attachments(rows).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"SELECT doc_id, coalesce(json_type(j) = 'ARRAY' AND json_array_length(j) > 0, FALSE) AS has_attachments, CASE json_type(j) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' END AS kind FROM (SELECT doc_id, TRY_CAST({_JSON} AS JSON) AS j FROM documents)")
+def json_kinds(spark, sf_dir):
+    text = F.expr(_JSON)
+    return table(spark, sf_dir, "documents").select("doc_id", documents.has_attachments(text).alias("has_attachments"), documents.kind(text).alias("kind"))
+
+
+def _counting_model():
+    """A stand-in for a model: how many characters, blanks and letters e a text has."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(t), t.count(" "), t.count("e")] for t in texts], np.float32)
+
+
+@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS v0, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS v1, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS v2 FROM documents")
+def embedding_sweep(spark, sf_dir):
+    """Two sweeps, the second only over texts that the first did not have; then all documents with their vectors."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = shared_folder(spark, "vectors")
+    for part in (docs.filter("lang = 'en'"), docs):
+        old = spark.read.parquet(path) if part is docs else None
+        embedding.sweep(part, old, "counts", _counting_model, 3).write.mode("append").parquet(path)
+    found = embedding.with_vectors(docs, spark.read.parquet(path), "counts")
+    return found.select("doc_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(3)])
+
+
 # Shapes of answers, derivations and queue reports.
 
 
@@ -877,3 +917,23 @@ def size_estimate(spark, sf_dir):
 @query()
 def language_detection(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", language.detect(F.col("text")).alias("detected"))
+
+
+_RUNS = " UNION ALL ".join(
+    f"SELECT doc_id, lang, ({' + '.join(f'b[i + {j}] * CAST({ngrams.BASE ** (k - 1 - j)} AS BIGINT)' for j in range(k))}) % {ngrams.BUCKETS} + {(k - 1) * ngrams.BUCKETS} AS g FROM (SELECT doc_id, lang, b, unnest(generate_series(1, len(b) - {k - 1})) AS i FROM bytes)"
+    for k in ngrams.LENGTHS
+)
+
+
+@query(f"""WITH bytes AS MATERIALIZED (SELECT doc_id, lang, list_transform(generate_series(1, len(h) // 2), lambda i: CAST((instr('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i]) - 1 AS BIGINT)) AS b
+  FROM (SELECT doc_id, lang, hex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)),
+runs AS MATERIALIZED (SELECT doc_id, lang, g, count(*) AS n FROM ({_RUNS}) GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, g, sum(n) AS n FROM runs WHERE doc_id % 3 <> 1 AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, g // {ngrams.BUCKETS} AS k, sum(n) AS n FROM c GROUP BY ALL),
+w AS (SELECT t.lang, g, CAST(floor({ngrams.SCALE}e0 * ln((coalesce(c.n, 0) + 1e0) / (t.n + {ngrams.BUCKETS}e0))) AS BIGINT) AS w FROM t JOIN (SELECT DISTINCT g FROM runs) ON g // {ngrams.BUCKETS} = k LEFT JOIN c USING (lang, g)),
+s AS (SELECT doc_id, w.lang, sum(n * w) AS s FROM runs JOIN w USING (g) GROUP BY ALL)
+SELECT d.doc_id, d.lang, detected FROM documents d LEFT JOIN (SELECT doc_id, arg_max(lang, (s, -ascii(lang) * 256 - ascii(lang[2]))) AS detected FROM s GROUP BY 1) x ON x.doc_id = d.doc_id""")
+def language_ngrams(spark, sf_dir):
+    """The language of all documents by n-grams, fitted on two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = ngrams.fit(docs.filter("doc_id % 3 <> 1"))
+    return docs.select("doc_id", "lang", ngrams.detect(docs, model).alias("detected"))
