@@ -859,6 +859,83 @@ def hydrate_by_table(spark, sf_dir):
     return found.select("message_id", "snippet", "snippet_source")
 
 
+# The same shapes with every column that the ones above leave out.
+
+
+@query(_mail("""SELECT CAST(message_id AS VARCHAR) AS message_id, subject, from_addr AS sender, from_name AS sender_name, CAST(message_id % 17 AS DOUBLE) / 16 AS score, left(body_text, 30) AS snippet, CASE WHEN message_id % 2 = 0 THEN '1,3' ELSE '2' END AS arms,
+  'acct' || account_id AS account FROM mail WHERE message_id % 3 <> 0"""))
+def api_hit_columns(spark, sf_dir):
+    m = mail(spark, sf_dir)
+    hits = m.filter("message_id % 3 <> 0").select("message_id", ((F.col("message_id") % 17) / 16).alias("score"), F.left("body_text", F.lit(30)).alias("snippet"), F.when(F.col("message_id") % 2 == 0, F.array(F.lit("1"), F.lit("3"))).otherwise(F.array(F.lit("2"))).alias("matched_arms"))
+    found = shapes.api_hits(hits, m, accounts(spark))
+    return found.select("message_id", "subject", F.col("from.address").alias("sender"), F.col("from.name").alias("sender_name"), "score", F.col("snippet_html").alias("snippet"), F.array_join("matched_arms", ",").alias("arms"), F.col("account.name").alias("account"))
+
+
+def _named_blobs(m: DataFrame) -> DataFrame:
+    """Messages whose attachments share blobs under several names and extensions."""
+    files = F.array(F.struct(F.concat(F.lit("n"), F.col("message_id") % 7, F.element_at(F.array(F.lit(".PDF"), F.lit(".txt"), F.lit("")), (F.col("message_id") % 3 + 1).cast("int"))).alias("filename"), F.sha2((F.col("message_id") % 40).cast("string"), 256).alias("sha256")))
+    return m.withColumn("attachments", files)
+
+
+_NAMED_SQL = "named AS (SELECT message_id, 'n' || (message_id % 7) || ['.PDF', '.txt', ''][message_id % 3 + 1] AS filename, sha256(CAST(message_id % 40 AS VARCHAR)) AS sha256 FROM mail), stored AS (SELECT sha256, max(message_id % 40) AS size_bytes FROM named GROUP BY 1)"
+
+
+@query(_mail(f", {_NAMED_SQL} SELECT sha256, string_agg(DISTINCT filename, ',' ORDER BY filename) AS names FROM named GROUP BY 1"))
+def names_of_shared_blobs(spark, sf_dir):
+    return shapes.names_by_blob(_named_blobs(mail(spark, sf_dir))).select("sha256", F.array_join("names", ",").alias("names"))
+
+
+@query(_mail(f", {_NAMED_SQL} SELECT extension, count(*) AS n_blobs, CAST(sum(size_bytes) AS BIGINT) AS n_bytes FROM (SELECT DISTINCT sha256, nullif(lower(regexp_extract(filename, '.(\\.[^.]+)$', 1)), '') AS extension FROM named) JOIN stored USING (sha256) GROUP BY 1"))
+def extensions_of_shared_blobs(spark, sf_dir):
+    m = _named_blobs(mail(spark, sf_dir))
+    blobs = m.groupBy(F.col("attachments")[0]["sha256"].alias("sha256")).agg(F.max(F.col("message_id") % 40).alias("size_bytes"))
+    return shapes.blobs_by_extension(blobs, m)
+
+
+_HYDRATED = "CASE t WHEN 'attachment_chunks' THEN 'file ' || text WHEN 'message_chunks' THEN 'chunk ' || text ELSE text END"
+
+
+@query(f"""WITH p AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'attachment_chunks' WHEN vec_id % 3 = 1 THEN 'message_chunks' END AS t FROM embeddings),
+s AS (SELECT vec_id, t, {_HYDRATED} AS x FROM p JOIN documents ON doc_id = vec_id),
+c AS (SELECT *, least(nullif(instr(lower(x), 'nicht'), 0), nullif(instr(lower(x), 'with'), 0)) AS p FROM s)
+SELECT vec_id AS message_id, CASE WHEN length(x) <= 200 THEN x WHEN p > 0 THEN CASE WHEN p > 101 THEN '…' ELSE '' END || substr(x, greatest(p - 101, 0) + 1, 200) || CASE WHEN greatest(p - 101, 0) + 200 < length(x) THEN '…' ELSE '' END
+  ELSE regexp_replace(substr(x, 1, 200), '\\s+\\S*$', '') || '…' END AS snippet, CASE WHEN t = 'attachment_chunks' THEN 'attachment' ELSE 'body' END AS snippet_source FROM c""")
+def hydrate_whole(spark, sf_dir):
+    """Snippets around the search terms, from whole chunks of either kind or whole bodies."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.lit("").alias("subject"), F.lit("").alias("from_addr"), F.col("text").alias("body_text"))
+    kind = F.when(F.col("message_id") % 3 == 0, "attachment_chunks").when(F.col("message_id") % 3 == 1, "message_chunks")
+    pool = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"), F.col("vec_id").alias("best_chunk_id")).withColumn("best_chunk_table", kind)
+    texts = lambda word: docs.select(F.col("message_id").alias("chunk_id"), F.concat(F.lit(word), "body_text").alias("text"))
+    return fusion.hydrate(pool, docs, texts("chunk "), ["nicht", "with"], 200, texts("file ")).select("message_id", "snippet", "snippet_source")
+
+
+@query(_mail("""SELECT message_id, concat_ws(' | ', CASE WHEN subject <> '' THEN 'Subject: ' || subject END, 'From: ' || from_name || ' <' || from_addr || '>', 'To: ' || array_to_string(to_addrs, ', '), 'Date: ' || strftime(date_sent, '%Y-%m-%dT%H:%M:%S'),
+  nullif(array_to_string((regexp_extract_all(coalesce(body_text, ''), '\\S+'))[1:200], ' '), '')) AS text FROM mail"""))
+def message_header_chunks(spark, sf_dir):
+    return shapes.body_chunks(mail(spark, sf_dir)).filter("kind = 'header'").select("message_id", "text")
+
+
+@query(_mail("""SELECT CAST(message_id AS VARCHAR) AS id, subject, from_addr || '/' || from_name AS sender, array_to_string(to_addrs, ',') AS receivers, from_addr AS copies, '' AS blind, strftime(date_sent, '%Y-%m-%dT%H:%M:%S') AS date,
+  '<p>' || message_id || '</p><img src="/v1/attachments/' || sha256('pic' || message_id) || '">' AS body_html, 'pic.png:' || sha256('pic' || message_id) || ':' || CASE WHEN message_id % 2 = 0 THEN 'image/png' ELSE '' END AS files, account_id || '/acct' || account_id || '/a' || account_id || '@x' AS account,
+  mailbox_id || '/Box/' || folder AS folders FROM mail"""))
+def message_details(spark, sf_dir):
+    """Every message as it is shown, with an image of its own in its HTML."""
+    m = mail(spark, sf_dir)
+    sha = F.sha2(F.concat(F.lit("pic"), F.col("message_id").cast("string")), 256)
+    html = F.concat(F.lit("<p onclick=x>"), F.col("message_id"), F.lit("</p><script>bad()</script><img src='cid:p"), F.col("message_id"), F.lit("'><img src='http://e/x.png'>"))
+    pictures = F.array(F.struct(F.lit("pic.png").alias("filename"), sha.alias("sha256"), F.concat(F.lit("<p"), F.col("message_id"), F.lit(">")).alias("content_id")))
+    full = m.withColumns({"body_html": html, "attachments": pictures, "cc_addrs": F.array("from_addr"), "bcc_addrs": F.lit(None).cast("array<string>")})
+    blobs = m.filter("message_id % 2 = 0").select(sha.alias("sha256"), F.lit("image/png").alias("mime_type"), F.lit(1).cast("long").alias("size_bytes"))
+    people = accounts(spark).withColumn("email_address", F.concat(F.lit("a"), "account_id", F.lit("@x")))
+    got = shapes.details(full, people, labels(m), mailboxes(m), blobs)
+    named = lambda c: F.array_join(F.transform(c, lambda x: x["address"]), ",").alias
+    files = F.transform("attachments", lambda a: F.concat(a["filename"], F.lit(":"), a["sha256"], F.lit(":"), F.coalesce(a["mime_type"], F.lit(""))))
+    return got.select(
+        "id", "subject", F.concat_ws("/", "from.address", "from.name").alias("sender"), named("to")("receivers"), named("cc")("copies"), named("bcc")("blind"), "date", "body_html", F.array_join(files, ",").alias("files"),
+        F.concat_ws("/", "account.id", "account.name", "account.address").alias("account"), F.array_join(F.transform("folders", lambda f: F.concat_ws("/", f["id"], f["name"])), ",").alias("folders"),
+    )
+
+
 # Control plane.
 
 

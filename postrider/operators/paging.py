@@ -30,7 +30,8 @@ class Cursor:
         return base64.urlsafe_b64encode(body.encode()).decode().rstrip("=")
 
 
-def decode_cursor(text: str, order: str | None = None) -> Cursor:
+def decode_cursor(text: str, order: str | None = None, with_words: bool | None = None) -> Cursor:
+    """The cursor of a walk in the given order, of a query with or without words to match; another walk's is refused."""
     try:
         given, with_text, when, message_id = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)).decode().split("|")
         cursor = Cursor(datetime.fromisoformat(when) if when else None, int(message_id), given, with_text == "1")
@@ -38,6 +39,8 @@ def decode_cursor(text: str, order: str | None = None) -> Cursor:
         raise QueryError("that is no cursor") from e
     if cursor.order not in ("asc", "desc") or order not in (None, cursor.order):
         raise QueryError("the cursor belongs to another order")
+    if with_words not in (None, cursor.text):
+        raise QueryError("the cursor belongs to a query with words" if cursor.text else "the cursor belongs to a query without words")
     return cursor
 
 

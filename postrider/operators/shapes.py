@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import extract
 from . import filters
 
 #: Characters of an attachment's text that are cut into chunks; what is beyond is marked.
@@ -32,6 +33,42 @@ def api_hits(hits: DataFrame, messages: DataFrame, accounts: DataFrame) -> DataF
     )
 
 
+def address(addr: Column, name: Column | None = None) -> Column:
+    return F.struct(addr.alias("address"), (F.lit(None).cast("string") if name is None else name).alias("name"))
+
+
+def content_ids(attachments: Column) -> Column:
+    """Map of content ids, without angle brackets, to digests, for the images a mail's HTML shows; of one id the last attachment's."""
+    plain = F.transform(attachments, lambda a: F.struct(a["content_id"].alias("content_id"), a["sha256"].alias("sha256")))
+    good = F.filter(F.coalesce(plain, F.array().cast("array<struct<content_id:string,sha256:string>>")), lambda a: (F.coalesce(a["content_id"], F.lit("")) != "") & (F.coalesce(a["sha256"], F.lit("")) != ""))
+    pairs = F.transform(good, lambda a: F.struct(F.regexp_replace(a["content_id"], "^[<>]+|[<>]+$", "").alias("key"), a["sha256"].alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
+def details(messages: DataFrame, accounts: DataFrame, labels: DataFrame, mailboxes: DataFrame, blobs: DataFrame | None = None, blob_path: str = "/v1/attachments/", external_images: bool = False) -> DataFrame:
+    """Messages as they are shown one by one: addresses, account, folders and attachments nested, HTML made safe with its own images.
+
+    Columns of addresses, HTML or attachments that a table lacks count as null; an attachment whose blob is gone has no type and
+    size; a message in no folder has an empty list.  Any number of messages: nothing is looked up one at a time.
+    """
+    of = lambda c, kind="string": F.col(c) if c in messages.columns else F.lit(None).cast(kind)
+    people = lambda c: F.transform(F.coalesce(of(c, "array<string>"), F.array().cast("array<string>")), address)
+    boxes = labels.join(mailboxes, "mailbox_id").groupBy("message_id").agg(F.sort_array(F.collect_set(F.struct("name", F.col("mailbox_id").cast("string").alias("id")))).alias("_f"))
+    files = attachment_list(messages, blobs).groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("position", "filename", "sha256", "mime_type", "size_bytes"))).alias("_a"))
+    names = accounts.select("account_id", F.struct(F.col("account_id").cast("string").alias("id"), "name", (F.col("email_address") if "email_address" in accounts.columns else F.lit(None).cast("string")).alias("address")).alias("account"))
+    has_ids = "attachments" in messages.columns and "content_id" in messages.schema["attachments"].dataType.elementType.names
+    own = (F.col("attachments.content_id"), F.col("attachments.sha256")) if has_ids else (None, None)
+    safe = messages.withColumn("_html", extract.sanitized(of("body_html"), external_images, *own, blob_path))
+    rows = safe.join(names, "account_id").join(boxes, "message_id", "left").join(files, "message_id", "left")
+    return rows.select(
+        F.col("message_id").cast("string").alias("id"), "subject", address(F.col("from_addr"), F.col("from_name")).alias("from"), people("to_addrs").alias("to"), people("cc_addrs").alias("cc"), people("bcc_addrs").alias("bcc"),
+        iso(F.col("date_sent")).alias("date"), "body_text", F.col("_html").alias("body_html"),
+        F.coalesce("_a", F.array().cast("array<struct<position:int,filename:string,sha256:string,mime_type:string,size_bytes:bigint>>")).alias("attachments"), "account",
+        F.transform(F.coalesce("_f", F.array().cast("array<struct<name:string,id:string>>")), lambda f: F.struct(f["id"].alias("id"), f["name"].alias("name"))).alias("folders"),
+    )
+
+
 def attachment_list(messages: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
     """(message_id, position, filename, sha256, mime_type, size_bytes): every attachment by its position; one whose digest is malformed or whose blob is missing keeps its row with nulls."""
     rows = messages.select("message_id", F.posexplode("attachments").alias("position", "a"))

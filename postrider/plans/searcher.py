@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import arms, cells, filters, fusion, paging, positions, postings
+from ..operators import arms, cells, filters, fusion, paging, positions, postings, shapes
 from . import dsl
 
 #: Fields that a hit can be asked for, in the order they are given.
@@ -117,9 +117,9 @@ class Searcher:
         return Page(rows, None, token)
 
     def _walk(self, query: dsl.Query, allowed, size: int, order: str, cursor: str | None) -> Page:
-        at = paging.decode_cursor(cursor, order) if cursor else None
-        rows = self.scoped(replace(query), allowed)
         tree = dsl.match_tree(query.free_text)
+        at = paging.decode_cursor(cursor, order, tree is not None) if cursor else None
+        rows = self.scoped(replace(query), allowed)
         if tree is not None:
             rows = rows.filter(filters.text_match(tree, rows))
         got = paging.walk(rows.select("message_id", "subject", "from_addr", "effective_date"), size, order, at).collect()
@@ -157,6 +157,15 @@ def message_detail(archive: Archive, message_id: int, allowed) -> dict | None:
     return rows[0].asDict(recursive=True) if rows else None
 
 
+def message_view(archive: Archive, message_id: int, allowed, blobs: DataFrame | None = None, external_images: bool = False) -> dict | None:
+    """One message with its addresses, account, folders and attachments nested and its HTML made safe, or None where it is missing or not allowed."""
+    ids = filters.clamp_accounts(None, allowed)
+    found = archive.messages.filter((F.col("message_id") == message_id) & filters.in_accounts(ids))
+    own = archive.labels.filter(F.col("message_id") == message_id)
+    rows = shapes.details(found, archive.accounts, own, archive.mailboxes, blobs, external_images=external_images).limit(1).collect()
+    return rows[0].asDict(recursive=True) if rows else None
+
+
 def readable_blob(archive: Archive, sha256: str, allowed) -> bool:
     """Whether an allowed message carries the attachment."""
     ids = filters.clamp_accounts(None, allowed)

@@ -92,12 +92,18 @@ def sanitize(page: str | None, images: dict[str, str] | None = None, external_im
     return "".join(cleaner.out)
 
 
-def sanitized(page: Column, external_images: bool = False) -> Column:
+def sanitized(page: Column, external_images: bool = False, content_ids: Column | None = None, digests: Column | None = None, prefix: str = "/v1/attachments/") -> Column:
+    """Safe HTML of a column; ``content_ids`` and ``digests`` are arrays of the row's own attachments, whose images then show."""
+
+    def images(ids: list | None, digests: list | None) -> dict[str, str]:
+        return {i.strip("<>"): prefix + d for i, d in zip(ids or (), digests or ()) if i and d}
+
     @F.arrow_udf("string")
-    def run(pages: pa.Array) -> pa.Array:
-        return pa.array([sanitize(p.as_py(), None, external_images) for p in pages], pa.string())
+    def run(pages: pa.Array, ids: pa.Array, shas: pa.Array) -> pa.Array:
+        return pa.array([sanitize(p, images(i, d), external_images) for p, i, d in zip(pages.to_pylist(), ids.to_pylist(), shas.to_pylist())], pa.string())
 
-    return run(page)
+    none = F.lit(None).cast("array<string>")
+    return run(page, none if content_ids is None else content_ids, none if digests is None else digests)
 
 
 def _decode(data: bytes) -> str:
