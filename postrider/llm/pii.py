@@ -33,7 +33,8 @@ MAX_TOKENS = 40
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+# What can only go on an address whose segment the bound has cut.
+_MORE_DOMAIN = re.compile(r"(?:(?:\.| ?[\[({](?i:dot)[\])}] ?)\w(?:[\w-]*\w)?)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -504,6 +505,17 @@ def trained_weights(n: int = 1000, rounds: int = 8, seed: int = 7) -> Weights:
     return weights
 
 
+def _grown(text: str, start: int, end: int) -> tuple[int, int]:
+    """An address with all of the local part before it and of the domain after it."""
+    low = start
+    while low and text[low - 1] in _LOCAL_CHARS:
+        low -= 1
+    while low < start and not text[low].isalnum():
+        low += 1
+    more = _MORE_DOMAIN.match(text, end)
+    return low, more.end() if more else end
+
+
 def find_spans(text: str, weights: Weights, known: dict | None = None) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base) of all spans, ordered by start, kind and end; ``known`` keeps the segmentations of zones that look alike."""
     base = base_spans(text)
@@ -515,7 +527,16 @@ def find_spans(text: str, weights: Weights, known: dict | None = None) -> list[t
             if len(known) >= 20_000:
                 known.clear()
             known[key] = decode_zone(zone, weights)
-        more += [(tokens[i][0], tokens[j - 1][1], KINDS[k]) for i, j, k in known[key]]
+        end = -1
+        for i, j, k in known[key]:
+            span = tokens[i][0], tokens[j - 1][1]
+            if KINDS[k] == "email" and (whole := _grown(text, *span)) != span and len(_TOKEN.findall(text, *whole)) > MAX_TOKENS:
+                span = whole
+                while more and more[-1][1] > span[0] and more[-1][0] >= tokens[0][0]:
+                    more.pop()  # guesses at parts of the same address
+            if span[0] >= end:
+                more.append((*span, KINDS[k]))
+                end = span[1]
     found = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in more]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -542,7 +563,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataF
     """Add an array column of spans to every row.
 
     Null and empty texts have none; repeated rows are judged alike; whole texts are
-    read, however long, and a segment has at most ``MAX_TOKENS`` tokens; of
+    read, however long.  A segment has at most ``MAX_TOKENS`` tokens; an address, the only kind
+    that can be longer, is grown over the rest of its local part and domain where the whole has more.  Of
     segmentations that score alike the one of shorter segments wins;
     a column named like ``out`` is replaced and all other columns stay.
     """

@@ -15,3 +15,14 @@ def test_long_dotted_local_part():
     text = f"please mail {local}(at)example.com today"
     found = [text[s:e] for s, e, kind, _ in pii.find_spans(text, pii.trained_weights()) if kind == "email"]
     assert found == [f"{local}(at)example.com"]
+
+
+def test_addresses_beyond_the_segment_bound():
+    for n in (5, 12, 15, 25, 400):
+        local = ".".join("name" + chr(97 + i % 26) for i in range(n))
+        text = f"please write to {local} [at] example [dot] com today"
+        found = [text[s:e] for s, e, kind, _ in pii.find_spans(text, pii.trained_weights()) if kind == "email"]
+        assert found == [f"{local} [at] example [dot] com"], n
+    host = "y" + "".join(f"[dot]part{i}" for i in range(30)) + "[dot]com"
+    text = f"mail x(at){host} end"
+    assert [(text[s:e], kind) for s, e, kind, _ in pii.find_spans(text, pii.trained_weights())] == [(f"x(at){host}", "email")]
