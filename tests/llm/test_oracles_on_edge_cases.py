@@ -33,6 +33,10 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     urls = [(1, None), (2, "http://a.com/en/7"), (3, "x"), (4, "HTTP://B.Example.NET/de/8?casino"), (5, "http://xxx/"), (6, "http://cheap.a/free#x"), (7, "s://é/p\nq?r")]
     spark.createDataFrame(urls, "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+    rnd = random.Random(12)
+    vectors = [(i, [rnd.choice([-0.5, 0.0, 0.25, rnd.gauss(0, 1)]) for _ in range(8)], rnd.choice([None, 0, 0, 1, i])) for i in range(300)]
+    vectors += [(900, None, 1), (901, [0.1] * 7 + [None], 1), (902, [float("nan")] + [0.1] * 7, 1), (903, [float("-inf")] + [0.1] * 7, None)] + [(1000 + i, vectors[5][1], 2) for i in range(20)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -43,7 +47,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_same_rows(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     got = queries.queries()[name](spark, folder)
     want = con.sql(oracles.oracle_sql()[name])
