@@ -41,6 +41,8 @@ PART_BYTES = 32 << 20
 #: Most words that are written as numbers.
 ALPHABET = 300_000
 SALTS = 16
+#: Most cells of a level that a plan names.
+NAMED_CELLS = 1 << 20
 _BLOCK = 4 << 20
 # Numbers that take one, two and three bytes.
 _ONE, _TWO, _THREE = 95, 128 * 95, 128 * 128 * 95
@@ -121,17 +123,27 @@ def _prefixes(h: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
     return [mix64(h[at]) if k == 1 else window_hashes(h, k)[at] for k in range(1, length + 1)]
 
 
+def _summed(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different cells in order, and the sums of their counts."""
+    cells, counts = np.concatenate([np.zeros(0, np.int64), *cells]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    head = _run_heads(cells)
+    return cells[head], np.add.reduceat(counts[order], head) if len(head) else counts
+
+
 def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPHABET) -> DataFrame:
     """(level, cell, word, n): different stretches of each block under each hashed prefix of one to ``length`` words, and words that recur in a task, its ``most`` / 2 most frequent ones at most.
 
-    Which words these are changes sizes only, never results.
+    Which words these are changes sizes only, never results.  A task holds the cells
+    of its own texts, however many cells there are.
     """
 
     def rows(level, cell, word, n) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(cell, pa.int64()), word, pa.array(n, pa.int64())], names=["level", "cell", "word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((length, 1 << bits), np.int64), {}
+        held, seen, compact = ([], []), {}, 1 << 21
         for batch in batches:
             for block in blocks(batch.column(0), limit=_BLOCK):
                 starts, lengths, _, h, at, text = _suffixes(block, width)
@@ -140,7 +152,11 @@ def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPH
                 n = np.diff(np.append(head, len(at))).astype(np.uint64)
                 _, one = np.unique(window_hashes(h, width)[at[head]] + n, return_index=True)
                 for level, value in enumerate(_prefixes(h, a[head[one]], length)):
-                    total[level] += np.bincount((value >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    held[0].append((value >> np.uint64(64 - bits)).astype(np.int64) + (level << bits))
+                    held[1].append(np.ones(len(value), np.int64))
+                if sum(map(len, held[0])) > compact:
+                    held = tuple([x] for x in _summed(*held))
+                    compact = max(compact, 2 * len(held[0][0]))
                 order = np.argsort(h)
                 head = _run_heads(h[order])
                 n = np.diff(np.append(head, len(h)))
@@ -150,8 +166,8 @@ def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPH
                     seen[word] = seen.get(word, 0) + k
             if len(seen) > most:
                 seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: most // 2])
-        level, cell = np.nonzero(total)
-        yield rows(level, cell, pa.nulls(len(level), pa.string()), total[level, cell])
+        cell, n = _summed(*held)
+        yield rows(cell >> bits, cell & ((1 << bits) - 1), pa.nulls(len(cell), pa.string()), n)
         top = sorted(((n, w) for w, n in seen.items() if len(w) <= 64), reverse=True)[: most // 2]
         yield rows(np.full(len(top), -1), np.zeros(len(top)), pa.array([w for _, w in top], pa.binary()).cast(pa.string()), [n for n, _ in top])
 
@@ -161,9 +177,11 @@ def survey(docs: DataFrame, width: int, length: int, bits: int, most: int = ALPH
 class Plan:
     """How prefixes are extended and dealt, and how words are written.
 
-    ``parts`` says for each cell of each level into how many groups its stretches
-    would go: over one, the prefix is extended, and at the last level split by the
-    whole suffix.
+    ``heavy`` names in order, for each level, the cells with more stretches than a
+    group takes: there the prefix is extended, and at the last level split by the whole
+    suffix.  A level with more than ``NAMED_CELLS`` of them is None and extends every
+    prefix; the last level then names its largest, so that no other has more than that
+    share of all stretches.  So a plan's size is bounded, whatever the texts.
     """
 
     def __init__(self, survey: DataFrame, length: int, bits: int, group_rows: int, most: int = ALPHABET):
@@ -172,11 +190,13 @@ class Plan:
         counts, words = survey.filter("level >= 0"), survey.filter("level < 0").orderBy(F.desc("n"), "word").limit(most)
         rows = counts.filter("level = 0").agg(F.sum("n")).first()[0] or 0
         self.groups = max(1, -(-rows // group_rows))
-        self.parts = np.ones((length, 1 << bits), np.int32)
-        # Only cells over the limit come to the driver: at most rows / group_rows of them on each level, of which the maps have a fixed multiple.
-        for r in counts.filter(F.col("n") > group_rows).collect():
-            self.parts[r["level"], r["cell"]] = -(-r["n"] // group_rows)
-        self.whole = int(self.parts[-1][self.parts[-1] > 1].sum())
+        self.heavy: list[np.ndarray | None] = []
+        over = counts.filter(F.col("n") > group_rows)
+        for level in range(length):
+            found = over.filter(F.col("level") == level).orderBy(F.desc("n"), "cell").select("cell", "n").limit(NAMED_CELLS + 1).toArrow()
+            cells, n = (found.column(c).to_numpy()[:NAMED_CELLS] for c in ("cell", "n"))
+            self.heavy.append(np.sort(cells) if len(found) <= NAMED_CELLS or level == length - 1 else None)
+        self.whole = int((-(-n // group_rows)).sum())
         self.words = Words(words.select("word").toArrow().column(0).cast(pa.binary()).to_pylist())
         self.codes, self.code_edges = codes(len(self.words))
 
@@ -186,7 +206,10 @@ class Plan:
         value, extend = levels[0].copy(), np.ones(len(a), dtype=bool)
         for k, own in enumerate(levels):
             value[extend] = own[extend]
-            extend &= self.parts[k, (own >> np.uint64(64 - self.bits)).astype(np.int64)] > 1
+            heavy = self.heavy[k]
+            if heavy is not None:
+                cell = (own >> np.uint64(64 - self.bits)).astype(np.int64)
+                extend &= heavy[np.minimum(np.searchsorted(heavy, cell), len(heavy) - 1)] == cell if len(heavy) else False
         group = (value % np.uint64(self.groups)).astype(np.int64)
         if extend.any():
             whole = window_hashes(h, width)[at[extend]] % np.uint64(self.whole)

@@ -67,6 +67,22 @@ def test_repeated_passages(docs, rows, none, group_rows, part_bytes):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_a_plan_is_bounded_whatever_the_number_of_cells(docs, rows, monkeypatch):
+    """Two cells a level, and cells by the billion: the plan is small, and the rows are those of any other plan."""
+    want = sorted((r.doc_id, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect())
+    monkeypatch.setattr(substring_dedup, "NAMED_CELLS", 2)
+
+    def plan_of(known, size, width, group_rows):
+        plan = substring_dedup.Plan(substring_dedup.survey(known, width, 4, 36), 4, 36, group_rows)
+        assert any(x is None for x in plan.heavy[:-1]) and len(plan.heavy[-1]) <= 2
+        assert sum(x.nbytes for x in plan.heavy if x is not None) < 100
+        return plan
+
+    monkeypatch.setattr(substring_dedup, "plan_for", plan_of)
+    got = substring_dedup.remove_repeats(docs, group_rows=3)
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in got.collect()) == want
+
+
 def test_rows_without_id_keep_their_words(spark):
     text = " ".join(f"w{i}" for i in range(20))
     got = substring_dedup.remove_repeats(spark.createDataFrame([(1, text), (None, text), (2, text), (None, None)], "doc_id long, text string")).collect()
