@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import documents, embedding, language, ngrams
+from .functions import charset, documents, embedding, language, ngrams
 from .functions import text as X
 from .functions import vector as V
 from .mailview import DAY, DAY_SQL, EFFECTIVE_SQL, MAIL_SQL, accounts, labels, mail, mailboxes, table
@@ -1014,3 +1014,19 @@ def language_ngrams(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = ngrams.fit(docs.filter("doc_id % 3 <> 1"))
     return docs.select("doc_id", "lang", ngrams.detect(docs, model).alias("detected"))
+
+
+#: Charsets that the Western texts are written in, a quarter in each.
+_WRITTEN = ("utf-8", "cp1252", "cp850", "mac_roman")
+
+
+@query()
+def charset_detection(spark, sf_dir):
+    """All documents written in one of four charsets and read again without being told which; models fitted on two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    samples = docs.filter("doc_id % 3 <> 1").select("text", F.explode(F.array(*map(F.lit, _WRITTEN[1:]))).alias("charset"))
+    model = charset.fit(samples)
+    written_in = F.element_at(F.array(*map(F.lit, _WRITTEN)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    content = docs.withColumn("charset", written_in).withColumn("content", charset.encoded(F.col("text"), F.col("charset")))
+    read = content.withColumn("found", charset.decoded(F.col("content"), model, docs))
+    return read.select("doc_id", "charset", F.col("found.charset").alias("read_as"), F.round("found.confidence", 6).alias("confidence"), F.sha2("found.text", 256).alias("read_sha256"), F.col("found.text").eqNullSafe(F.col("text")).alias("same"))

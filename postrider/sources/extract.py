@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import charset
 from ..functions.text import ALLOWED_EXTENSIONS, ALLOWED_MIME, extension
 
 MAX_BYTES = 50 << 20
@@ -107,10 +108,7 @@ def sanitized(page: Column, external_images: bool = False, content_ids: Column |
 
 
 def _decode(data: bytes) -> str:
-    try:
-        return data.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
+    return charset.decode(data)[0]
 
 
 def _html(data: bytes) -> str:
