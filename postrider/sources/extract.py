@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import html
 import io
+import posixpath
 import re
 import zipfile
 from datetime import datetime, timedelta
@@ -19,54 +20,86 @@ from ..functions import charset
 from ..functions.text import ALLOWED_EXTENSIONS, ALLOWED_MIME, extension
 
 MAX_BYTES = 50 << 20
-# Tags and attributes that safe HTML may keep, link schemes, and tags dropped with their content.
+# What safe HTML may keep, and the tags that go with their content.
 SAFE_TAGS = frozenset(
-    "a abbr b blockquote br caption code col colgroup dd div dl dt em h1 h2 h3 h4 h5 h6 hr i img li ol p pre q s small span strong sub sup table tbody td tfoot th thead tr u ul".split()
+    "a abbr b blockquote br cite code div em h1 h2 h3 h4 h5 h6 hr i img li ol p pre q small span strong sub sup table tbody td th thead tr u ul".split()
 )
-SAFE_ATTRIBUTES = {"a": {"href", "title"}, "img": {"src", "alt", "width", "height"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan"}}
-SAFE_SCHEMES = ("http:", "https:", "mailto:")
-DROPPED_WITH_CONTENT = frozenset("script style head title iframe object embed noscript template svg math".split())
-_VOID = frozenset("br hr img col".split())
+SAFE_ATTRIBUTES = {
+    "*": {"class", "style", "title"}, "a": {"href"}, "img": {"src", "alt", "width", "height"}, "td": {"colspan", "rowspan", "align"}, "th": {"colspan", "rowspan", "align"},
+}
+SAFE_STYLES = frozenset(
+    """azimuth background-color border border-bottom border-bottom-color border-bottom-style border-bottom-width border-collapse border-color border-left border-left-color
+    border-left-style border-left-width border-right border-right-color border-right-style border-right-width border-spacing border-style border-top border-top-color
+    border-top-style border-top-width border-width clear color direction display elevation float font font-family font-size font-style font-variant font-weight height
+    letter-spacing line-height margin margin-bottom margin-left margin-right margin-top max-height max-width min-height min-width overflow padding padding-bottom padding-left
+    padding-right padding-top pause pause-after pause-before pitch pitch-range richness speak speak-header speak-numeral speak-punctuation speech-rate stress table-layout
+    text-align text-decoration text-indent unicode-bidi vertical-align voice-family volume white-space width""".split()
+)
+SAFE_SCHEMES = frozenset(["http", "https", "mailto"])
+DROPPED_WITH_CONTENT = frozenset("script style noscript iframe object embed applet form".split())
+LINK_REL = "noopener noreferrer"
+# Not text of a page: gone with their content, from extracted text also what only its head says.
+_FOREIGN = frozenset("template svg math".split())
+_UNSEEN = frozenset("script style head title iframe object noscript".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BREAKS = frozenset("br p div li tr h1 h2 h3 h4 h5 h6".split())
+_INLINE_IMAGE = re.compile(r"data:image/(?:png|jpeg|gif|webp);base64,[A-Za-z0-9+/=]*", re.IGNORECASE)
+_DECLARATION = re.compile(r"""\s*([A-Za-z-]+)\s*:((?:[^;"']|"[^"]*"|'[^']*')*)(?:;|$)""")
+
+
+def _style(value: str) -> str:
+    """The declarations that may stay; none that could load anything."""
+    kept = ((name.lower(), x.strip()) for name, x in _DECLARATION.findall(re.sub(r"/\*.*?\*/", "", value, flags=re.DOTALL)))
+    return ";".join(f"{name}:{x}" for name, x in kept if name in SAFE_STYLES and x and x.count("(") == x.count(")") and not re.search(r"url\s*\(|expression\s*\(|[\\<>{}]", x, re.IGNORECASE))
 
 
 class _Cleaner(HTMLParser):
+    """Safe HTML, or the text of a page.  Every tag that is written is closed, in order; end tags of nothing go."""
+
     def __init__(self, images: dict[str, str], external: bool, text_only: bool):
         super().__init__(convert_charrefs=True)
         self.images, self.external, self.text_only = images, external, text_only
+        self.unwanted = (_UNSEEN if text_only else DROPPED_WITH_CONTENT) | _FOREIGN
         self.out: list[str] = []
         self.dropped: list[str] = []
+        self.open: list[str] = []
+
+    def _source(self, value: str) -> str | None:
+        bare = value.strip("<>")
+        if bare[:4].lower() == "cid:":
+            return self.images.get(bare[4:].strip("<>"))
+        trimmed = re.sub(r"^[\x00-\x20]+", "", value)
+        return value if _INLINE_IMAGE.fullmatch(value) else trimmed if self.external and trimmed.lower().startswith(("http://", "https://")) else None
+
+    def _attribute(self, tag: str, name: str, value: str) -> str | None:
+        if name not in SAFE_ATTRIBUTES["*"] | SAFE_ATTRIBUTES.get(tag, set()):
+            return None
+        if name == "style":
+            return _style(value) or None
+        if name == "src":
+            return self._source(value)
+        if name == "href":
+            scheme = re.match(r"([^/?#]*?):", re.sub(r"[\x00-\x20]", "", value))
+            return value if scheme is None or scheme[1].lower() in SAFE_SCHEMES else None
+        return value
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED_WITH_CONTENT:
+        if tag in self.unwanted and tag not in _VOID:
             self.dropped.append(tag)
         if self.dropped or (not self.text_only and tag not in SAFE_TAGS):
             return
         if self.text_only:
             self.out.append("\n" if tag in _BREAKS else "")
             return
-        kept = []
-        for name, value in attrs:
-            value = (value or "").strip()
-            if name not in SAFE_ATTRIBUTES.get(tag, ()):
-                continue
-            if name in ("href", "src"):
-                plain = re.sub(r"[\x00-\x20]", "", value).lower()
-                if name == "src":
-                    if plain.startswith("cid:"):
-                        value = self.images.get(value[4:], "")
-                    elif not self.external or not plain.startswith(("http:", "https:")):
-                        continue
-                    if not value:
-                        continue
-                elif not plain.startswith(SAFE_SCHEMES):
-                    continue
-            kept.append(f' {name}="{html.escape(value)}"')
-        if tag != "img" or any(k.startswith(" src=") for k in kept):
-            self.out.append(f"<{tag}{''.join(kept)}>")
+        kept = {name: x for name, value in reversed(attrs) if (x := self._attribute(tag, name, value or "")) is not None}
+        kept = dict(reversed(kept.items())) | ({"rel": LINK_REL} if tag == "a" else {})
+        self.out.append(f"<{tag}{''.join(f' {name}="{html.escape(x)}"' for name, x in kept.items())}>")
+        if tag not in _VOID:
+            self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in DROPPED_WITH_CONTENT:
+        # In a browser only foreign elements close themselves; in text, XHTML's empty ones do too.
+        if tag not in (self.unwanted if self.text_only else _FOREIGN):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
@@ -75,16 +108,25 @@ class _Cleaner(HTMLParser):
                 self.dropped.pop()
         elif self.text_only:
             self.out.append("\n" if tag in _BREAKS else "")
-        elif tag in SAFE_TAGS and tag not in _VOID:
-            self.out.append(f"</{tag}>")
+        elif tag in self.open:
+            while self.open:
+                last = self.open.pop()
+                self.out.append(f"</{last}>")
+                if last == tag:
+                    break
 
     def handle_data(self, data):
         if not self.dropped:
             self.out.append(data if self.text_only else html.escape(data, quote=False))
 
+    def close(self):
+        super().close()
+        self.out.extend(f"</{tag}>" for tag in reversed(self.open))
+        self.open.clear()
+
 
 def sanitize(page: str | None, images: dict[str, str] | None = None, external_images: bool = False) -> str | None:
-    """Allowed tags and attributes only; cid: images become the given addresses, external images go unless wanted."""
+    """Allowed tags, attributes and style declarations only; cid: images become the given addresses, external images go unless wanted."""
     if page is None:
         return None
     cleaner = _Cleaner(images or {}, external_images, False)
@@ -187,6 +229,24 @@ def _xlsx(data: bytes) -> str:
         return "\n".join(x for x in rows if x)
 
 
+def _pptx(data: bytes) -> str:
+    """The text of each slide and, below it, what its speaker's notes say."""
+    numbered = lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]
+    parts = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        for slide in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=numbered):
+            parts.append(_xml_text(z.read(slide), "p", "t"))
+            links = f"ppt/slides/_rels/{slide.rpartition('/')[2]}.rels"
+            targets = [x.get("Target", "") for x in _named(ElementTree.fromstring(z.read(links)), "Relationship") if x.get("Type", "").endswith("/notesSlide")] if links in names else []
+            for notes in (t.lstrip("/") if t.startswith("/") else posixpath.normpath(posixpath.join("ppt/slides", t)) for t in targets):
+                if notes in names:
+                    # A notes page repeats the slide's number and date as fields of their own; the notes are in its body.
+                    bodies = [x for x in _named(ElementTree.fromstring(z.read(notes)), "sp") if any(p.get("type") == "body" for p in _named(x, "ph"))]
+                    parts.extend(_xml_text(ElementTree.tostring(x), "p", "t") for x in bodies)
+    return "\n".join(x for x in parts if x)
+
+
 def _odt(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read("content.xml"))
@@ -212,7 +272,7 @@ def _csv(data: bytes) -> str:
 
 _BY_EXTENSION = {
     ".txt": _decode, ".md": _decode, ".html": _html, ".htm": _html, ".csv": _csv, ".rtf": _rtf, ".ics": _ics, ".odt": _odt,
-    ".docx": lambda d: _zipped(d, r"word/document\.xml", "p", "t"), ".xlsx": _xlsx, ".pptx": lambda d: _zipped(d, r"ppt/slides/slide\d+\.xml", "p", "t"),
+    ".docx": lambda d: _zipped(d, r"word/document\.xml", "p", "t"), ".xlsx": _xlsx, ".pptx": _pptx,
 }
 _BY_MIME = {
     "text/plain": ".txt", "text/markdown": ".md", "text/html": ".html", "text/csv": ".csv", "application/rtf": ".rtf", "text/rtf": ".rtf", "text/calendar": ".ics",

@@ -91,7 +91,7 @@ def test_extraction(spark):
 
 def test_safe_html(spark):
     page = '<div onclick=x><a href="java\nscript:alert(1)" title="t">k</a><a href="https://a.b/?x=1&y">l</a><img src="cid:p"><img src="http://e/x.png"><script>bad()</script><b>1 < 2</b><br/></div>'
-    assert extract.sanitize(page, {"p": "/blob/1"}) == '<div><a title="t">k</a><a href="https://a.b/?x=1&amp;y">l</a><img src="/blob/1"><b>1 &lt; 2</b><br></div>'
+    assert extract.sanitize(page, {"p": "/blob/1"}) == '<div><a title="t" rel="noopener noreferrer">k</a><a href="https://a.b/?x=1&amp;y" rel="noopener noreferrer">l</a><img src="/blob/1"><img><b>1 &lt; 2</b><br></div>'
     assert 'src="http://e/x.png"' in extract.sanitize(page, {}, True)
     frame = spark.createDataFrame([("<i>x</i><style>y</style>",), (None,)], "p string").select(extract.sanitized(F.col("p")).alias("s"))
     assert [r.s for r in frame.collect()] == ["<i>x</i>", None]
