@@ -561,6 +561,15 @@ def ack_monotonic(spark, sf_dir):
     return archive.acknowledged(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.col("event_id").alias("cursor")), highest)
 
 
+@query("""SELECT user_id, name, cursor FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_at, name) AS n
+  FROM (SELECT user_id, strftime(ts, '%d-%H') AS name, max(event_id) AS cursor, min(ts) AS first_at FROM events WHERE event_id <= (SELECT max(event_id) - 100 FROM events) GROUP BY 1, 2)) WHERE n <= 8""")
+def subscription_bound(spark, sf_dir):
+    """Cursors of each user's first eight subscriptions, of one for each hour of a day."""
+    e = table(spark, sf_dir, "events")
+    highest = e.agg(F.coalesce(F.max("event_id") - 100, F.lit(0))).first()[0]
+    return archive.subscriptions(e.select("user_id", F.date_format("ts", "dd-HH").alias("name"), F.col("event_id").alias("cursor"), "ts"), highest, "ts", 8)
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY sha256(text)")
 def dedup_first_writer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("key", archive.dedup_key(F.lit(None).cast("string"), F.sha2("text", 256)))

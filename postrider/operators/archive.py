@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Names that one user may subscribe under, and what a name is.
+MOST_SUBSCRIPTIONS = 32
+SUBSCRIPTION_NAME = r"\A[A-Za-z0-9_-]{1,64}\z"
+
 
 def account_stats(accounts: DataFrame, messages: DataFrame, mailboxes: DataFrame, now: datetime, stale_days: int = 30) -> DataFrame:
     """Message count, last sync and staleness of each account, with or without messages."""
@@ -121,6 +125,19 @@ def acknowledged(acks: DataFrame, highest: int) -> DataFrame:
     return acks.filter(F.col("cursor") <= highest).groupBy("user_id", "name").agg(F.max("cursor").alias("cursor"))
 
 
+def subscriptions(acks: DataFrame, highest: int, at: str, most: int = MOST_SUBSCRIPTIONS) -> DataFrame:
+    """(user_id, name, cursor): ``acknowledged`` for the first ``most`` names of each user by their first ack that counts.
+
+    An ack beyond the highest id, or under something that is no name, neither moves nor
+    makes a subscription; acks of later names are refused, whatever their cursor.  Names of one moment go by name.
+    Each task sends on at most ``most`` names a user.
+    """
+    counted = (F.col("cursor") <= highest) & F.col("name").rlike(SUBSCRIPTION_NAME)
+    named = acks.filter(counted).groupBy("user_id", "name").agg(F.max("cursor").alias("cursor"), F.min(at).alias("_first"))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.col("_first").asc_nulls_last(), "name"))
+    return named.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n", "_first")
+
+
 def held_or_given_up(attempts: DataFrame, now: datetime, seconds: int = 1800) -> DataFrame:
     """Hold ledger of missing bodies: first seen, attempts, and given up once the window is over."""
     ledger = attempts.groupBy("mailbox_id", "uid").agg(F.min("at").alias("first_seen"), F.count("*").alias("attempts"))

@@ -6,6 +6,7 @@ arrive late are delivered late, not dropped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -63,17 +64,28 @@ def poll(spark: SparkSession, log: str, since: int | None, now: datetime, **opti
     return archive.changes(spark.read.parquet(log).drop("batch"), since, now, **options)
 
 
-def subscribe(acks: DataFrame, user_id: int, name: str, tip: int) -> DataFrame:
+def _admit(acks: DataFrame, user_id: int, name: str, most: int) -> None:
+    """Refuse what is no name, and a new name of a user who has ``most`` of them."""
+    if not re.fullmatch(archive.SUBSCRIPTION_NAME.removeprefix(r"\A").removesuffix(r"\z"), name):
+        raise ValueError("a subscription's name has 1 to 64 letters, digits, - and _")
+    held = acks.filter(F.col("user_id") == user_id).agg(F.count_distinct("name").alias("n"), F.coalesce(F.bool_or(F.col("name") == name), F.lit(False)).alias("known")).first()
+    if held.n >= most and not held.known:
+        raise ValueError(f"a user has at most {most} subscriptions")
+
+
+def subscribe(acks: DataFrame, user_id: int, name: str, tip: int, most: int = archive.MOST_SUBSCRIPTIONS) -> DataFrame:
     """Acks with a first cursor at the tip for a subscription that has none, so that its first poll is empty."""
+    _admit(acks, user_id, name, most)
     known = acks.filter((F.col("user_id") == user_id) & (F.col("name") == name))
     first = acks.sparkSession.createDataFrame([(user_id, name, tip)], acks.select("user_id", "name", "cursor").schema)
     return acks.select("user_id", "name", "cursor").unionByName(first.join(known.select("user_id", "name"), ["user_id", "name"], "left_anti"))
 
 
-def acknowledge(acks: DataFrame, user_id: int, name: str, cursor: int, highest: int) -> DataFrame:
-    """Append an ack; one beyond the highest id there is, is refused."""
+def acknowledge(acks: DataFrame, user_id: int, name: str, cursor: int, highest: int, most: int = archive.MOST_SUBSCRIPTIONS) -> DataFrame:
+    """Append an ack; one beyond the highest id there is, or under a new name of a user with ``most``, is refused."""
     if cursor > highest:
         raise ValueError("the cursor is beyond the newest row")
+    _admit(acks, user_id, name, most)
     return acks.unionByName(acks.sparkSession.createDataFrame([(user_id, name, cursor)], acks.schema))
 
 

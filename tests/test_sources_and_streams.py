@@ -5,8 +5,10 @@ import zipfile
 from datetime import datetime, timedelta
 from email.message import EmailMessage
 
+import pytest
 from pyspark.sql import functions as F
 
+from postrider.operators import archive
 from postrider.sources import extract, mail
 from postrider.streaming import feed
 
@@ -115,7 +117,6 @@ def test_stream_equals_batch(spark, tmp_path):
         stream = feed.arriving(spark, src, spark.createDataFrame([], schema).schema, 1)
         feed.append_to_log(stream, log, ck, ["message_id"]).awaitTermination()
     got = feed.poll(spark, log, 50, now + timedelta(seconds=80), horizon_s=5, allowed=[0, 1])
-    from postrider.operators import archive
 
     want = archive.changes(spark.createDataFrame(rows, schema), 50, now + timedelta(seconds=80), 5, [0, 1])
     assert [r.message_id for r in got.collect()] == [r.message_id for r in want.collect()] and spark.read.parquet(log).count() == 100
@@ -123,3 +124,17 @@ def test_stream_equals_batch(spark, tmp_path):
     acks = feed.subscribe(acks, 1, "s", 40)
     acks = feed.acknowledge(feed.subscribe(acks, 1, "s", 99), 1, "s", 60, 99)
     assert archive.acknowledged(acks, 99).first().cursor == 60
+    for call in (feed.subscribe, lambda *a, **k: feed.acknowledge(*a, 99, **k)):
+        for name in ("", "a b", "x" * 65, "s\n", "new"):
+            with pytest.raises(ValueError, match="at most 1" if name == "new" else "name"):
+                call(acks, 1, name, 5, **({"most": 1} if name == "new" else {}))
+        assert call(acks, 1, "s", 5).count() >= 2
+
+
+def test_a_user_has_a_bounded_number_of_subscriptions(spark):
+    log = [(1, "a", 5, 1), (1, "b", 90, 2), (1, "b", 7, 3), (1, "c", 9, 4), (1, "a", 8, 9), (2, "c", 1, 1), (2, "no name", 1, 1), (2, None, 1, 1), (None, "a", 4, None), (1, "d", None, 1)]
+    acks = spark.createDataFrame(log, "user_id int, name string, cursor long, at int").repartition(3)
+    got = lambda most: sorted((r.user_id or 0, r.name, r.cursor) for r in archive.subscriptions(acks, 50, "at", most).collect())
+    assert got(2) == [(0, "a", 4), (1, "a", 8), (1, "b", 7), (2, "c", 1)]
+    assert got(1) == [(0, "a", 4), (1, "a", 8), (2, "c", 1)] and len(got(32)) == 5
+    assert archive.subscriptions(acks.limit(0), 50, "at").count() == 0
