@@ -925,7 +925,7 @@ def message_header_chunks(spark, sf_dir):
 
 
 @query(_mail("""SELECT CAST(message_id AS VARCHAR) AS id, subject, from_addr || '/' || from_name AS sender, array_to_string(to_addrs, ',') AS receivers, from_addr AS copies, '' AS blind, strftime(date_sent, '%Y-%m-%dT%H:%M:%S') AS date,
-  '<p>' || message_id || '</p><img src="/v1/attachments/' || sha256('pic' || message_id) || '">' AS body_html, 'pic.png:' || sha256('pic' || message_id) || ':' || CASE WHEN message_id % 2 = 0 THEN 'image/png' ELSE '' END AS files, account_id || '/acct' || account_id || '/a' || account_id || '@x' AS account,
+  '<p>' || message_id || '</p><img src="/v1/attachments/' || sha256('pic' || message_id) || '"><img>' AS body_html, 'pic.png:' || sha256('pic' || message_id) || ':' || CASE WHEN message_id % 2 = 0 THEN 'image/png' ELSE '' END AS files, account_id || '/acct' || account_id || '/a' || account_id || '@x' AS account,
   mailbox_id || '/Box/' || folder AS folders FROM mail"""))
 def message_details(spark, sf_dir):
     """Every message as it is shown, with an image of its own in its HTML."""
