@@ -7,7 +7,8 @@ time, its mailbox's uidvalidity, and the server's next uid; a pass that met noth
 A mailbox's state is its uidvalidity, where the next pass starts, and the uids that are held for their body.
 A changed uidvalidity clears the mailbox's labels and holds and starts at 1.  A held uid keeps the
 next pass from starting beyond it, until its body comes or ``hold_s`` seconds of a continuous outage are over; then it is given up,
-and stays on record.  The same fold runs in a stream (state kept by Spark, with a timer that asks for held bodies again)
+and stays on record.  Where one pass met a uid several times, bodies come before empty answers: the body ends the outage, and the
+empty answer starts a new one.  The same fold runs in a stream (state kept by Spark, with a timer that asks for held bodies again)
 and over a table of past observations, a sorted partition at a time.
 """
 
@@ -98,8 +99,12 @@ class Mailbox:
             yield from self._close()
 
 
+#: Outcomes without a body, which come after the others of a uid in a pass.
+_BODILESS = ("empty", "gone")
+
+
 def _in_order(r: Row) -> tuple:
-    return (r.at is None, r.at, r.uid is None, r.uid or 0, r.outcome or "")
+    return (r.at is None, r.at, r.uid is None, r.uid or 0, r.outcome in _BODILESS, r.outcome or "")
 
 
 class SyncProcessor(StatefulProcessor):
@@ -208,7 +213,8 @@ def replay(observations: DataFrame, hold_s: float = HOLD_S) -> DataFrame:
         return found.astype({"mailbox_id": "Int64", "uid": "Int64", "attempts": "Int32", "uidvalidity": "Int64", "uidnext": "Int64"})
 
     rows = observations.select(*fields).filter("mailbox_id IS NOT NULL AND at IS NOT NULL AND uidvalidity IS NOT NULL")
-    return rows.repartition("mailbox_id").sortWithinPartitions("mailbox_id", "at", F.asc_nulls_last("uid"), "outcome").mapInPandas(fold, ACTION)
+    bodiless = F.coalesce(F.col("outcome").isin(*_BODILESS), F.lit(False))
+    return rows.repartition("mailbox_id").sortWithinPartitions("mailbox_id", "at", F.asc_nulls_last("uid"), bodiless, "outcome").mapInPandas(fold, ACTION)
 
 
 def labels(acts: DataFrame) -> DataFrame:

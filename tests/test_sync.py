@@ -3,9 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import __spark_entry__ as entry
 from postrider.streaming import feed, sync
 
 T = datetime(2024, 1, 1)
@@ -45,6 +48,24 @@ def test_zero_hold_gives_up_at_once(spark):
     assert sorted(map(tuple, sync.watermarks(acts).collect())) == [(1, 5, 6), (2, 7, 2)]
 
 
+def test_body_and_empty_answer_in_one_pass(spark):
+    rows = [r for k in range(4) for r in passes(1, (AT[k], 5, {3: "empty", 4: "ok"}))] + passes(1, (AT[3], 5, {3: "ok"}))
+    acts = sync.replay(spark.createDataFrame(rows, sync.OBSERVATION))
+    assert list(map(tuple, sync.watermarks(acts).collect())) == [(1, 5, 3)] and sync.lost(acts).isEmpty()
+    assert sorted(rows, key=lambda r: sync._in_order(Row(*sync.StructType.fromDDL(sync.OBSERVATION).names)(*r)))[-3:] == [rows[-1], *rows[-3:-1]]
+
+
+def test_repeated_events_give_the_sqls_rows(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = events.count()
+    copies = events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    copies.withColumns({"event_id": F.col("event_id") + F.col("k") * (n + 1), "user_id": F.col("user_id") + F.col("k") * 1500}).drop("k").write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["sync_replay"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['sync_replay']})").fetchall())
+
+
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     rnd = random.Random(4)
     more = []
