@@ -126,9 +126,18 @@ def strip_quotes(text: Column) -> Column:
     return F.array_join(F.filter(F.split(F.regexp_replace(text, QUOTED, ""), "\n", -1), lambda s: ~s.rlike(r"^\s*>")), "\n")
 
 
+def without_links(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?i)(?:https?://|www\.)\S+", " ")
+
+
+def collapsed(text: Column) -> Column:
+    """Runs of blanks as one, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def language_text(text: Column) -> Column:
     """Text for language detection: no links, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(?:https?://|www\.)\S+", " "), r"\s+", " "))
+    return collapsed(without_links(text))
 
 
 def windows(words: Column, size: int = 512, overlap: int = 64) -> Column:
