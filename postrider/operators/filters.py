@@ -77,9 +77,14 @@ def message_document(messages: DataFrame | None = None) -> Column:
     return X.document(*message_parts(messages))
 
 
+def weighted_parts(messages: DataFrame | None = None) -> list[tuple[Column, int]]:
+    """The message's parts with their classes of weight, in order of position."""
+    return [(F.col("subject"), 3), (F.concat_ws(" ", "from_addr", "from_name"), 2), (body(messages), 1), (F.array_join("to_addrs", " "), 0)]
+
+
 def weighted(messages: DataFrame | None = None) -> Column:
     """The same words as array<struct<word,weight>>, by class of weight."""
-    return R.weighted_document(F.col("subject"), F.concat_ws(" ", "from_addr", "from_name"), body(messages), F.array_join("to_addrs", " "))
+    return R.weighted_document(*[part for part, _ in weighted_parts(messages)])
 
 
 def text_match(tree, messages: DataFrame | None = None) -> Column:

@@ -1,8 +1,9 @@
 """A positional index as tables: matches, phrases and ranked searches from postings alone.
 
-``postings`` has a row for each message and word with its places (position, field and
-class of weight in one number), stored by bucket of the word and sorted by word and message.
-A block is a run of message ids; ``maxima`` has, for each word and block, the most places a message has.
+Messages are indexed in segments of some ``SEGMENT_BYTES`` of words.  ``postings`` is stored with a row for each segment and word: the
+messages that have it, and for each its places (position, field and class of weight in one number) and how many of them count
+for ranking; rows lie by bucket of the word, sorted by word.  ``read`` gives a row for each message and word.
+``maxima`` has the numbers of places by word and block, a run of message ids.
 ``messages`` lists what is indexed.
 
 A ranked search stops early: no message scores more than it has places of the
@@ -13,10 +14,15 @@ after that only blocks whose bound reaches the k-th best score.  The result is e
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rank as R
 from ..functions import text as X
@@ -30,6 +36,12 @@ BLOCK = 256
 FIRST = 64
 #: Fields: the message's words, and its attachments' names.
 TEXT, NAMES = 0, 1
+#: Bytes of words of a segment; and parts at least that a bucket's segments are dealt to, for words that are everywhere.
+SEGMENT_BYTES = 16 << 20
+PARTS = 4
+#: No letter, digit or underscore, so no word.
+_END = "\x01"
+_ROWS = 20_000
 
 
 @dataclass
@@ -44,57 +56,90 @@ def block_of(message_id: Column) -> Column:
     return F.floor(message_id / BLOCK).cast("long")
 
 
-def _grouped(words: Column) -> Column:
-    """array<struct<term,places>> of array<struct<term,place>>, within the row: sorted, then cut where the term changes."""
-
-    def cut(rows: Column) -> Column:
-        n = F.size(rows)
-        first = lambda i: (i == 1) | (F.get(rows, i - 1)["term"] != F.get(rows, F.greatest(i - 2, F.lit(0)))["term"])
-        starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), first)
-
-        def runs(at: Column) -> Column:
-            end = lambda j: F.coalesce(F.get(at, j + 1), n + 1)
-            places = lambda i, j: F.transform(F.slice(rows, i, end(j) - i), lambda x: x["place"])
-            return F.transform(at, lambda i, j: F.struct(F.get(rows, i - 1)["term"].alias("term"), places(i, j).alias("places")))
-
-        return F.element_at(F.transform(F.array(starts), runs), 1)
-
-    return F.element_at(F.transform(F.array(F.array_sort(words)), cut), 1)
+def _segment(ids: pa.Array, docs: pa.Array, classes: np.ndarray, n_text: int) -> pa.Table:
+    """(term, messages, most, places) of documents, each the words of its parts between blanks with ``_END`` between parts; the first ``n_text`` parts are the message's."""
+    words = pc.split_pattern(docs, " ")
+    doc = np.repeat(np.arange(len(docs)), words.value_lengths().to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    end = code == pc.index(coded.dictionary, _END).as_py()
+    word = ~end & (code != pc.index(coded.dictionary, "").as_py())
+    part = (np.cumsum(end) - (len(classes) - 1) * doc)[word]
+    code, doc = code[word], doc[word]
+    n = np.arange(len(code))
+    field = np.where(part < n_text, TEXT, NAMES)
+    begins = np.diff(doc * 2 + field, prepend=-1) != 0
+    place = ((n - np.maximum.accumulate(np.where(begins, n, 0))) * 8 + classes[part] + 4 * field).astype(np.int32)
+    key = code << 32 | n
+    key.sort()
+    code, at = key >> 32, key & 0xFFFFFFFF
+    doc, place = doc[at], place[at]
+    new_term = np.diff(code, prepend=-1) != 0
+    pairs = np.flatnonzero(new_term | (np.diff(doc, prepend=-1) != 0))
+    terms = np.flatnonzero(new_term[pairs])
+    ranked = np.concatenate([[0], np.cumsum((place % 8 < 4) | (place % 4 == 3))])
+    ends = np.append(pairs, len(place))
+    cut = lambda starts, total: pa.array(np.append(starts, total), pa.int32())
+    of_term = cut(terms, len(pairs))
+    places = pa.ListArray.from_arrays(cut(pairs, len(place)), pa.array(place))
+    most = np.diff(ranked[ends]).astype(np.int32)
+    return pa.table({
+        "term": coded.dictionary.take(pa.array(code[pairs[terms]])),
+        "messages": pa.ListArray.from_arrays(of_term, ids.take(pa.array(doc[pairs]))),
+        "most": pa.ListArray.from_arrays(of_term, pa.array(most)),
+        "places": pa.ListArray.from_arrays(of_term, places),
+    })
 
 
 def rows_of(messages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, message_id, places), a row for each message and word, made within the message's row.
+    """(bucket, term, messages, most, places), a row for each word of a segment of messages, made within the task that has them.
 
-    A place is 8 x position + 4 x field + class, and places are in order of position.
+    A place is 8 x position + 4 x field + class, and places are in order of field and position; ``most`` is the number of those that count for ranking.
     Names are indexed as they are, at the subject's class, and again split at what is no
     letter or digit, at the lowest; only the former count for ranking.
     """
-    names = F.left(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(50_000))
-    apart = X.tokens(F.coalesce(F.regexp_replace(names, r"[^\p{L}\p{N}]+|_", " "), F.lit("")))
-    of_class = lambda words, c: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(c).alias("weight")))
-    placed = lambda doc, field: F.transform(doc, lambda x, i: F.struct(x["word"].alias("term"), (i * 8 + x["weight"] + 4 * field).alias("place")))
-    both = F.concat(placed(P.weighted(messages), TEXT), placed(F.concat(of_class(X.tokens(F.coalesce(names, F.lit(""))), 3), of_class(apart, 0)), NAMES))
-    rows = messages.select("message_id", F.inline(_grouped(both)))
-    return rows.select(term_bucket(F.col("term"), buckets).alias("bucket"), "term", "message_id", "places")
+    names = F.coalesce(F.left(F.array_join(F.filter(P.attachment_names(), lambda n: n.isNotNull()), " "), F.lit(50_000)), F.lit(""))
+    apart = F.regexp_replace(names, r"[^\p{L}\p{N}]+|_", " ")
+    text = P.weighted_parts(messages)
+    parts = [*text, (names, 3), (apart, 0)]
+    classes, n_text = np.array([c for _, c in parts]), len(text)
+    doc = F.concat(*[x for i, (p, _) in enumerate(parts) for x in ([F.lit(_END)] if i else []) + [X.document(p)]])
+    schema = T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("messages", T.ArrayType(messages.schema["message_id"].dataType)),
+        T.StructField("most", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            low = 0
+            while low < len(upto):
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + SEGMENT_BYTES, side="right")))
+                part = batch.slice(low, high - low)
+                yield from _segment(part.column(0), part.column(1), classes, n_text).to_batches(_ROWS)
+                low = high
+
+    rows = messages.select("message_id", doc.alias("doc")).mapInArrow(run, schema)
+    return rows.select(term_bucket(F.col("term"), buckets).alias("bucket"), "term", "messages", "most", "places")
 
 
 def write(messages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Append messages that are not indexed yet, as a batch of their own.
 
-    Rows are shuffled once, by ranges of word and message, so a frequent word is many files and tasks; the maxima are taken from what was written.
+    Rows are shuffled once, by bucket and part of the segments, so a frequent word is several files and tasks, more of them where the session has more partitions.
     """
     spark, batch = messages.sparkSession, uuid.uuid4().hex
-    rows = rows_of(messages, buckets).repartitionByRange("bucket", "term", "message_id").sortWithinPartitions("bucket", "term", "message_id")
-    rows.write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    done = spark.read.parquet(f"{path}/postings/batch={batch}")
-    ranked = F.size(F.filter("places", lambda x: (x % 8 < 4) | (x % 4 == 3)))
-    maxima = done.groupBy("bucket", "term", block_of(F.col("message_id")).alias("block")).agg(F.max(ranked).alias("most"))
-    maxima.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/maxima/batch={batch}")
+    parts = max(PARTS, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    rows = rows_of(messages, buckets).repartition("bucket", F.pmod(F.xxhash64(F.get("messages", F.lit(0))), F.lit(parts)))
+    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     messages.select("message_id").write.parquet(f"{path}/messages/batch={batch}")
 
 
 def read(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "maxima", "messages")), buckets)
+    rows = spark.read.parquet(f"{path}/postings")
+    each = lambda *of: rows.select("bucket", "term", F.inline(F.arrays_zip(F.col("messages").alias("message_id"), *of)))
+    maxima = each("most").select("bucket", "term", block_of(F.col("message_id")).alias("block"), "most")
+    return Index(each("places"), maxima, spark.read.parquet(f"{path}/messages"), buckets)
 
 
 def _words(tree) -> list[str]:

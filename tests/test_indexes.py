@@ -142,3 +142,23 @@ def test_indexed_arm_is_the_scans(spark, tmp_path):
 def test_empty_index(spark, tmp_path):
     index = cells.build(spark.createDataFrame([], "chunk_id long, message_id long, embedding array<float>"), str(tmp_path / "c"), 4)
     assert cells.search(spark, index, [1.0], 3).collect() == []
+
+
+def test_index_is_shuffled_once_and_holds_words_by_segment(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(positions, "SEGMENT_BYTES", 600)
+    m = messages(spark, 90).coalesce(1).withColumn("body_text", F.when(F.col("message_id") == 6, F.repeat(F.lit("ant Über "), 400)).otherwise(F.col("body_text")))
+    rows = positions.rows_of(m, 8)
+    assert "regexp_extract_all" not in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+    stored = rows.collect()
+    assert 5 < max(len(r.messages) for r in stored) < 60
+    want = {}
+    text = m.select("message_id", F.posexplode(filters.weighted(m)).alias("p", "x")).select("message_id", "x.word", (F.col("p") * 8 + F.col("x.weight")).alias("place"))
+    for r in text.collect():
+        want.setdefault((r.word, r.message_id), []).append(r.place)
+    found = {(r.term, i): ([x for x in p if x % 8 < 4], n, p) for r in stored for i, n, p in zip(r.messages, r.most, r.places)}
+    assert len(found) == sum(len(r.messages) for r in stored) and {k: v[0] for k, v in found.items() if v[0]} == want
+    assert all(n == sum(x % 8 < 4 or x % 4 == 3 for x in p) for _, n, p in found.values())
+    positions.write(m.limit(0), str(tmp_path / "none"), 8)
+    positions.write(m, str(tmp_path / "x"), 8)
+    index = positions.read(spark, str(tmp_path / "x"), 8)
+    assert {(r.term, r.message_id): r.places for r in index.postings.collect()} == {k: v[2] for k, v in found.items()}
